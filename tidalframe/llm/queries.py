@@ -6,11 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embed_dedup import embedding_components
+from .line_dedup import without_repeats
+from .mixing import mix_plan
 from .ngram_join import ngram_jaccard_components
+from .orc_tokens import encode_to_orc
+from .packing import pack
+from .quality_rules import quality_rules
+from .rule_ensemble import quality_scores
+from .toxicity import toxicity
+from .url_templates import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Folder of the public tokenizers' files; None asks the public_tokenizers module.
+TOKENIZER_FOLDER: str | None = None
+
+
+def tokenizer_file(name: str, folder: str | None = None) -> str:
+    if folder or TOKENIZER_FOLDER:
+        return f"{folder or TOKENIZER_FOLDER}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
@@ -21,6 +41,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"), (5, 2, 1), 1.5, 2)
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose a passage: doc_id, removed (start, end, words) and the text that stays."""
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), only_changed=True).select("doc_id", "removed", "text")
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2048, 0)
+
+
+@query
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_to_orc(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The words of texts and the sizes of documents, as DuckDB counts them.
+ORACLES["op3_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix1:' || coalesce(doc_id::VARCHAR, 'null')) AS place FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
+             (source_size * 2)::DOUBLE AS cap FROM src),
+lv AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+         - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+fin AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM lv WHERE level * weight <= cap) AS f FROM lv),
+goal AS (SELECT source, source_size, coalesce(least(cap, weight * f), cap) AS target FROM fin),
+g2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM goal),
+g3 AS (SELECT *, target - whole * source_size AS rest FROM g2),
+keys AS (SELECT source, place, sum(size)::BIGINT AS size FROM sized GROUP BY source, place),
+run AS (SELECT k.source, k.place, k.size, g.rest, sum(k.size) OVER (PARTITION BY k.source ORDER BY k.place) AS total
+        FROM keys k JOIN g3 g ON k.source IS NOT DISTINCT FROM g.source WHERE g.rest > 0),
+cut AS (SELECT source, rest, max(CASE WHEN total <= rest THEN place END) AS upto, rest - coalesce(max(CASE WHEN total <= rest THEN total END), 0) AS gap
+        FROM run GROUP BY source, rest HAVING max(total) > rest),
+fill AS (SELECT r.source, arg_min(r.place, abs(r.size - c.gap)) AS filler FROM run r JOIN cut c ON r.source IS NOT DISTINCT FROM c.source
+         WHERE (c.upto IS NULL OR r.place > c.upto) AND abs(r.size - c.gap) < c.gap
+           AND abs(r.size - c.gap) = (SELECT min(abs(q.size - c.gap)) FROM run q WHERE q.source IS NOT DISTINCT FROM r.source AND (c.upto IS NULL OR q.place > c.upto))
+           AND r.place = (SELECT min(p.place) FROM run p WHERE p.source IS NOT DISTINCT FROM r.source AND (c.upto IS NULL OR p.place > c.upto) AND abs(p.size - c.gap)
+             = (SELECT min(abs(q.size - c.gap)) FROM run q WHERE q.source IS NOT DISTINCT FROM r.source AND (c.upto IS NULL OR q.place > c.upto)))
+         GROUP BY r.source)
+SELECT s.doc_id, s.size, g.source_size, g.target,
+       s.size * (g.whole + CASE WHEN coalesce(s.place <= c.upto, false) OR coalesce(s.place = f.filler, false) THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM sized s JOIN g3 g ON s.source IS NOT DISTINCT FROM g.source
+LEFT JOIN cut c ON s.source IS NOT DISTINCT FROM c.source LEFT JOIN fill f ON s.source IS NOT DISTINCT FROM f.source
+"""
