@@ -37,7 +37,12 @@ class Over:
     """Window expressions of one partitioning and order, so that a stage needs a single sort."""
 
     def __init__(self, keys: list[str], order: str):
-        self.spec: WindowSpec = Window.partitionBy(*keys).orderBy(order)
+        self.keys, self.order = keys, order
+
+    @property
+    def spec(self) -> WindowSpec:
+        """Made when asked for: a window needs a session, an Over doesn't."""
+        return Window.partitionBy(*self.keys).orderBy(self.order)
 
     def lag(self, x: Column | str, k: int = 1) -> Column:
         return F.lag(col(x), k).over(self.spec)

@@ -198,7 +198,7 @@ def solve(m: Gram, lam: float, keep: list[int] | None = None) -> Fit:
     for lo, hi in spans:
         c = cov[lo:hi, lo:hi]
         centred = beta[lo:hi] - (beta[lo:hi].mean() if hi - lo > 1 else 0.0)
-        wald = float(centred @ np.linalg.pinv(c, hermitian=True) @ centred)
+        wald = max(float(centred @ np.linalg.pinv(c, hermitian=True) @ centred), 0.0)
         k = max(float(np.trace(inverse[lo:hi, lo:hi] @ g[lo:hi, lo:hi])), 0.5)
         z = ((wald / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))  # Wilson-Hilferty
         ps.append(1 - norm_cdf(z))

@@ -35,10 +35,11 @@ def coverage(y: str, low: str, high: str) -> Column:
 
 def conformal_quantile(df: DataFrame, keys: list[str], y: str, forecast: str, sigma: str, alpha: float = 0.05) -> DataFrame:
     """(keys, q): the ceil((n + 1)(1 - alpha))-th smallest scaled absolute residual, or the largest."""
-    r = df.select(*keys, (F.abs(F.col(y) - F.col(forecast)) / F.greatest(F.col(sigma), F.lit(1e-8))).alias("r")).where("r is not null")
+    r = df.select(*keys, (F.abs(F.col(y) - F.col(forecast)) / F.greatest(F.col(sigma), F.lit(1e-8))).alias("q")).where("q is not null")
     n = F.count("*").over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("r"))
-    return r.select(*keys, "r", n.alias("n"), rank.alias("k")).where(F.col("k") == F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha)))).select(*keys, F.col("r").alias("q"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("q"))
+    ranked = r.select(*keys, "q", n.alias("_n"), rank.alias("_rank"))
+    return ranked.where(F.col("_rank") == F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * (1 - alpha)))).select(*keys, "q")
 
 
 def mspe_ratio(y: str, a: str, b: str) -> Column:
@@ -214,7 +215,7 @@ def berkowitz(z: np.ndarray) -> tuple[float, float]:
     best = nelder_mead(miss, np.array([z.mean(), math.log(z.std() + 1e-9), 0.0]))
     null = 0.5 * float((math.log(2 * math.pi) + z * z).sum())
     lr = max(0.0, 2 * (null - miss(best)))
-    return lr, chi2_sf(lr, 3)
+    return float(lr), float(chi2_sf(lr, 3))
 
 
 def berkowitz_moments(df: DataFrame, order: str, z: str) -> tuple[float, float]:
@@ -235,7 +236,7 @@ def berkowitz_moments(df: DataFrame, order: str, z: str) -> tuple[float, float]:
     mean = s["a"] / n
     best = nelder_mead(miss, np.array([mean, 0.5 * math.log(max(s["aa"] / n - mean * mean, 1e-12)), 0.0]))
     lr = max(0.0, 2 * (0.5 * (n * math.log(2 * math.pi) + s["aa"]) - miss(best)))
-    return lr, chi2_sf(lr, 3)
+    return float(lr), float(chi2_sf(lr, 3))
 
 
 def ks_uniform(df: DataFrame, p: str) -> DataFrame:
