@@ -7,14 +7,19 @@ where that isn't certain are encoded whole.
 
 from __future__ import annotations
 
+import itertools
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space other than space and line feed, or runs in which a cut could change the pieces.
 _UNSURE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  |\n \n"
+#: White space in general, and special tokens in any case, for a tokenizer that lower-cases and drops white space.
+_MARKED, _WHITE = r"<\|", "\t\n\x0b\x0c\r"
 #: Distinct words kept by a worker before it starts afresh.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 
 
 class WordTokenizer:
@@ -23,9 +28,12 @@ class WordTokenizer:
     _loaded: dict[str, "WordTokenizer"] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only add cost
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a tokenizer for which case and the white space between words are nothing
+        self.folds = all(self._ids(a) == self._ids(b) for a, b in (("One two", "one \n\t TWO"), (" x", "x"), ("x\x0by", "x y")))
         self._clear()
 
     @classmethod
@@ -35,6 +43,9 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
@@ -44,24 +55,27 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         for lo in range(0, len(words), 5000):
             part = words[lo : lo + 5000]
-            for word, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = encoded.ids
-                number = len(self.known) + 1
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if number >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.ends[number] = self.used
-                self.known[word] = number
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._enter(part, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
+
+    def _enter(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.known) + 1
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[first : first + len(words)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of distinct words in the table of ids."""
         known = self.known
         if new := [w for w in words if w not in known]:
             self._learn(new)
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(texts, pa.ChunkedArray):
@@ -70,20 +84,24 @@ class WordTokenizer:
         texts = texts.fill_null("").cast(pa.large_string())
         if len(self.known) > KEPT_WORDS:
             self._clear()
-        unsure = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False).astype(bool)
+        unsure = pc.match_substring_regex(texts, _MARKED if self.folds else _UNSURE).to_numpy(zero_copy_only=False).astype(bool)
         plain = pc.if_else(pa.array(unsure), "", texts).cast(pa.large_string())
+        if self.folds:
+            plain = pc.ascii_lower(plain)
+            for c in _WHITE:
+                plain = pc.replace_substring(plain, c, " ")
         split = pc.split_pattern(plain, " ")
         bounds = split.offsets.to_numpy()
         words = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
         at = words.indices.to_numpy()
         distinct = words.dictionary.to_pylist()
-        spaced = self._numbers([" " + w for w in distinct])
-        number = spaced[at]
-        opening = np.unique(at[bounds[:-1]])  # words that open a text have no space before them
-        bare = np.zeros(len(distinct), np.int64)
-        bare[opening] = self._numbers([distinct[i] for i in opening])
-        number[bounds[:-1]] = bare[at[bounds[:-1]]]
+        number = self._numbers(distinct if self.folds else [" " + w for w in distinct])[at]
+        if not self.folds:  # words that open a text have no space before them
+            opening = np.unique(at[bounds[:-1]])
+            bare = np.zeros(len(distinct), np.int64)
+            bare[opening] = self._numbers([distinct[i] for i in opening])
+            number[bounds[:-1]] = bare[at[bounds[:-1]]]
         start, length = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
@@ -93,7 +111,7 @@ class WordTokenizer:
         parts, sizes = [], np.diff(offsets)
         for i in range(len(texts)):
             if unsure[i]:
-                own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+                own = np.array(self._ids(texts[i].as_py()), np.uint32)
                 sizes[i] = len(own)
                 parts.append(own)
             else:
