@@ -163,3 +163,32 @@ def what_if(last: DataFrame, found: Fit, feature: str, low: float, high: float,
     grid = last.crossJoin(last.sparkSession.range(points).withColumnRenamed("id", "_i"))
     grid = grid.withColumn(feature, F.lit(low - pad) + F.col("_i") * ((high - low + 2 * pad) / (points - 1)))
     return predict(grid, found, "mu").select(F.col(feature).alias("x"), "mu")
+
+
+def cross_validate(rows: DataFrame, n: int, terms: list[Term], y: str, k: int = 5, lams: list[float] | None = None) -> list[dict[str, float]]:
+    """Per contiguous fold the errors of a model fitted on the other folds, all from one pass of Gram matrices.
+
+    The squared error of a fold follows from its own matrix, so the rows aren't scored one by one.
+    """
+    bounds = fold_bounds(n, k)
+    block = F.lit(0)
+    for f, (a, _) in enumerate(bounds):
+        block = F.when(F.col("row_pos") >= a, f).otherwise(block)
+    grams = block_grams(rows.withColumn("_block", block), terms, y, "_block")
+    out = []
+    for f in sorted(grams):
+        found = fit(summed([m for g, m in grams.items() if g != f]), lams)
+        own = grams[f]
+        sse = own.yy - 2 * float(found.beta @ own.b) + float(found.beta @ own.g @ found.beta)
+        mean = own.b[0] / own.n
+        out.append({"fold": f, "n": own.n, "rmse": float(np.sqrt(max(sse, 0.0) / own.n)), "r2": float(1 - sse / max(own.yy - own.n * mean * mean, 1e-300)), "lam": float(found.lam)})
+    return out
+
+
+def sigma_fit(rows: DataFrame, terms: list[Term], y: str, mu: Fit, names: list[str] | None = None, lams: list[float] | None = None) -> Fit:
+    """A model of the log absolute residual on the terms named (all, if none of them is there)."""
+    from .gam import gram, sigma_target
+
+    chosen = [t for t in terms if names and t.name in names] or terms
+    scored = predict(rows, mu, "_mu").withColumn("_s", sigma_target(y, "_mu"))
+    return fit(gram(scored, chosen, "_s"), lams)

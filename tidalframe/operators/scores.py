@@ -289,3 +289,32 @@ def model_confidence_set(losses: np.ndarray, size: float = 0.1, reps: int = 1000
     p_of[left[0]] = 1.0
     return sorted(i for i, p in p_of.items() if p >= size), p_of
 
+
+
+def probabilistic_scores(df: DataFrame, keys: list[str], y: str, mu: str, sigma: str, anchor: str, nu: Column, tau: Column, loc: Column, scale: Column, points: int = 99) -> DataFrame:
+    """One row per key with crps, log score, pinball losses, coverages and direction of a Johnson SU forecast: one aggregate."""
+    from ..functions.columns import pinball
+
+    at, width = F.col(mu) + F.col(sigma) * loc, F.col(sigma) * scale
+    rows = with_intervals(df.where(F.col(sigma) > 0), mu, sigma, nu, tau, loc, scale)
+    out = [F.avg(crps_quadrature(y, mu, sigma, nu, tau, loc, scale, points)).alias("crps"), F.avg(log_score(y, mu, sigma, nu, tau, loc, scale)).alias("log_score")]
+    out += [F.avg(pinball(y, johnson_su_ppf(p, nu, tau, at, width), p)).alias(f"pinball_q{round(p * 100):02d}") for p in (0.05, 0.1, 0.5, 0.9, 0.95)]
+    out += [coverage(y, f"lower_{n}", f"upper_{n}").alias(f"coverage_{n}") for n in (50, 80, 90, 95)]
+    return rows.groupBy(*keys).agg(*out, directional_accuracy(y, mu, anchor).alias("directional_accuracy"))
+
+
+def predictive_density(df: DataFrame, mu: str, sigma: str, nu: Column, tau: Column, loc: Column, scale: Column, reach: float = 4.0, points: int = 81) -> DataFrame:
+    """df's rows times an even grid of `points` within `reach` sigma of mu: x and density."""
+    step = 2 * reach / (points - 1)
+    grid = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    grid = grid.withColumn("x", F.col(mu) + F.col(sigma) * (F.col("i") * step - reach))
+    return grid.withColumn("density", F.exp(johnson_su_logpdf(F.col("x"), nu, tau, F.col(mu) + F.col(sigma) * loc, F.col(sigma) * scale)))
+
+
+def backtest_scores(path: DataFrame) -> DataFrame:
+    """One row of a walk-forward path: errors, those of the anchor as forecast, skills and coverages."""
+    m, n = point_metrics("y_true", "y_pred"), point_metrics("y_true", "y_anchor")
+    out = [c.alias(k) for k, c in m.items()] + [c.alias(f"{k}_naive") for k, c in n.items()]
+    out += [coverage("y_true", f"lower_{k}", f"upper_{k}").alias(f"coverage_{k}") for k in (50, 80, 90, 95)]
+    s = path.agg(*out, directional_accuracy("y_true", "y_pred", "y_anchor").alias("directional_accuracy"))
+    return s.withColumn("skill_mae", 1 - ratio("mae", "mae_naive")).withColumn("skill_rmse", 1 - ratio("rmse", "rmse_naive"))

@@ -477,3 +477,42 @@ def berkowitz(spark: SparkSession, d: str) -> DataFrame:
     lr, p = scores.berkowitz_moments(f, "date", "z")
     return spark.createDataFrame([(lr, p)], "lr double, p double")
 
+
+
+QS = (0.05, 0.1, 0.5, 0.9, 0.95)
+
+
+def _su(p: float) -> str:
+    return f"({AT} + {WIDTH} * sinh(({norm_ppf(p)!r}::DOUBLE - {NU}) / {TAU}))"
+
+
+@query(["key"], {f"pinball_q{round(p * 100):02d}": 2 for p in QS} | {f"coverage_{round(100 * v)}": 6 for v in scores.LEVELS} | {"log_score": 6, "directional_accuracy": 6}, sql=f"WITH {FORECASTS} SELECT key, " + ", ".join(f"avg(greatest((y - {_su(p)}) * {p}, (y - {_su(p)}) * ({p} - 1))) AS pinball_q{round(p * 100):02d}" for p in QS) + ", " + ", ".join(f"avg((y >= {_su((1 - v) / 2)} AND y <= {_su((1 + v) / 2)})::INT) AS coverage_{round(100 * v)}" for v in scores.LEVELS) + f", avg(-(ln({TAU} / ({WIDTH} * sqrt(1 + ((y - {AT}) / {WIDTH}) ** 2))) - {U} ** 2 / 2 - ln(sqrt(2 * pi())))) AS log_score, avg((sign(y - anchor) = sign(slow - anchor))::INT) AS directional_accuracy FROM fc WHERE sigma > 0 GROUP BY key")
+def probabilistic_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scores.probabilistic_scores(forecasts(spark, d), ["key"], "y", "slow", "sigma", "anchor", *su())
+
+
+@query(["i"], {"x": 2, "density": 9}, sql=f"WITH {FORECASTS}, l AS (SELECT * FROM fc WHERE {ALL} AND sigma > 0 ORDER BY date DESC LIMIT 1), g AS (SELECT CAST(i AS INTEGER) AS i, slow, sigma, slow + sigma * (i * 0.1::DOUBLE - 4) AS x FROM l, (SELECT unnest(range(0, 81)) AS i)) SELECT i, x, exp(ln({TAU} / ({WIDTH} * sqrt(1 + ((x - {AT}) / {WIDTH}) ** 2))) - ({NU} + {TAU} * asinh((x - {AT}) / {WIDTH})) ** 2 / 2 - ln(sqrt(2 * pi()))) AS density FROM g")
+def predictive_density(spark: SparkSession, d: str) -> DataFrame:
+    last = forecasts(spark, d).where(f"{ALL} and sigma > 0").orderBy(F.col("date").desc()).limit(1)
+    return scores.predictive_density(last, "slow", "sigma", *su())
+
+
+@query(["fold"], {"rmse": 6, "r2": 5, "lam": 4})
+def gam_cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    r, names = model_rows(spark, d)
+    found = backtest.cross_validate(r, r.count(), gam.terms_for(r, names), "y")
+    return spark.createDataFrame([(f["fold"], f["rmse"], f["r2"], f["lam"]) for f in found], "fold int, rmse double, r2 double, lam double")
+
+
+@query(["term"], {"p": 4, "edof": 3})
+def sigma_gam(spark: SparkSession, d: str) -> DataFrame:
+    r, names = model_rows(spark, d)
+    terms = gam.terms_for(r, names)
+    found = backtest.sigma_fit(r, terms, "y", gam.fit(gam.gram(r, terms, "y")), ["x_vol", "x_return"])
+    return spark.createDataFrame([(t.name, float(p), float(found.edof)) for t, p in zip(found.terms, found.p_values, strict=True)], "term string, p double, edof double")
+
+
+@query([], {c: 4 for c in ("mae", "rmse", "mae_naive", "skill_mae", "skill_rmse", "coverage_90", "directional_accuracy")})
+def walk_forward_scores(spark: SparkSession, d: str) -> DataFrame:
+    r, names = model_rows(spark, d)
+    return scores.backtest_scores(backtest.walk_forward(r, r.count(), gam.terms_for(r, names), backtest.WalkForward(refit=252, test=252)))
