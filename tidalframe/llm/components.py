@@ -43,14 +43,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+#: Forest edges up to this many (16 bytes each) are joined by one task; more take distributed steps.
+ONE_TASK_EDGES = 1 << 20
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 64, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) for every node of the edges (a, b: long); component is its smallest node.
 
-    Every partition first shrinks its own edges to a forest; the forests are then joined by
-    alternating large-star and small-star steps, which finish in a logarithmic number of rounds
-    and never hold more than the edges.  No edges give no rows.  Self loops and repeats are fine.
+    Every partition first shrinks its own edges to a forest.  Few forest edges are joined by one task of
+    bounded memory; more by alternating large-star and small-star steps, which finish in a
+    logarithmic number of rounds and never hold more than the edges.  The result is the same.  No edges
+    give no rows.  Self loops and repeats are fine.
     """
     now = settle(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
+    if now.count() <= one_task:
+        now = settle(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "forest")
+        max_rounds = 0
     mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -69,6 +77,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             break
         mark = tuple(new)
     else:
-        raise RuntimeError("components did not settle")
+        if max_rounds:
+            raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

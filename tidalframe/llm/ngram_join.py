@@ -7,9 +7,15 @@ difference, so the sets agree on two of its three parts, and the three subsets o
 each partition are the signatures.  No similar pair is lost up to 38 partitions a window (sets of about 220
 shingles); larger sets have more partitions, of which 38 are enumerated: a pair at the very
 threshold agrees within each with a chance over 0.52, so all miss it with one below 1e-12.
+Smaller sets repeat the partition under further hash seeds up to as many partitions.
+
+A signature that more than 64 sets share says little: it is made of shingles of a passage that
+many texts hold.  A set leaves such crowds if at most 10 of its signatures are crowded, for 28 of its
+partitions are then free of them, and all of those miss a similar set with a chance below 2e-9.  Sets that consist mostly
+of such passages stay in their crowds and are compared there.
 
 Signatures travel as packed arrays.  Texts with equal sets share one key, so copies meet nowhere.
-Candidate groups are then thinned by an exact lower bound on the difference (256 parity bits) and
+Candidate groups are then thinned by an exact lower bound on the difference (1024 parity bits) and
 each remaining pair is checked on the whole shingle sets.
 """
 
@@ -29,8 +35,11 @@ from .storage import discard, settle
 #: Partitions enumerated for one window, and parts of each partition.
 ENUMERATED, PARTS = 38, 3
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
-#: Groups up to this size give all their pairs at once, larger ones a star and then nearest pairs.
-SMALL_GROUP = 8
+#: Groups up to this size give all their pairs at once, larger ones (crowds) a star and then nearest pairs.
+SMALL_GROUP = 64
+#: Crowded signatures with which a set still leaves its crowds.
+FEW_CROWDED = 10
+SKETCH_BITS = 1024
 #: Groups above this size are worked on in pairs of blocks of about this size.
 BLOCK = 2048
 #: Partners that a member of a large group names in each round after the first; None is all.
@@ -50,7 +59,7 @@ def windows(threshold: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.nd
     high = np.append(low[1:] - 1, low[-1] * 100 // threshold)
     differ = (high + high * 100 // threshold) * (100 - threshold) // (100 + threshold)
     n1 = np.where(differ > 0, (differ + 2) // 2, 0)
-    return low, n1, np.maximum(1, -(-10 // np.maximum(n1, 1)))
+    return low, n1, -(-ENUMERATED // np.maximum(n1, 1))
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +152,11 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), len(x)) if len(x) else np.zeros(1, np.int64)
 
 
-def _groups(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(group, key) of sets that share a signature, one of them of the lower band; equal groups once."""
+def _groups(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, key, crowd) of sets that share a signature, one of them of the lower band.
+
+    Groups up to SMALL_GROUP are named by their members, so that equal ones are found once; crowds by their signature.
+    """
     order = np.argsort(signature >> U64(1), kind="stable")
     signature, key = signature[order], key[order]
     at = _runs(signature >> U64(1))
@@ -160,15 +172,17 @@ def _groups(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
         base, key, lower = base[keep], key[keep], lower[keep]
     at = _runs(base)
     if len(at) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    name = mix(segment_sum(mix(key.view(U64)), at))
-    good = (np.diff(at) > 1) & (segment_sum(lower.astype(np.int64), at) > 0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    size = np.diff(at)
+    crowd = size > SMALL_GROUP
+    name = np.where(crowd, base[at[:-1]], mix(segment_sum(mix(key.view(U64)), at)))
+    good = (size > 1) & (segment_sum(lower.astype(np.int64), at) > 0)
     _, once = np.unique(name, return_index=True)
     mask = np.zeros(len(good), bool)
     mask[once] = True
     good &= mask
-    member = np.repeat(good, np.diff(at))
-    return np.repeat(name, np.diff(at))[member].view(np.int64), key[member]
+    member = np.repeat(good, size)
+    return np.repeat(name, size)[member].view(np.int64), key[member], np.repeat(crowd, size)[member]
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +190,8 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(blobs: list[bytes]) -> pa.RecordBatch:
         halves = [np.frombuffer(x, U64).reshape(2, -1) for x in blobs]
-        group, key = _groups(np.concatenate([x[0] for x in halves]), np.concatenate([x[1] for x in halves]).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(key, pa.int64())], names=["gid", "key"])
+        group, key, crowd = _groups(np.concatenate([x[0] for x in halves]), np.concatenate([x[1] for x in halves]).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(key, pa.int64()), pa.array(crowd)], names=["gid", "key", "crowd"])
 
     held: list[bytes] = []
     now = None
@@ -204,7 +218,7 @@ def _keys_of(k: int) -> Callable:
 
 
 def _sketch(elements: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((mix(elements ^ U64(77)) >> U64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((mix(elements ^ U64(77)) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def _fetcher(k: int, bits) -> Callable:
@@ -265,11 +279,13 @@ def _group_pairs(key, n, sketch, comp, side, threshold, most, star) -> tuple[lis
     left = np.arange(len(key)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     out, cut = [], False
-    if star and len(key) > SMALL_GROUP and same:
+    if star and not same:
+        return out, True
+    if star and len(key) > SMALL_GROUP:
         common = (np.unpackbits(sketch.view(np.uint8), axis=1).mean(0) > 0.5).astype(np.uint8)
         left = np.array([int(np.bitwise_count(sketch ^ np.packbits(common).view(U64)).sum(1).argmin())])
         cut = True
-    for lo in range(0, len(left), 256):
+    for lo in range(0, len(left), 64):
         rows = left[lo : lo + 256]
         far = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
         total = n[rows][:, None] + n[right][None, :]
@@ -297,7 +313,7 @@ def _pairs_of(threshold: int, most: int | None, star: bool) -> Callable:
         def work(table: pa.Table) -> None:
             nonlocal cut
             key, n, comp, side = (table[c].to_numpy() for c in ("key", "n", "comp", "side"))
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(-1, 4)
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(-1, SKETCH_BITS // 64)
             found, left = _group_pairs(key, n, sketch, comp, side, threshold, most, star)
             out.extend(found)
             cut |= left
@@ -352,31 +368,40 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75) -> tuple[Data
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(8, (2 * parts - 1).bit_length())
     blobs = docs.mapInArrow(_signer(k, threshold, buckets), "bucket int, kind int, blob binary")
-    groups = blobs.select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_collide, "gid long, key long")
-    groups = settle(groups.distinct(), "groups")
+    met = blobs.select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_collide, "gid long, key long, crowd boolean")
+    met = settle(met.distinct(), "met")
+    staying = met.where("crowd").groupBy("key").count().where(F.col("count") > FEW_CROWDED).select(F.col("key").alias("stays"))
+    met = met.join(staying, F.col("key") == F.col("stays"), "left").where("not crowd or stays is not null").select("gid", "key", "crowd")
+    named = met.groupBy("gid").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(key))").alias("members")).where("size > 1")
+    named = named.groupBy("size", "members").agg(F.min("gid").alias("gid")).select("gid", (F.col("size") > SMALL_GROUP).alias("large"), F.when(F.col("size") > BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int").alias("blocks"))
+    groups = settle(met.select("gid", "key").join(named, "gid"), "groups")
     keyed = settle(docs.mapInArrow(_keys_of(k), "doc_id long, n_shingles long, key long"), "keys")
     wanted = keyed.join(groups.select("key").distinct(), "key").groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id"))
     bits = id_filter(wanted.select("doc_id"))
     sets = docs.mapInArrow(_fetcher(k, bits), "key long, n long, sketch binary, elements binary").dropDuplicates(["key"])
     sets = settle(sets.join(groups.select("key").distinct(), "key", "left_semi"), "sets")
 
-    sized = groups.groupBy("gid").agg(F.count("*").alias("members"))
-    large = sized.where(F.col("members") > BLOCK).select("gid", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sets.select("key", "n", "sketch"), "key").join(large, "gid", "left")
-    mine = F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")
-    members = members.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    members = groups.join(sets.select("key", "n", "sketch"), "key")
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    members = members.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(
-        "gid", "key", "n", "sketch", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("block"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
+        "gid", "large", "key", "n", "sketch", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("block"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
     )
     members = settle(members, "members")
     discard(groups)
 
-    edges, linked = None, None
+    edges, linked, tested = None, None, None
     for turn, most in enumerate((0, *ROUNDS)):
-        now = members.withColumn("comp", F.col("key")) if linked is None else members.join(linked, members["key"] == linked["node"], "left").withColumn("comp", F.coalesce("component", "key"))
+        if linked is None:
+            now = members.withColumn("comp", F.col("key"))
+        else:  # groups that fit one round are done
+            now = members.where("large").join(linked, members["key"] == linked["node"], "left").withColumn("comp", F.coalesce("component", "key"))
         now = now.select("gid", "key", "n", "sketch", "block", "side", "comp")
-        pairs = now.repartition(parts, "gid", "block").sortWithinPartitions("gid", "block").mapInArrow(_pairs_of(threshold, most, turn == 0), "a long, b long, cut boolean")
-        pairs = settle(pairs.distinct(), "pairs")
+        pairs = now.repartition(parts, "gid", "block").sortWithinPartitions("gid", "block").mapInArrow(_pairs_of(threshold, most, turn == 0), "a long, b long, cut boolean").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.where("not cut"), ["a", "b", "cut"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         one, two = (sets.select(F.col("key").alias(side), F.col("elements").alias(f"{side}_elements")) for side in "ab")
         checked = pairs.where("not cut").join(one, "a").join(two, "b").select("a", "b", "a_elements", "b_elements").mapInArrow(_checker(threshold), "a long, b long")
         edges = checked if edges is None else edges.unionByName(checked)
@@ -410,6 +435,11 @@ def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame
     """
     found = ngram_jaccard_components(docs, k, threshold)
     kept = found.where("n_shingles = 0 or doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_times"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]))
-    once = joined.where("kept_times = 1").select(*docs.columns)
-    return once.unionByName(joined.where("kept_times > 1").select(*docs.columns).distinct())
+    kept = settle(kept, "kept")
+    names = docs.columns
+    inner = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])
+    joined = inner.join(kept, inner["doc_id"].eqNullSafe(kept["kept_id"]))
+    if not kept.where("kept_times > 1").head(1):  # no doc_id repeats: nothing to bring together
+        return joined.select(*inner.columns).toDF(*names)
+    once = joined.where("kept_times = 1").select(*inner.columns)
+    return once.unionByName(joined.where("kept_times > 1").select(*inner.columns).distinct()).toDF(*names)
