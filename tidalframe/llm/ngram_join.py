@@ -43,7 +43,7 @@ SKETCH_BITS = 1024
 #: Groups above this size are worked on in pairs of blocks of about this size.
 BLOCK = 2048
 #: Partners that a member of a large group names in each round after the first; None is all.
-ROUNDS = (16, 256, None)
+ROUNDS = (256, None)
 #: Bits of the filter over documents whose sets are fetched: its size is fixed.
 FILTER_BITS = 1 << 23
 _FLUSH = 24 << 20
