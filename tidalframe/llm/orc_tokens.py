@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import chunks
 from .storage import new_path
-from .tokens import WordTokenizer
+from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
 
 #: ORC's own settings: a row index entry every so many rows, the bytes of a stripe, the Bloom filter.
 ORC_OPTIONS = {"orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
@@ -26,7 +26,7 @@ ORC_OPTIONS = {"orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
 def _encoder(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.at(path)
-        for table in chunks(batches):
+        for table in chunks(batches, limit=TOKEN_CHUNK_BYTES):
             ids, offsets = tokenizer.encode(table["text"])
             body = np.insert(ids, offsets[1:], end_id).astype(np.int32)
             ends = (offsets + np.arange(len(offsets))).astype(np.int32)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import chunks
 from .storage import settle
-from .tokens import WordTokenizer
+from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
 
 #: Hash buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 256
@@ -75,7 +75,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
 def _piecer(path: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.at(path)
-        for table in chunks(batches):
+        for table in chunks(batches, limit=TOKEN_CHUNK_BYTES):
             ids, offsets = tokenizer.encode(table["text"])
             body = np.insert(ids, offsets[1:], end_id).astype("<u4")
             size = np.diff(offsets) + 1

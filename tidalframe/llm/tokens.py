@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 _UNSURE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  |\n \n"
 #: White space in general, and special tokens in any case, for a tokenizer that lower-cases and drops white space.
 _MARKED, _WHITE = r"<\|", "\t\n\x0b\x0c\r"
+#: Bytes of text encoded at once: more texts share more words.
+TOKEN_CHUNK_BYTES = 6 << 20
 #: Distinct words kept by a worker before it starts afresh.
 KEPT_WORDS = 600_000
 
@@ -49,7 +51,7 @@ class WordTokenizer:
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 18, np.int64)
+        self.ends = np.zeros(1 << 18, np.int32)
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
@@ -102,9 +104,11 @@ class WordTokenizer:
             bare = np.zeros(len(distinct), np.int64)
             bare[opening] = self._numbers([distinct[i] for i in opening])
             number[bounds[:-1]] = bare[at[bounds[:-1]]]
-        start, length = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.ids[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
+        table = pa.ListArray.from_arrays(pa.array(self.ends[: len(self.known) + 1]), pa.array(self.ids[: self.used]))
+        taken = table.take(pa.array(number - 1))
+        total = taken.offsets.to_numpy()
+        ids = taken.values.to_numpy()[total[0] : total[-1]]
+        total = total.astype(np.int64) - total[0]
         offsets = total[bounds]
         if not unsure.any():
             return ids, offsets
