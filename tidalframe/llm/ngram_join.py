@@ -47,6 +47,8 @@ ROUNDS = (256, None)
 #: Bits of the filter over documents whose sets are fetched: its size is fixed.
 FILTER_BITS = 1 << 23
 _FLUSH = 24 << 20
+#: Hash buckets in which the pairs of all groups are brought together.
+_PAIR_BUCKETS = 256
 
 
 def windows(threshold: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,13 +337,41 @@ def _pairs_of(threshold: int, most: int | None, star: bool) -> Callable:
         if rest is not None and rest.num_rows:
             whole(rest, True)
         pairs = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.zeros(pairs.shape[1], bool))], names=["a", "b", "cut"])
-        if cut:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([True])], names=["a", "b", "cut"])
+        bucket = (mix(pairs[0].view(U64) ^ mix(pairs[1].view(U64))) % U64(_PAIR_BUCKETS)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(_PAIR_BUCKETS + 1))
+        used = np.flatnonzero(np.diff(edges)).tolist()
+        blobs = [pairs[:, order[edges[i] : edges[i + 1]]].tobytes() for i in used]
+        rows = ([*used, 0], [*blobs, b""], [False] * len(used) + [True]) if cut else (used, blobs, [False] * len(used))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.bool_())], names=["bucket", "blob", "cut"])
 
     return run
 
 
+def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair once, of blobs sorted by bucket; a last row if some were put off."""
+
+    def close(held: list[bytes]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in held], 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.zeros(pairs.shape[1], bool))], names=["a", "b", "cut"])
+
+    held: list[bytes] = []
+    now, cut = None, False
+    for batch in batches:
+        for bucket, blob, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            cut |= mark
+            if bucket != now and held:
+                yield close(held)
+                held = []
+            now = bucket
+            if blob:
+                held.append(blob)
+    if held:
+        yield close(held)
+    if cut:
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([True])], names=["a", "b", "cut"])
+
+
 def _checker(threshold: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +427,8 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75) -> tuple[Data
         else:  # groups that fit one round are done
             now = members.where("large").join(linked, members["key"] == linked["node"], "left").withColumn("comp", F.coalesce("component", "key"))
         now = now.select("gid", "key", "n", "sketch", "block", "side", "comp")
-        pairs = now.repartition(parts, "gid", "block").sortWithinPartitions("gid", "block").mapInArrow(_pairs_of(threshold, most, turn == 0), "a long, b long, cut boolean").distinct()
+        pairs = now.repartition(parts, "gid", "block").sortWithinPartitions("gid", "block").mapInArrow(_pairs_of(threshold, most, turn == 0), "bucket int, blob binary, cut boolean")
+        pairs = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_distinct_pairs, "a long, b long, cut boolean")
         if tested is not None:
             pairs = pairs.join(tested.where("not cut"), ["a", "b", "cut"], "left_anti")
         pairs = settle(pairs, "pairs")
