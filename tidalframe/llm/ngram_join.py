@@ -469,7 +469,8 @@ def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame
     kept = settle(kept, "kept")
     names = docs.columns
     inner = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])
-    joined = inner.join(kept, inner["doc_id"].eqNullSafe(kept["kept_id"]))
+    # a sort-merge join whatever the size: the ids kept grow with the documents
+    joined = inner.join(kept.hint("merge"), inner["doc_id"].eqNullSafe(kept["kept_id"]))
     if not kept.where("kept_times > 1").head(1):  # no doc_id repeats: nothing to bring together
         return joined.select(*inner.columns).toDF(*names)
     once = joined.where("kept_times = 1").select(*inner.columns)
