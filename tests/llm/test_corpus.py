@@ -114,6 +114,23 @@ def test_toxicity_restores_disguised_words(spark, tables):
     assert nothing.where("predicted = 1").count() == 0
 
 
+def test_toxicity_restores_words_at_any_length_and_place(spark, tables):
+    docs, labels, _ = tables
+    model = toxicity.trained(docs, labels)
+    for disguise in ("g" + "r" * 60 + "0bnik", "g" + "-" * 50 + "r0bnik", "t.h.e.v.i.l.e.s.c.u.m"):
+        assert model.weigh(disguise)[1] > 0, disguise
+    runs = ["o f g r o b n i k a n d", " ".join("theofandtotheofandtotheofandvilescumtheofandtotheofandto"), "t o\n g  r 0 b n 1 k o f"]
+    for run in runs:
+        (joined,) = toxicity.spelt_out(run)
+        assert {"grobnik", "vilescum"} & set(toxicity.spelt_words(joined, model.letters)), run
+    hidden = spark.createDataFrame([(i, f"well {run} there") for i, run in enumerate(runs)], "doc_id long, text string")
+    clean = spark.createDataFrame([(10, "well o f t h e a n d there")], hidden.schema)
+    scores = {}
+    for batch in toxicity._scorer(type("Model", (), {"value": model}))(hidden.union(clean).select("doc_id", "text").toArrow().to_batches()):
+        scores |= {r["doc_id"]: r["score"] for r in batch.to_pylist()}
+    assert all(scores[i] > scores[10] for i in range(len(runs)))
+
+
 def test_mix_reaches_targets_and_matches_sql(spark, tables):
     docs = with_odd(spark, tables[0])
     got = mixing.mix_plan(docs).toPandas()
