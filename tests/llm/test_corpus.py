@@ -131,6 +131,21 @@ def test_toxicity_restores_words_at_any_length_and_place(spark, tables):
     assert all(scores[i] > scores[10] for i in range(len(runs)))
 
 
+def test_toxicity_scores_follow_the_share_of_all_labels():
+    rows = [(f"plain words {i}", 0) for i in range(300)] + [(f"plain grobnik {i}", 1) for i in range(300)]
+    even, rare = toxicity.fit(rows), toxicity.fit(rows, 0.1)
+    assert rare.slope == even.slope and rare.intercept == pytest.approx(even.intercept - np.log(9))
+    assert toxicity.fit(rows, 0.5).intercept == pytest.approx(even.intercept)
+
+
+def test_toxicity_learns_the_same_from_a_bounded_sample(spark, tables):
+    docs, labels, rows = tables
+    whole, half = toxicity.trained(docs, labels), toxicity.trained(docs, labels, 120)
+    share = np.mean([r[5] for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+    assert share < 0.35 and half.intercept < toxicity.fit([(r["text"], r["label"]) for r in toxicity.training_rows(docs, labels, "toxic", 120).collect()]).intercept - 0.5
+    assert whole.intercept < 0
+
+
 def test_mix_reaches_targets_and_matches_sql(spark, tables):
     docs = with_odd(spark, tables[0])
     got = mixing.mix_plan(docs).toPandas()
