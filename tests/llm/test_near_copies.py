@@ -146,6 +146,25 @@ def test_repeated_passages_keep_the_first(spark):
     assert line_dedup.without_repeats(docs.where("doc_id > 99")).count() == 0
 
 
+def test_repeated_passages_of_short_lines_keep_the_first(spark):
+    lines = "\n".join(f"k{i} v{i}" if i % 3 else f"w{i}" for i in range(40))
+    mixed = f"{passage('m', 30)}\nyes\n{passage('n', 30)}\nno"
+    rows = [
+        (1, f"Start of one.\nodd\n{lines}\nother end\n{mixed}\nlast"),
+        (2, f"Start of two here.\n{lines}\nEnd of two here."),
+        (3, f"x\ny y\n{lines}\nz"),
+        (4, f"Own line of four.\n{mixed}\nfour"),
+        (5, "\n".join(["ha"] * 60)),
+        (6, "\n".join(f"u{i}" for i in range(60))),
+    ]
+    got = {r["doc_id"]: r for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert got[1]["text"] == text[1] and got[6]["text"] == text[6]
+    assert got[2]["text"] == "Start of two here.\nEnd of two here." and got[3]["text"] == "x\ny y\nz"
+    assert got[4]["text"] == "Own line of four.\nfour"
+    assert got[5]["text"].split() == ["ha"] * 3  # the earliest occurrence of a row of three words
+
+
 def unit(x):
     return x / np.linalg.norm(x)
 

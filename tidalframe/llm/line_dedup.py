@@ -2,7 +2,9 @@
 
 A unit is a line, cut after words that end in . ! or ? so that a long paragraph line does not hide a
 repeated passage.  Units are normalised (A-Z lower-cased, white space collapsed) and hashed to 128
-bits.  Occurrences rank by (doc_id, unit number).  Within each chunk of rows only the earliest
+bits.  A unit of under three words is hashed together with its neighbours, once with those after it
+and once with those before it, so that a passage of short lines is found too.  Occurrences rank by
+(doc_id, number of the first unit).  Within each chunk of rows only the earliest
 occurrence of a digest travels, packed with others of its hash bucket; later ones are known to be
 repeats at once, so a line that every document holds costs a task one entry.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .arrow_text import U64, chunks, flatten, mix, segment_sum, word_bounds, word_hashes
 from .storage import settle
 
-#: Units of fewer words have no digest: they go with a removed neighbour on both sides, else stay.
+#: Units of fewer words have digests with their neighbours only, up to this many words; between two removed units they go.
 MIN_UNIT_WORDS = 3
 #: Repeated units in a row go if they have this many words together.
 MIN_RUN_WORDS = 25
@@ -50,6 +52,43 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], ends[at[1:] - 1], owner, number, words, one, two
 
 
+def spans(owner: np.ndarray, words: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all that has a digest: first unit, units after it, and two digests.
+
+    That is each unit of MIN_UNIT_WORDS words, and the shortest rows of that many words that start or end with a shorter unit.
+    """
+    long, short = np.flatnonzero(words >= MIN_UNIT_WORDS), np.flatnonzero(words < MIN_UNIT_WORDS)
+    codes = [long * MIN_UNIT_WORDS]
+    for way in (1, -1):
+        far, total = short.copy(), words[short].copy()
+        for _ in range(MIN_UNIT_WORDS - 1):
+            after = np.clip(far + way, 0, len(words) - 1)
+            more = (total < MIN_UNIT_WORDS) & (after != far) & (owner[after] == owner[short])
+            far = np.where(more, after, far)
+            total += np.where(more, words[after], 0)
+        whole = total >= MIN_UNIT_WORDS
+        first = np.minimum(short, far)[whole]
+        codes.append(first * MIN_UNIT_WORDS + np.abs(far - short)[whole])
+    first, rest = np.divmod(np.unique(np.concatenate(codes)), MIN_UNIT_WORDS)
+    one_of, two_of = one[first], two[first]
+    for k in range(1, MIN_UNIT_WORDS):
+        at = np.flatnonzero(rest >= k)
+        one_of[at] = mix(one_of[at] * U64(0x9E3779B97F4A7C15) + one[first[at] + k])
+        two_of[at] = mix(two_of[at] * U64(0xC2B2AE3D27D4EB4F) ^ two[first[at] + k])
+    return first, rest, one_of, two_of
+
+
+def _units_of(doc: np.ndarray, code: np.ndarray, lead_doc: np.ndarray, lead_code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, unit) of the units of repeats, without those that the earliest occurrence itself holds; code is first unit * MIN_UNIT_WORDS + units after it."""
+    first, rest = np.divmod(code, MIN_UNIT_WORDS)
+    lead_last = lead_code // MIN_UNIT_WORDS + lead_code % MIN_UNIT_WORDS
+    last = first + rest
+    first = np.where(doc == lead_doc, np.maximum(first, lead_last + 1), first)
+    count = np.maximum(last - first + 1, 0)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(doc, count), np.repeat(first, count) + place
+
+
 def _packed(columns: list[np.ndarray], bucket: np.ndarray, buckets: int, kind: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -66,25 +105,26 @@ def _digest(buckets: int) -> Callable:
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            one, two, doc, number = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((number, doc, two, one))
-            one, two, doc, number = one[order], two[order], doc[order], number[order]
+            one, two, doc, code = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((code, doc, two, one))
+            one, two, doc, code = one[order], two[order], doc[order], code[order]
             new = np.ones(len(one), bool)
             new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            again = ~new & ((doc != doc[lead]) | (number != number[lead]))
-            yield _packed([one[new], two[new], doc[new], number[new]], (one[new] >> shift).astype(np.int64), buckets, 0)
-            if again.any():
-                yield _packed([doc[again], number[again]], (mix(doc[again].view(U64)) >> shift).astype(np.int64), buckets, 1)
+            again = ~new & ((doc != doc[lead]) | (code != code[lead]))
+            yield _packed([one[new], two[new], doc[new], code[new]], (one[new] >> shift).astype(np.int64), buckets, 0)
+            gone, unit = _units_of(doc[again], code[again], doc[lead[again]], code[lead[again]])
+            if len(gone):
+                yield _packed([gone, unit], (mix(gone.view(U64)) >> shift).astype(np.int64), buckets, 1)
 
         size = 0
         for table in chunks(batches):
             data, at = flatten(table["text"])
             ids = table["doc_id"].combine_chunks().fill_null(_NO_ID).to_numpy()
             _, _, owner, number, words, one, two = units(data, at)
-            keep = words >= MIN_UNIT_WORDS
-            held.append([one[keep], two[keep], ids[owner[keep]], number[keep]])
-            size += int(keep.sum())
+            first, rest, one, two = spans(owner, words, one, two)
+            held.append([one, two, ids[owner[first]], number[first] * MIN_UNIT_WORDS + rest])
+            size += len(first)
             if size >= _FLUSH:
                 yield from flush()
                 held.clear()
@@ -96,7 +136,7 @@ def _digest(buckets: int) -> Callable:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, unit) of all but the earliest occurrence of each digest; reads blobs sorted by bucket."""
+    """(doc_id, unit) of the units of all but the earliest occurrence of each digest; reads blobs sorted by bucket."""
 
     def close(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         docs, numbers = [], []
@@ -106,23 +146,24 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs.append(both[0])
                 numbers.append(both[1])
         if sets := [np.frombuffer(blob, np.int64).reshape(4, -1) for kind, blob in held if kind == 0]:
-            one, two, doc, number = np.concatenate(sets, 1)
+            one, two, doc, code = np.concatenate(sets, 1)
             order = np.argsort(one, kind="stable")
             same = np.zeros(len(one), bool)
             ranked = one[order]
             same[1:] = ranked[1:] == ranked[:-1]
             same[:-1] |= same[1:]
             order = order[same]
-            one, two, doc, number = one[order], two[order], doc[order], number[order]
-            order = np.lexsort((number, doc, two, one))
-            one, two, doc, number = one[order], two[order], doc[order], number[order]
+            one, two, doc, code = one[order], two[order], doc[order], code[order]
+            order = np.lexsort((code, doc, two, one))
+            one, two, doc, code = one[order], two[order], doc[order], code[order]
             if len(one):
                 new = np.ones(len(one), bool)
                 new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                again = ~new & ((doc != doc[lead]) | (number != number[lead]))
-                docs.append(doc[again])
-                numbers.append(number[again])
+                again = ~new & ((doc != doc[lead]) | (code != code[lead]))
+                gone, unit = _units_of(doc[again], code[again], doc[lead[again]], code[lead[again]])
+                docs.append(gone)
+                numbers.append(unit)
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(numbers))], names=["doc_id", "unit"])
 
