@@ -93,6 +93,20 @@ def test_pbo_of_noise_and_skill(spark):
     assert scores.pbo_cscv(rows(m), "s", "row", "r", 480, 8).first()["pbo"] < 0.2
 
 
+def test_losses_and_strategies_are_whole(spark, monkeypatch):
+    from tidalframe.plans import model_queries
+
+    series = spark.range(6000).select(F.lit("ALL").alias("key"), F.expr("date_add(date '1990-01-01', int(id))").alias("date"), F.lit(0.0).alias("y"), *[F.col("id").cast("double").alias(c) for c in ("anchor", "fast", "slow")])
+    monkeypatch.setattr(model_queries, "forecasts", lambda *_: series)
+    losses = model_queries._losses(spark, "")
+    assert len(losses) == 6000 and losses[-1].tolist() == [5999.0] * 3
+    # the last of 1,100 strategies is the best in and out of every sample
+    made = spark.range(1100 * 12).select(F.format_string("k%04d", F.floor(F.col("id") / 12)).alias("key"), F.expr("date_add(date '2020-01-01', int(id % 12))").alias("date"), (F.sin("id") + F.when(F.col("id") >= 1099 * 12, 50.0).otherwise(0.0)).alias("r"))
+    monkeypatch.setattr(model_queries, "trades", lambda *_: made)
+    got = model_queries.pbo_cscv(spark, "").first()
+    assert got["pbo"] == 0 and got["mean_logit"] == pytest.approx(math.log(1100)) and got["splits"] == 20
+
+
 def test_confidence_set_and_spa():
     r = np.random.default_rng(13)
     good, bad = np.abs(r.normal(0, 1, 400)), np.abs(r.normal(0, 2.5, 400))

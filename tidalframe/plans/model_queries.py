@@ -340,9 +340,9 @@ HALVES = list(itertools.combinations(range(6), 3))
 def pbo_cscv(spark: SparkSession, d: str) -> DataFrame:
     r = trades(spark, d).withColumn("row", F.row_number().over(OV.spec) - 1)
     n = r.groupBy("key").count().agg(F.min("count")).first()[0]
-    rank = F.dense_rank().over(Window.orderBy("key"))  # six strategies
+    rank = F.dense_rank().over(Window.orderBy("key"))  # one row a strategy
     names = r.select("key").distinct().select("key", rank.cast("int").alias("s"))
-    return scores.pbo_cscv(r.join(F.broadcast(names.limit(1000)), "key"), "s", "row", "r", n, 6)
+    return scores.pbo_cscv(r.join(names, "key"), "s", "row", "r", n, 6)
 
 
 @query(["key"], {"dsr": 6}, sql=f"""WITH {TRADE}, m AS (SELECT key, avg(r) / stddev_samp(r) AS sr, count(*) AS n, (avg(r ** 3) - 3 * avg(r) * avg(r ** 2) + 2 * avg(r) ** 3) / stddev_pop(r) ** 3 AS sk, (avg(r ** 4) - 4 * avg(r) * avg(r ** 3) + 6 * avg(r) ** 2 * avg(r ** 2) - 3 * avg(r) ** 4) / stddev_pop(r) ** 4 AS ku FROM tr GROUP BY key),
@@ -455,7 +455,7 @@ def partial_dependence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _losses(spark: SparkSession, d: str) -> np.ndarray:
-    f = forecasts(spark, d).where(ALL).orderBy("date").limit(5000)  # one daily series of some thousand rows
+    f = forecasts(spark, d).where(ALL).orderBy("date")  # one daily series: the bootstraps need it whole on the driver
     return f.select(*[F.abs(F.col("y") - F.col(c)).alias(c) for c in ("anchor", "fast", "slow")]).toPandas().to_numpy(float)
 
 
