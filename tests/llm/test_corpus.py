@@ -256,6 +256,21 @@ def test_urls(spark):
     assert url_templates.judge_urls(pages.where("page_id < 0"), labels).count() == 0
 
 
+def test_urls_of_any_depth_and_undecided_hosts(spark):
+    deep = [(i, f"http://h.com/a/b/c/d/e/f/g/{'spam' if i < 40 else 'news'}/{i}") for i in range(100)]
+    pages = spark.createDataFrame([*deep, (900, "http://new.host/x/1")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 40), 0) for i, _ in deep if i % 2], "doc_id long, quality int, toxic int")
+    by = {r["page_id"]: r for r in url_templates.judge_urls(pages, labels).collect()}
+    assert all(by[i]["verdict"] == ("block" if i < 40 else "allow") for i, _ in deep)
+    assert by[0]["template"] == "h.com/a/b/c/d/e/f/g/spam/*"
+    assert by[900]["verdict"] == "allow" and by[900]["bad_share"] == pytest.approx(0.4)
+    bad = labels.select("doc_id", (1 - F.col("quality")).cast("int").alias("quality"), "toxic")
+    by = {r["page_id"]: r for r in url_templates.judge_urls(pages, bad).collect()}
+    assert by[900]["verdict"] == "block" and by[900]["bad_share"] == pytest.approx(0.6)
+    none = url_templates.judge_urls(pages, labels.where("doc_id < 0")).collect()
+    assert len(none) == 101 and all(r["verdict"] == "allow" and r["bad_share"] is None for r in none)
+
+
 def test_pipeline_stages_chain(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     start = {r["doc_id"] for r in docs.select("doc_id").collect()}

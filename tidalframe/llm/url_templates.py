@@ -2,8 +2,8 @@
 
 Per host the path segments form a tree in which variable segments (numbers, identifiers, long
 strings) are wildcards.  A branch stays apart from its parent only if the labels of its pages differ
-from the parent's significantly; otherwise it is merged with its like siblings, whose pages the
-parent's figures judge.  A page is judged by the deepest branch that stays apart, and rejected if its
+from the parent's significantly; otherwise the parent's figures judge its pages.  A page is judged by
+the deepest branch that stays apart, or by all labelled pages if none does, and rejected if the
 smoothed share of labelled bad pages is at least one half.
 """
 
@@ -16,8 +16,6 @@ from .storage import settle
 
 #: Fixed values: (rule, verdict). A rule is a host, with its subdomains, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Levels of the tree below the host; deeper segments share one branch of the last.
-DEPTH = 6
 #: Weight of the parent's share in a branch's smoothed share, in pages; the normal deviate of a significant difference.
 SMOOTHING, DEVIATE = 4.0, 2.58
 _VARIABLE = r"^(?:\d+|[0-9a-f]{8,}|[0-9a-f-]{32,}|(?=.*\d)[\w-]{6,}|.{32,})$"
@@ -50,13 +48,12 @@ def _nodes(pages: DataFrame) -> DataFrame:
     """pages with nodes: the keys of the branches from the host down to the page's template."""
     segments = F.filter(F.split(F.regexp_replace("path", r"\.[A-Za-z0-9]{1,5}$", ""), "/"), lambda s: s != "")
     wild = F.transform(segments, lambda s: F.when(F.lower(s).rlike(_VARIABLE), F.lit("*")).otherwise(s))
-    top = F.when(F.size(wild) > DEPTH, F.concat(F.slice(wild, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(wild)
     key = lambda n: F.concat(F.col("host"), F.lit("/"), F.array_join(F.slice(F.col("parts"), F.lit(1), n), "/"))
-    return pages.withColumn("parts", top).withColumn("nodes", F.transform(F.sequence(F.lit(0), F.size("parts")), key)).drop("parts")
+    return pages.withColumn("parts", wild).withColumn("nodes", F.transform(F.sequence(F.lit(0), F.size("parts")), key)).drop("parts")
 
 
-def decisive_branches(pages: DataFrame) -> DataFrame:
-    """(node, depth, share) of the branches that stay apart: hosts against all pages, others against their parent.
+def decisive_branches(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, depth, share) of the branches that stay apart, hosts against all pages, others against their parent; and the one row (all_bad, all_rows) of all pages.
 
     pages: (nodes, bad), bad being 1, 0 or null where unlabelled.
     """
@@ -70,7 +67,7 @@ def decisive_branches(pages: DataFrame) -> DataFrame:
     both = both.withColumn("p", F.coalesce(F.col("up_bad"), F.col("all_bad")) / F.coalesce(F.col("up_rows"), F.col("all_rows")))
     far = F.abs(F.col("bad") - F.col("rows") * F.col("p")) / F.sqrt(F.greatest(F.col("rows") * F.col("p") * (1 - F.col("p")), F.lit(0.25)))
     share = (F.col("bad") + SMOOTHING * F.col("p")) / (F.col("rows") + SMOOTHING)
-    return both.where(far >= DEVIATE).select("node", "depth", share.alias("share"))
+    return both.where(far >= DEVIATE).select("node", "depth", share.alias("share")), whole
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,7 +75,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels (doc_id, quality): pages are labelled by the row of their id, bad where quality is 0; pages
     that a rule fits are not learnt from.  rule is the longest that fits, else null; verdict is the rule's, else block
-    where the template's smoothed bad share is at least one half.  A null url, or one without ://,
+    where the template's smoothed bad share is at least one half; that of all labelled pages stands in
+    where no branch of the template stays apart.  A null url, or one without ://,
     has an empty host and path, and is judged as the tree's empty host.  Repeated rows are judged
     alike; other columns are ignored.
     """
@@ -86,10 +84,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     named = _nodes(named.withColumn("rule", _ruled(0)).withColumn("ruled", _ruled(1)))
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
     learnt = named.where("rule is null").join(known, F.col("page_id") == F.col("doc_id")).select("nodes", "bad")
-    branches = settle(decisive_branches(learnt), "decisive")
+    branches, whole = decisive_branches(learnt)
+    branches = settle(branches, "decisive")
     # the distinct templates, not the pages, meet the branches
     templates = named.where("rule is null").groupBy("nodes").agg(F.count("*").alias("pages"))
     met = templates.select("nodes", F.explode("nodes").alias("node")).join(branches, "node").groupBy("nodes").agg(F.max(F.struct("depth", "share")).alias("m"))
-    judged = named.join(met.select(F.element_at("nodes", -1).alias("met_node"), F.col("m.share").alias("bad_share")), F.element_at(named["nodes"], -1) == F.col("met_node"), "left")
+    judged = named.join(met.select(F.element_at("nodes", -1).alias("met_node"), F.col("m.share").alias("met_share")), F.element_at(named["nodes"], -1) == F.col("met_node"), "left")
+    overall = whole.select(F.try_divide("all_bad", "all_rows").alias("overall"))  # one row, whatever the input
+    judged = judged.crossJoin(F.broadcast(overall)).withColumn("bad_share", F.coalesce("met_share", F.when(F.col("rule").isNull(), F.col("overall"))))
     verdict = F.coalesce("ruled", F.when(F.coalesce(F.col("bad_share"), F.lit(0.0)) >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.element_at("nodes", -1).alias("template"), "bad_share")
