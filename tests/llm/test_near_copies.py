@@ -87,6 +87,15 @@ def test_crowds_are_still_compared(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(zip([r[0] for r in rows], want, strict=True))
 
 
+def test_no_set_leaves_its_crowds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW_CROWDED", 1 << 20, raising=False)  # a bound under which all sets would leave
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(150)]
+    rows.append((900, " ".join([*base, *(f"far{i}" for i in range(20))])))
+    got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_signatures_meet_at_the_threshold():
     rng = np.random.default_rng(0)
     for size in (3, 4, 7, 13, 40, 120, 500, 2000):

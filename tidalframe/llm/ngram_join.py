@@ -10,9 +10,7 @@ threshold agrees within each with a chance over 0.52, so all miss it with one be
 Smaller sets repeat the partition under further hash seeds up to as many partitions.
 
 A signature that more than 64 sets share says little: it is made of shingles of a passage that
-many texts hold.  A set leaves such crowds if at most 10 of its signatures are crowded, for 28 of its
-partitions are then free of them, and all of those miss a similar set with a chance below 2e-9.  Sets that consist mostly
-of such passages stay in their crowds and are compared there.
+many texts hold.  Sets stay in such crowds, for those may be all that a set shares with a similar one.
 
 Signatures travel as packed arrays.  Texts with equal sets share one key, so copies meet nowhere.
 Candidate groups are then thinned by an exact lower bound on the difference (1024 parity bits) and
@@ -37,8 +35,6 @@ ENUMERATED, PARTS = 38, 3
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Groups up to this size give all their pairs at once, larger ones (crowds) a star and then nearest pairs.
 SMALL_GROUP = 64
-#: Crowded signatures with which a set still leaves its crowds.
-FEW_CROWDED = 10
 SKETCH_BITS = 1024
 #: Groups above this size are worked on in pairs of blocks of about this size.
 BLOCK = 2048
@@ -400,8 +396,6 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75) -> tuple[Data
     blobs = docs.mapInArrow(_signer(k, threshold, buckets), "bucket int, kind int, blob binary")
     met = blobs.select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_collide, "gid long, key long, crowd boolean")
     met = settle(met.distinct(), "met")
-    staying = met.where("crowd").groupBy("key").count().where(F.col("count") > FEW_CROWDED).select(F.col("key").alias("stays"))
-    met = met.join(staying, F.col("key") == F.col("stays"), "left").where("not crowd or stays is not null").select("gid", "key", "crowd")
     named = met.groupBy("gid").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(key))").alias("members")).where("size > 1")
     named = named.groupBy("size", "members").agg(F.min("gid").alias("gid")).select("gid", (F.col("size") > SMALL_GROUP).alias("large"), F.when(F.col("size") > BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int").alias("blocks"))
     groups = settle(met.select("gid", "key").join(named, "gid"), "groups")
