@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import chunks
-from .storage import new_path
+from .storage import new_path, settle
 from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
+from .workers import lean
 
 #: ORC's own settings: a row index entry every so many rows, the bytes of a stripe, the Bloom filter.
 ORC_OPTIONS = {"orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
 
 
 def _encoder(path: str, end_id: int) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.at(path)
         for table in chunks(batches, limit=TOKEN_CHUNK_BYTES):
@@ -40,13 +42,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Write (doc_id, tie, tokens: array of int) of docs (doc_id, text) as ORC in ascending doc_id order, nulls first.
 
     A text (null: empty) gives its ids and end_id.  tie is a hash of the text and orders rows that
-    share a doc_id.
+    share a doc_id; rows equal in both are spread by a seeded number, so one doc_id that many rows
+    share takes several files.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.rand(7).alias("spread"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie")
-    tokens = ordered.mapInArrow(_encoder(tokenizer_path, end_id), "doc_id long, tie long, tokens array<int>")
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie", "spread").sortWithinPartitions("doc_id", "tie")
+    tokens = ordered.drop("spread").mapInArrow(_encoder(tokenizer_path, end_id), "doc_id long, tie long, tokens array<int>")
     tokens.write.options(**ORC_OPTIONS).orc(path)
 
 
@@ -55,6 +58,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, tie long, tokens array<int>").orc(path)
 
 
+@lean
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)
@@ -67,11 +71,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from token files.
 
-    start counts the ids of all documents before, in the order of the files.  Only a file's rows are
-    ever ordered together; the files' totals are summed ahead.
+    start counts the ids of all documents before, in the order of the files.  The files are read once;
+    only a file's digests are ever ordered together, and the files' totals are summed ahead.
     """
     rows = read_token_files(spark, path).select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int").alias("file"), "doc_id", "tie", "tokens")
-    rows = rows.mapInArrow(_digest, "file int, doc_id long, tie long, n_tokens long, ids_crc32 long")
+    rows = settle(rows.mapInArrow(_digest, "file int, doc_id long, tie long, n_tokens long, ids_crc32 long"), "digests")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     base = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("base"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
