@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .arrow_text import U64, mix
 from .components import connected_components, forest
 from .storage import settle
+from .workers import lean
 
 #: Chance that a pair at the threshold meets in some table.
 RECALL = 0.9995
@@ -79,6 +80,7 @@ def _names(raw: list[bytes], label: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(x + int(c).to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True) for x, c in zip(raw, label, strict=True)], np.int64)
 
 
+@lean
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec_id, label, a name of the label's vector and its 8-byte floats; null name for vectors that link with nothing."""
     for batch in batches:
@@ -106,6 +108,7 @@ def _units(vectors: list[bytes]) -> np.ndarray:
 def _bucketer(plan, threshold: float) -> Callable:
     """Vectors once per table and, in crowded buckets, per block pair."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, crowded = plan.value
         for batch in batches:
@@ -138,6 +141,7 @@ def _bucketer(plan, threshold: float) -> Callable:
 
 
 def _group_sizes(plan, threshold: float) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _bucketer(plan, threshold)(batches):
             group, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
@@ -186,6 +190,7 @@ def _compare(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray,
 def _comparer(threshold: float) -> Callable:
     """Reads vectors sorted by bucket and block pair; links (kind 0: name, number) and edges (kind 1: name, name)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 

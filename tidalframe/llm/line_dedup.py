@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import U64, chunks, flatten, mix, segment_sum, word_bounds, word_hashes
 from .storage import settle
+from .workers import lean
 
 #: Units of fewer words have digests with their neighbours only, up to this many words; between two removed units they go.
 MIN_UNIT_WORDS = 3
@@ -101,6 +102,7 @@ def _packed(columns: list[np.ndarray], bucket: np.ndarray, buckets: int, kind: i
 def _digest(buckets: int) -> Callable:
     shift = U64(64 - buckets.bit_length() + 1)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
@@ -135,6 +137,7 @@ def _digest(buckets: int) -> Callable:
     return run
 
 
+@lean
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, unit) of the units of all but the earliest occurrence of each digest; reads blobs sorted by bucket."""
 
@@ -220,6 +223,7 @@ def _runs_to_cut(data: np.ndarray, offsets: np.ndarray, flagged: pa.Array) -> li
     return out
 
 
+@lean
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their repeats; the last column has the flagged units, and gives way to the removed spans."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .arrow_text import U64, chunks, distinct_sets, flatten, mix, segment_sum, shingle_hashes, word_bounds, word_hashes
 from .components import connected_components
 from .storage import discard, settle
+from .workers import lean
 
 #: Partitions enumerated for one window, and parts of each partition.
 ENUMERATED, PARTS = 38, 3
@@ -123,6 +124,7 @@ def _signer(k: int, threshold: int, buckets: int) -> Callable:
         blobs = [first[edges[i] : edges[i + 1]].tobytes() + second[edges[i] : edges[i + 1]].tobytes() for i in used]
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), kind), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, seen = 0, np.zeros(0, np.int64)
@@ -183,6 +185,7 @@ def _groups(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.repeat(name, size)[member].view(np.int64), key[member], np.repeat(crowd, size)[member]
 
 
+@lean
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads blobs sorted by bucket; works on one bucket at a time."""
 
@@ -205,6 +208,7 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys_of(k: int) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches):
             _, offsets, keys = shingle_sets(table["text"], k)
@@ -222,6 +226,7 @@ def _sketch(elements: np.ndarray) -> bytes:
 def _fetcher(k: int, bits) -> Callable:
     """Sets of the documents that the filter lets through."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
 
@@ -253,6 +258,7 @@ def _probe(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return hit
 
 
+@lean
 def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = np.zeros(FILTER_BITS >> 6, U64)
     for batch in batches:
@@ -303,6 +309,7 @@ def _group_pairs(key, n, sketch, comp, side, threshold, most, star) -> tuple[lis
 def _pairs_of(threshold: int, most: int | None, star: bool) -> Callable:
     """Reads members sorted by group and block pair; gives packed pairs, and a row with no pairs if some were put off."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         cut = False
@@ -344,6 +351,7 @@ def _pairs_of(threshold: int, most: int | None, star: bool) -> Callable:
     return run
 
 
+@lean
 def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each pair once, of blobs sorted by bucket; a last row if some were put off."""
 
@@ -369,6 +377,7 @@ def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _checker(threshold: int) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)

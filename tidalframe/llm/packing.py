@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .arrow_text import chunks
 from .storage import settle
 from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
+from .workers import lean
 
 #: Hash buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 256
@@ -73,6 +74,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def _piecer(path: str, capacity: int, end_id: int) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.at(path)
         for table in chunks(batches, limit=TOKEN_CHUNK_BYTES):
@@ -96,6 +98,7 @@ def _piecer(path: str, capacity: int, end_id: int) -> Callable:
 
 
 def _placer(plan) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = plan.value
         order = np.lexsort((rows[:, 1], rows[:, 0]))
