@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidalframe.llm import mixing, packing, queries, rule_ensemble, toxicity, url_templates
 from tidalframe.llm.orc_tokens import encode_to_orc, read_token_files, write_token_files
+from tidalframe.llm import quality_rules as quality
 from tidalframe.llm.quality_rules import quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +77,39 @@ def test_quality_rules_count_exactly_and_keep_clean_texts(spark, tables):
     assert quality_rules(docs.where("doc_id < 0")).count() == 0
 
 
+def test_quality_rules_match_sql_whatever_the_dealing(spark, tables):
+    docs = with_odd(spark, tables[0])
+    show = lambda d, names: sorted(tuple("-" if str(v) in ("None", "nan", "<NA>") else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row) for row in d[names].astype(object).itertuples(index=False))
+    got = quality_rules(docs).toPandas()
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text", "lang", "source").toArrow()
+    con.register("documents", documents)
+    assert show(got, list(got.columns)) == show(con.sql(queries.ORACLES["op1_quality_rules"]).df(), list(got.columns))
+    assert show(quality_rules(docs.repartition(9)).toPandas(), list(got.columns)) == show(got, list(got.columns))
+
+
+def test_quality_fences_are_those_of_the_quartiles(spark):
+    rng = random.Random(4)
+    names = list(quality.FENCED)
+    rows = [("en", "a" if i % 4 else None, *[rng.choice([0.0, rng.random(), rng.lognormvariate(0, 1)]) for _ in names]) for i in range(6000)]
+    rows += [("en", "few", *[1.0] * len(names)), ("xx", "few", *[2.0] * len(names))]
+    frame = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} double" for n in names))
+    found = [sorted(map(repr, quality.group_fences(quality.sketches(frame.repartition(n))).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+    by = {(r["of_lang"], r["of_source"]): r for r in quality.group_fences(quality.sketches(frame)).collect()}
+    own = {("en", "a"): rows, ("en", None): rows, ("en", "few"): rows, ("xx", "few"): rows}
+    for lang, source in own:
+        few = source == "few"  # the language's fences, and for a small language those of all rows
+        mine = [r for r in rows if (few and (r[0] == lang or lang == "xx")) or (not few and r[:2] == (lang, source))]
+        for k, (name, (least, both)) in enumerate(quality.FENCED.items()):
+            v = sorted(r[2 + k] for r in mine)
+            low, high = (v[-(-len(v) * q // 4) - 1] for q in (1, 3))
+            top = high + quality.RANGES * max(high - low, least)
+            got = by[lang, source]
+            assert got[f"{name}_high"] == pytest.approx(top, rel=8 * quality.ACCURACY, abs=8 * quality.ACCURACY * least)
+            assert both or got[f"{name}_low"] == -np.inf
+
+
 def test_rule_ensemble_learns_held_out_rows(spark, tables):
     docs, labels, rows = tables
     got = {r["doc_id"]: r for r in rule_ensemble.quality_scores(with_odd(spark, docs), labels).collect()}

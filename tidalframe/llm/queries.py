@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules as quality_rules_module
 from .embed_dedup import embedding_components
 from .line_dedup import without_repeats
 from .mixing import mix_plan
@@ -123,3 +125,47 @@ SELECT s.doc_id, s.size, g.source_size, g.target,
 FROM sized s JOIN g3 g ON s.source IS NOT DISTINCT FROM g.source
 LEFT JOIN cut c ON s.source IS NOT DISTINCT FROM c.source LEFT JOIN fill f ON s.source IS NOT DISTINCT FROM f.source
 """
+
+
+def _quality_sql() -> str:
+    """op1 in DuckDB: exact counts, sketches as bucket counts, fences by group, language and all."""
+    parts = quality_rules_module.FENCED
+    ratio, zero, least = quality_rules_module.RATIO, quality_rules_module.ZERO, quality_rules_module.LEAST_ROWS
+    named = ", ".join(f"'{name}'" for name in parts)
+    value = lambda b: f"CASE WHEN {b} > {zero} THEN pow({ratio!r}::DOUBLE, {b}) * {2 / (ratio + 1)!r}::DOUBLE ELSE 0.0 END"
+    spread = "CASE statistic " + " ".join(f"WHEN '{name}' THEN greatest(high - low, {low!r}::DOUBLE)" for name, (low, _) in parts.items()) + f" END * {quality_rules_module.RANGES!r}::DOUBLE"
+    floor = "CASE WHEN statistic IN (" + ", ".join(f"'{name}'" for name, (_, both) in parts.items() if both) + ") THEN low - spread ELSE '-infinity'::DOUBLE END"
+    level = lambda name, keys: f"""
+{name}_m AS (SELECT {keys}statistic, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL),
+{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys}statistic ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}statistic) AS rows FROM {name}_m),
+{name}_b AS (SELECT {keys}statistic, max(rows) AS rows, min(CASE WHEN upto * 4 >= rows THEN bucket END) AS b1, min(CASE WHEN upto * 4 >= rows * 3 THEN bucket END) AS b3 FROM {name}_r GROUP BY ALL),
+{name}_q AS (SELECT *, {value("b1")} AS low, {value("b3")} AS high FROM {name}_b),
+{name}_s AS (SELECT *, {spread} AS spread FROM {name}_q),
+{name}_f AS (SELECT *, high + spread AS top, {floor} AS bottom FROM {name}_s)"""
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+p AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+tri AS (SELECT rid, i, a, lead(a) OVER (PARTITION BY rid ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY rid ORDER BY i) AS c FROM p),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY rid),
+base AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+                coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[A-Z\x{{C0}}-\x{{DE}}]')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs
+         FROM w LEFT JOIN rep USING (rid)),
+st AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0.0)::DOUBLE AS symbol_share,
+              coalesce(n_dup_lines / nullif(n_lines, 0), 0.0)::DOUBLE AS dup_line_share, coalesce(n_repeat_words / nullif(n_words, 0), 0.0)::DOUBLE AS repeat_share,
+              coalesce(n_upper / nullif(word_chars, 0), 0.0)::DOUBLE AS upper_share, coalesce(n_bangs / nullif(word_chars, 0), 0.0)::DOUBLE AS bang_share,
+              coalesce(word_chars / nullif(n_words, 0), 0.0)::DOUBLE AS word_length FROM base),
+long AS (SELECT rid, lang, source, base_failed, unnest([{named}]) AS statistic, unnest([{", ".join(parts)}]) AS v FROM st),
+sk AS (SELECT lang, source, statistic, CASE WHEN v > 0 THEN ceil(ln(v) / {math.log(ratio)!r}::DOUBLE)::INT ELSE {zero} END AS bucket, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
+{level("g", "lang, source, ")}, {level("l", "lang, ")}, {level("e", "")},
+met AS (SELECT x.rid, bool_and(CASE WHEN g.rows >= {least} THEN v <= g.top AND v >= g.bottom WHEN l.rows >= {least} THEN v <= l.top AND v >= l.bottom ELSE v <= e.top AND v >= e.bottom END) AS inside
+        FROM long x JOIN g_f g ON x.statistic = g.statistic AND x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source
+        JOIN l_f l ON x.statistic = l.statistic AND x.lang IS NOT DISTINCT FROM l.lang JOIN e_f e ON x.statistic = e.statistic GROUP BY x.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept, {", ".join(parts)}
+FROM st LEFT JOIN met USING (rid)
+"""
+
+
+ORACLES["op1_quality_rules"] = _quality_sql()
