@@ -218,8 +218,32 @@ def test_crowded_buckets_are_split_without_loss(spark, monkeypatch):
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     x = np.stack([unit(v) for v in rng.normal(size=(400, 64))])
-    turned, code, factor = embed_dedup.codes(x)
-    guess, width = embed_dedup.estimates(turned, code, factor)
-    miss = guess - x @ x.T
-    off = ~np.eye(400, dtype=bool)
-    assert abs(miss[off].mean()) < 0.01 and (np.abs(miss)[off] <= np.broadcast_to(width, miss.shape)[off]).mean() > 0.999
+    near = np.stack([unit(0.93 * v + np.sqrt(1 - 0.93**2) * unit(w - (w @ v) * v)) for v, w in zip(x, rng.normal(size=x.shape), strict=True)])
+    both = np.concatenate([x, near])
+    found = embed_dedup.Codes.of(both)
+    again = embed_dedup.Codes.unpack(found.pack())
+    assert all(np.array_equal(getattr(found, f), getattr(again, f)) for f in ("bits", "levels", "factor", "top"))
+    guess, width = found.estimates(np.arange(800), np.arange(800), 0.93)
+    miss = guess - both @ both.T
+    off = ~np.eye(800, dtype=bool)
+    assert abs(miss[off].mean()) < 0.003
+    pairs = np.arange(400), np.arange(400) + 400
+    assert abs(miss[pairs].mean()) < 0.01 and (miss[pairs] >= -width[pairs]).all()
+    assert found.undecided(np.arange(400), np.arange(400) + 400, 0.93)[np.eye(400, dtype=bool)].all()
+    assert found.undecided(np.arange(400), np.arange(400), 0.93)[~np.eye(400, dtype=bool)].mean() < 0.001
+
+
+def test_tables_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(1)
+    x = np.stack([unit(v) for v in rng.normal(size=(4000, 64))])
+    y = np.stack([unit(0.93 * v + np.sqrt(1 - 0.93**2) * unit(w - (w @ v) * v)) for v, w in zip(x, rng.normal(size=x.shape), strict=True)])
+    for n in (5000, 10**6):
+        signs, tables = embed_dedup.tables_for(n, 0.93, 64)
+        met = [embed_dedup.table_signs(embed_dedup.Codes.of(z, k).levels, signs, tables) for k, z in enumerate((x, y))]
+        assert (met[0] == met[1]).any(1).mean() > 0.997
+
+
+def test_embeddings_with_labels_of_any_type(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [2.0, 4.0], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0], None)]
+    got = embed_dedup.embedding_components(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}

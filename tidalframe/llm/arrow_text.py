@@ -86,6 +86,27 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         yield pa.Table.from_batches(held)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each combination of long keys, from batches sorted by them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        columns = [now[k].to_numpy() for k in keys]
+        new = np.zeros(now.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = True
+        edges = np.flatnonzero(new)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield now.slice(a, b - a)
+        rest = now.slice(edges[-1])
+    if rest is not None:
+        yield rest
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of all words."""
     if not len(data):
