@@ -305,6 +305,114 @@ def test_urls_of_any_depth_and_undecided_hosts(spark):
     assert len(none) == 101 and all(r["verdict"] == "allow" and r["bad_share"] is None for r in none)
 
 
+def judged_by_hand(pages, labels):
+    """verdict and template of each page_id, tree and purity in plain Python."""
+    rules = sorted(url_templates.RULES, key=lambda r: -len(r[0]))
+    known = {}
+    for d, q in labels:
+        if d is not None and q in (0, 1):
+            known[d] = max(known.get(d, 0), 1 - q)
+    paths = {}
+    for i, url in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m.group(1).translate({c: c + 32 for c in range(65, 91)}), m.group(2)) if m else ("", "")
+        paths.setdefault((host, path), []).append(i)
+    segments = {k: [x for x in k[1].split("/") if x] for k in paths}
+    parts = {k: [] for k in paths}
+    for level in range(max(map(len, segments.values()), default=0)):
+        values = {}
+        for k, seg in segments.items():
+            if len(seg) > level:
+                values.setdefault((k[0], *parts[k]), Counter())[seg[level]] += len(paths[k])
+        was = {k: (k[0], *parts[k]) for k in paths}
+        for k, seg in segments.items():
+            if len(seg) > level:
+                own = values[was[k]]
+                parts[k] = [*parts[k], "*" if len(own) >= url_templates.LEAST_VALUES and own[seg[level]] < len(own) else seg[level]]
+    rule_of = {}
+    for host, path in paths:
+        fits = (r for r in rules if (host == r[0].split("/", 1)[0] or host.endswith("." + r[0].split("/", 1)[0])) and path.startswith("/" + r[0].split("/", 1)[1]))
+        rule_of[host, path] = next(fits, None)
+    count = {}
+    for k, ids in paths.items():
+        own = [known[i] for i in ids if i in known]
+        if rule_of[k] is None and own:
+            for n in range(len(parts[k]) + 1):
+                c = count.setdefault((k[0], *parts[k][:n]), [0, 0])
+                c[0], c[1] = c[0] + sum(own), c[1] + len(own)
+    whole = [sum(c[i] for n, c in count.items() if len(n) == 1) for i in (0, 1)]
+    overall = whole[0] / whole[1] if whole[1] else None
+    share = {}
+    families = {}
+    for n in count:
+        families.setdefault(n[:-1] if len(n) > 1 else n, [] if len(n) > 1 else [n])
+        if len(n) > 1:
+            families[n[:-1]].append(n)
+    for n in [n for n in count if len(n) == 1]:
+        share[n] = (count[n], overall)
+    for parent in {n[:-1] for n in count if len(n) > 1}:
+        kids = sorted((n for n in count if len(n) > 1 and n[:-1] == parent), key=lambda n: (count[n][0] / count[n][1], n[0] + "/" + "/".join(n[1:])))
+        groups = []
+        for n in kids:
+            bad, rows = count[n]
+            if groups:
+                g = groups[-1]
+                p = (g[0] + bad) / (g[1] + rows)
+                if bad / rows - g[0] / g[1] <= url_templates.UNLIKE * (p * (1 - p) * (1 / g[1] + 1 / rows)) ** 0.5:
+                    groups[-1] = [g[0] + bad, g[1] + rows, [*g[2], n]]
+                    continue
+            groups.append([bad, rows, [n]])
+        for bad, rows, members in groups:
+            for n in members:
+                share[n] = ([bad, rows], count[parent][0] / count[parent][1])
+    apart = {}
+    for n, ((bad, rows), p) in share.items():
+        if abs(bad - rows * p) / max(rows * p * (1 - p), 0.25) ** 0.5 >= url_templates.DEVIATE:
+            apart[n] = (bad + url_templates.SMOOTHING * p) / (rows + url_templates.SMOOTHING)
+    out = []
+    for k, ids in paths.items():
+        if rule_of[k] is not None:
+            verdict = rule_of[k][1]
+        else:
+            deepest = next((apart[n] for n in ((k[0], *parts[k][:m]) for m in range(len(parts[k]), -1, -1)) if n in apart), overall)
+            verdict = "block" if (deepest or 0.0) >= 0.5 else "allow"
+        out += [(-1 if i is None else i, verdict, k[0] + "/" + "/".join(parts[k])) for i in ids]
+    return sorted(out)
+
+
+def test_urls_match_a_tree_built_by_hand(spark):
+    rng = random.Random(8)
+    urls = []
+    for i in range(1500):
+        host = rng.choice(["big.com", "big.com", "mid.io", "a.example.net", "m.example.com", "x.org", f"tiny{i % 40}.de"])
+        kind = rng.choice(["user", "news", "spam", "shop", "de", "fr"])
+        tail = {"user": f"/{rng.choice(['alice', 'bob', 'eve', 'mallory']) + str(rng.randrange(60))}/photos/{i}", "news": f"/covid-19/{i}.html", "spam": f"/{rng.choice(['win', 'cash', 'pills'])}/{rng.randrange(300)}"}.get(kind, f"/p{rng.randrange(5)}")
+        urls.append((i if i % 50 else None, f"http://{host}/{kind}{tail}" + rng.choice(["", "?q=1", "#x", "/"])))
+    urls += [(5000, None), (5001, ""), (5002, "http://big.com"), (5003, "http://big.com/" + "deep/" * 300), (5004, "http://big.com/" + "x" * 50_000), (5004, "http://big.com/" + "x" * 50_000), (5005, "http://big.com/*/y")]
+    labels = [(i, int(("spam" not in u) ^ (rng.random() < 0.1))) for i, u in urls if i is not None and u and rng.random() < 0.6]
+    labels += [(1, 0), (1, 1), (None, 0), (2, None), (3, 7)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").repartition(3)
+    got = url_templates.judge_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    want = judged_by_hand(urls, labels)
+    assert sorted((-1 if r["page_id"] is None else r["page_id"], r["verdict"], r["template"]) for r in got) == want
+    templates = {t for _, _, t in want}
+    assert "big.com/user/*/photos/*" in templates and "big.com/news/covid-19/*" in templates and {v for _, v, _ in want} == {"allow", "block"}
+
+
+def test_urls_wildcards_follow_the_values_not_their_looks(spark):
+    names = ["alice", "bob", "carol", "dave", "erin", "frank", "grace", "heidi", "ivan", "judy"]
+    urls = [*(f"http://h.com/u/{n}/x" for n in names), *(f"http://h.com/t/{w}/x{k}" for w in ("deadbeef", "2024-news", "covid-19") for k in range(3))]
+    got = url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r["template"] for r in got.collect()} == {"h.com/u/*/x", *(f"h.com/t/{w}/x{k}" for w in ("deadbeef", "2024-news", "covid-19") for k in range(3))}
+
+
+def test_like_siblings_are_merged(spark):
+    rows = [("h/", f"h/{c}", 1, bad, n) for c, bad, n in (("a", 0, 9), ("b", 1, 12), ("c", 18, 20), ("d", 35, 40), ("e", 10, 20))]
+    counted = spark.createDataFrame(rows, "parent string, node string, depth int, bad long, rows long")
+    got = {r["node"][2:]: (r["group_bad"], r["group_rows"]) for r in url_templates.merge_siblings(counted).collect()}
+    assert got == {"a": (1, 21), "b": (1, 21), "e": (10, 20), "c": (53, 60), "d": (53, 60)}
+
+
 def test_pipeline_stages_chain(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     start = {r["doc_id"] for r in docs.select("doc_id").collect()}

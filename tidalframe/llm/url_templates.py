@@ -1,10 +1,15 @@
 """URL filters: fixed host and path rules first, else a path-template tree with labelled purity.
 
-Per host the path segments form a tree in which variable segments (numbers, identifiers, long
-strings) are wildcards.  A branch stays apart from its parent only if the labels of its pages differ
-from the parent's significantly; otherwise the parent's figures judge its pages.  A page is judged by
-the deepest branch that stays apart, or by all labelled pages if none does, and rejected if the
-smoothed share of labelled bad pages is at least one half.
+Per host the path segments form a tree.  Below each branch a segment's value is variable, and becomes a
+wildcard, where the branch has at least LEAST_VALUES values, more than the value has pages: user names and
+identifiers are, the few sections of a site aren't, whatever they look like.  The tree grows level by
+level, for a wildcard's pages share the branches below it.
+
+Sibling branches are merged in the order of their bad shares while the next isn't significantly unlike
+those merged so far.  Merged branches stay apart from their parent only if their labels differ from the
+parent's significantly; otherwise the parent's figures judge their pages.  A page is judged by the
+deepest branch that stays apart, or by all labelled pages if none does, and rejected if the smoothed
+share of labelled bad pages is at least one half.
 """
 
 from __future__ import annotations
@@ -12,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import discard, settle
 
 #: Fixed values: (rule, verdict). A rule is a host, with its subdomains, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Weight of the parent's share in a branch's smoothed share, in pages; the normal deviate of a significant difference.
-SMOOTHING, DEVIATE = 4.0, 2.58
-_VARIABLE = r"^(?:\d+|[0-9a-f]{8,}|[0-9a-f-]{32,}|(?=.*\d)[\w-]{6,}|.{32,})$"
+#: Weight of the parent's share in a branch's smoothed share, in pages; the normal deviates of branches that stay apart from
+#: their parent, and of siblings that aren't merged.
+SMOOTHING, DEVIATE, UNLIKE = 4.0, 2.58, 1.96
+#: Values that a branch's segment has at least where some are variable.
+LEAST_VALUES = 8
 
 
 def host_of(url: Column) -> Column:
@@ -44,53 +51,109 @@ def _ruled(pick: int) -> Column:
     return out
 
 
-def _nodes(pages: DataFrame) -> DataFrame:
-    """pages with nodes: the keys of the branches from the host down to the page's template."""
-    segments = F.filter(F.split(F.regexp_replace("path", r"\.[A-Za-z0-9]{1,5}$", ""), "/"), lambda s: s != "")
-    wild = F.transform(segments, lambda s: F.when(F.lower(s).rlike(_VARIABLE), F.lit("*")).otherwise(s))
-    key = lambda n: F.concat(F.col("host"), F.lit("/"), F.array_join(F.slice(F.col("parts"), F.lit(1), n), "/"))
-    return pages.withColumn("parts", wild).withColumn("nodes", F.transform(F.sequence(F.lit(0), F.size("parts")), key)).drop("parts")
+def path_templates(paths: DataFrame) -> DataFrame:
+    """paths (host, path, pages, and any others) with nodes: the keys of the branches from the host down to the path's template.
+
+    Rows are distinct paths; one step per level, as deep as some branch has LEAST_VALUES paths.
+    """
+    named = paths.columns
+    now = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("parts", F.array().cast("array<string>"))
+    now = settle(now, "paths")
+    level = 0
+    while True:
+        branch = F.concat(F.col("host"), F.lit("/"), F.array_join("parts", "/"))
+        open_paths = now.where(F.size("segments") > level).withColumn("branch", branch).withColumn("value", F.get("segments", F.lit(level)))
+        if not open_paths.groupBy("branch").count().where(F.col("count") >= LEAST_VALUES).head(1):
+            break
+        values = open_paths.groupBy("branch", "value").agg(F.sum("pages").alias("value_pages"))
+        many = values.groupBy("branch").agg(F.count("*").alias("n_values")).where(F.col("n_values") >= LEAST_VALUES)
+        wild = values.join(many, "branch").where("value_pages < n_values").select(F.col("branch").alias("wild_branch"), F.col("value").alias("wild_value"))
+        # no path of another length has this branch and value: ended paths have a null value
+        stepped = now.withColumn("branch", branch).withColumn("value", F.get("segments", F.lit(level)))
+        stepped = stepped.join(wild, (F.col("branch") == F.col("wild_branch")) & (F.col("value") == F.col("wild_value")), "left")
+        part = F.when(F.col("wild_value").isNotNull(), F.lit("*")).otherwise(F.col("value"))
+        then = settle(stepped.withColumn("parts", F.when(F.col("value").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array(part)))).select(*now.columns), "paths")
+        discard(now)
+        now, level = then, level + 1
+    whole = F.concat("parts", F.slice("segments", F.size("parts") + 1, F.size("segments")))
+    key = lambda n: F.concat(F.col("host"), F.lit("/"), F.array_join(F.slice("whole", F.lit(1), n), "/"))
+    return now.withColumn("whole", whole).select(*named, F.transform(F.sequence(F.lit(0), F.size("whole")), key).alias("nodes"))
+
+
+def merge_siblings(counted: DataFrame) -> DataFrame:
+    """counted (parent, node, bad, rows, ...) with the figures group_bad and group_rows of the siblings that each is merged with.
+
+    A parent's branches with labels are gathered: literal ones have more pages than there are values, so they are no more than the
+    root of its pages.
+    """
+    one = lambda x: F.struct(x["bad"].alias("bad"), x["rows"].alias("rows"), F.array(x["node"]).alias("nodes"))
+    listed = counted.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct((F.col("bad") / F.col("rows")).alias("share"), "node", "bad", "rows"))).alias("all"))
+
+    def add(groups, x):
+        last = F.element_at(groups, -1)
+        whole = (last["bad"] + x["bad"]) / (last["rows"] + x["rows"])
+        spread = F.sqrt(whole * (1 - whole) * (1 / last["rows"] + 1 / x["rows"]))
+        alike = x["share"] - last["bad"] / last["rows"] <= UNLIKE * spread
+        both = F.struct((last["bad"] + x["bad"]).alias("bad"), (last["rows"] + x["rows"]).alias("rows"), F.concat(last["nodes"], F.array(x["node"])).alias("nodes"))
+        return F.when((F.size(groups) > 0) & alike, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(both))).otherwise(F.concat(groups, F.array(one(x))))
+
+    start = F.array().cast("array<struct<bad: bigint, rows: bigint, nodes: array<string>>>")
+    groups = listed.select("parent", F.explode(F.aggregate("all", start, add)).alias("g"))
+    member = groups.select(F.col("parent").alias("of_parent"), F.explode("g.nodes").alias("of_node"), F.col("g.bad").alias("group_bad"), F.col("g.rows").alias("group_rows"))
+    return counted.join(member, (F.col("node") == F.col("of_node")) & F.col("parent").eqNullSafe(F.col("of_parent"))).drop("of_parent", "of_node")
 
 
-def decisive_branches(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, depth, share) of the branches that stay apart, hosts against all pages, others against their parent; and the one row (all_bad, all_rows) of all pages.
+def decisive_branches(paths: DataFrame) -> tuple[DataFrame, tuple[int, int] | None]:
+    """(node, depth, share) of the branches that stay apart, hosts against all pages, others against their parent; and (bad, rows) of all pages.
 
-    pages: (nodes, bad), bad being 1, 0 or null where unlabelled.
+    paths: (nodes, bad, rows), rows being the labelled pages of a path; None stands for no labels.
     """
-    deep = pages.where("bad is not null").select("bad", F.posexplode("nodes").alias("depth", "node"), "nodes")
+    deep = paths.where("rows > 0").select("bad", "rows", F.posexplode("nodes").alias("depth", "node"), "nodes")
     parent = F.when(F.col("depth") > 0, F.get("nodes", F.col("depth") - 1))
-    counted = deep.groupBy("node", "depth", parent.alias("parent")).agg(F.sum("bad").alias("bad"), F.count("*").alias("rows"))
-    counted = settle(counted, "branches")
-    whole = counted.where("depth = 0").agg(F.sum("bad").alias("all_bad"), F.sum("rows").alias("all_rows"))
-    up = counted.select(F.col("node").alias("up_node"), F.col("bad").alias("up_bad"), F.col("rows").alias("up_rows"))
-    both = counted.join(up, F.col("parent") == F.col("up_node"), "left").crossJoin(F.broadcast(whole))  # one row
-    both = both.withColumn("p", F.coalesce(F.col("up_bad"), F.col("all_bad")) / F.coalesce(F.col("up_rows"), F.col("all_rows")))
-    far = F.abs(F.col("bad") - F.col("rows") * F.col("p")) / F.sqrt(F.greatest(F.col("rows") * F.col("p") * (1 - F.col("p")), F.lit(0.25)))
-    share = (F.col("bad") + SMOOTHING * F.col("p")) / (F.col("rows") + SMOOTHING)
-    return both.where(far >= DEVIATE).select("node", "depth", share.alias("share")), whole
+    counted = settle(deep.groupBy("node", "depth", parent.alias("parent")).agg(F.sum("bad").alias("bad"), F.sum("rows").alias("rows")), "branches")
+    whole = counted.where("depth = 0").agg(F.sum("bad").alias("bad"), F.sum("rows").alias("rows")).first()  # one row
+    if whole["rows"] is None:
+        return counted.select("node", "depth", F.lit(0.0).alias("share")), None
+    # hosts have no parent to be gathered under: each stands for itself
+    hosts = counted.where("depth = 0").withColumn("group_bad", F.col("bad")).withColumn("group_rows", F.col("rows"))
+    merged = merge_siblings(counted.where("depth > 0")).select(*hosts.columns).unionByName(hosts)
+    up = counted.select(F.col("node").alias("up_node"), F.col("depth").alias("up_depth"), F.col("bad").alias("up_bad"), F.col("rows").alias("up_rows"))
+    both = merged.join(up, (F.col("parent") == F.col("up_node")) & (F.col("depth") == F.col("up_depth") + 1), "left")
+    both = both.withColumn("p", F.coalesce(F.col("up_bad") / F.col("up_rows"), F.lit(whole["bad"] / whole["rows"])))
+    far = F.abs(F.col("group_bad") - F.col("group_rows") * F.col("p")) / F.sqrt(F.greatest(F.col("group_rows") * F.col("p") * (1 - F.col("p")), F.lit(0.25)))
+    share = (F.col("group_bad") + SMOOTHING * F.col("p")) / (F.col("group_rows") + SMOOTHING)
+    return both.where(far >= DEVIATE).select("node", "depth", share.alias("share")), (whole["bad"], whole["rows"])
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, bad_share) of every row of pages (page_id, url).
 
-    labels (doc_id, quality): pages are labelled by the row of their id, bad where quality is 0; pages
-    that a rule fits are not learnt from.  rule is the longest that fits, else null; verdict is the rule's, else block
+    labels (doc_id, quality): pages are labelled by the row of their id, bad where quality is 0 in any of that
+    id's rows; pages that a rule fits are not learnt from.  rule is the longest that fits, else null;
+    a rule's path must start the url's, so an empty path fits none.  verdict is the rule's, else block
     where the template's smoothed bad share is at least one half; that of all labelled pages stands in
     where no branch of the template stays apart.  A null url, or one without ://,
-    has an empty host and path, and is judged as the tree's empty host.  Repeated rows are judged
-    alike; other columns are ignored.
+    has an empty host and path, and is judged as the tree's empty host.  Repeated rows count as often as they occur
+    and are judged alike; a null page_id has no label; urls may be of any length and depth; other columns are
+    ignored.  Without labels all pages that no rule fits are allowed.  No rows give no rows.
     """
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    named = _nodes(named.withColumn("rule", _ruled(0)).withColumn("ruled", _ruled(1)))
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
-    learnt = named.where("rule is null").join(known, F.col("page_id") == F.col("doc_id")).select("nodes", "bad")
-    branches, whole = decisive_branches(learnt)
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("known_bad"))
+    labelled = named.join(known, F.col("page_id") == F.col("doc_id"), "left")
+    paths = labelled.groupBy("host", "path").agg(F.count("*").alias("pages"), F.coalesce(F.sum("known_bad"), F.lit(0)).alias("bad"), F.count("known_bad").alias("rows"))
+    paths = settle(path_templates(paths.withColumn("rule", _ruled(0)).withColumn("ruled", _ruled(1))), "templates")
+    branches, whole = decisive_branches(paths.where("rule is null").select("nodes", "bad", "rows"))
     branches = settle(branches, "decisive")
+    template, overall = F.element_at("nodes", -1), F.lit(whole[0] / whole[1] if whole else None).cast("double")
     # the distinct templates, not the pages, meet the branches
-    templates = named.where("rule is null").groupBy("nodes").agg(F.count("*").alias("pages"))
-    met = templates.select("nodes", F.explode("nodes").alias("node")).join(branches, "node").groupBy("nodes").agg(F.max(F.struct("depth", "share")).alias("m"))
-    judged = named.join(met.select(F.element_at("nodes", -1).alias("met_node"), F.col("m.share").alias("met_share")), F.element_at(named["nodes"], -1) == F.col("met_node"), "left")
-    overall = whole.select(F.try_divide("all_bad", "all_rows").alias("overall"))  # one row, whatever the input
-    judged = judged.crossJoin(F.broadcast(overall)).withColumn("bad_share", F.coalesce("met_share", F.when(F.col("rule").isNull(), F.col("overall"))))
+    met = paths.where("rule is null").select("nodes").distinct().select(template.alias("met_template"), F.posexplode("nodes").alias("at", "met_node"))
+    met = met.join(branches, (F.col("met_node") == F.col("node")) & (F.col("at") == F.col("depth"))).groupBy("met_template").agg(F.max(F.struct("depth", "share")).alias("m"))
+    judged = paths.select("host", "path", "rule", "ruled", template.alias("template")).join(met.select("met_template", F.col("m.share").alias("met_share")), F.col("template") == F.col("met_template"), "left")
+    judged = judged.withColumn("bad_share", F.when(F.col("rule").isNull(), F.coalesce("met_share", overall)))
     verdict = F.coalesce("ruled", F.when(F.coalesce(F.col("bad_share"), F.lit(0.0)) >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.element_at("nodes", -1).alias("template"), "bad_share")
+    judged = settle(judged.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "rule", verdict.alias("verdict"), "template", "bad_share"), "judged")
+    for used in (branches, paths):
+        discard(used)
+    # a url that very many pages share makes a hot key, whose pages Spark splits
+    out = named.join(judged, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")))
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", "bad_share")
