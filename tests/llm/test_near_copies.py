@@ -123,6 +123,9 @@ def test_components_of_paths_and_stars(spark, one_task):
     assert connected_components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
+PASSAGES = {"unit_words": line_dedup.PASSAGE_UNIT, "run_words": line_dedup.PASSAGE_RUN}
+
+
 def passage(tag, n=60):
     return " ".join(f"{tag}{i}" for i in range(n)) + "."
 
@@ -141,7 +144,7 @@ def test_repeated_passages_keep_the_first(spark):
         (None, p),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("repeats", F.lit("x")).withColumn("removed", F.lit(0))
-    got = {r["doc_id"]: r for r in line_dedup.without_repeats(docs).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.without_repeats(docs, **PASSAGES).collect()}
     text = dict(rows)
     assert got[1]["text"] == text[1] and got[2]["text"] == text[2] and got[4]["text"] == text[4]
     assert got[6]["text"] is None and got[7]["text"] == "" and got[8]["text"] == "" and got[None]["text"] == ""
@@ -150,7 +153,7 @@ def test_repeated_passages_keep_the_first(spark):
     for d in (3, 5):
         (span,) = got[d]["removed"]
         assert text[d][span["start"] : span["end"]].lower() == p and span["words"] == 60
-    changed = line_dedup.without_repeats(docs.select("doc_id", "text"), only_changed=True)
+    changed = line_dedup.without_repeats(docs.select("doc_id", "text"), only_changed=True, **PASSAGES)
     assert {r["doc_id"] for r in changed.collect()} == {3, 5, 8, None}
     assert line_dedup.without_repeats(docs.where("doc_id > 99")).count() == 0
 
@@ -166,7 +169,7 @@ def test_repeated_passages_of_short_lines_keep_the_first(spark):
         (5, "\n".join(["ha"] * 60)),
         (6, "\n".join(f"u{i}" for i in range(60))),
     ]
-    got = {r["doc_id"]: r for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **PASSAGES).collect()}
     text = dict(rows)
     assert got[1]["text"] == text[1] and got[6]["text"] == text[6]
     assert got[2]["text"] == "Start of two here.\nEnd of two here." and got[3]["text"] == "x\ny y\nz"
@@ -174,6 +177,40 @@ def test_repeated_passages_of_short_lines_keep_the_first(spark):
     assert got[5]["text"].split() == ["ha"] * 3  # the earliest occurrence of a row of three words
 
 
+def units_by_hand(text):
+    """(start, end, normalised words) of every unit."""
+    out, now = [], []
+    for m in WORD.finditer(text or ""):
+        if now and ("\n" in text[now[-1].end() : m.start()] or now[-1].group()[-1] in ".!?,;:"):
+            out.append(now)
+            now = []
+        now.append(m)
+    return [(u[0].start(), u[-1].end(), tuple(w.group().translate(LOWER) for w in u)) for u in [*out, *([now] if now else [])]]
+
+
+def test_every_repeated_unit_goes_by_default(spark):
+    rng = random.Random(6)
+    lines = ["Licensed under terms.", "yes", "é, ä; Ö", *(" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 6))) for _ in range(40))]
+    rows = [(i, rng.choice(["\n", "  \n", "\n\n"]).join(rng.choice(lines) for _ in range(rng.randint(0, 8)))) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "\n".join(f"Long {k}, line {k % 700}." for k in range(20_000))), (None, "yes"), (5, "yes\nno no no")]
+    got = {}
+    for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r["doc_id"], []).append(sorted((s["start"], s["end"]) for s in r["removed"]))
+    first, gone = {}, {}
+    for rank, (d, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        for k, (_, _, words) in enumerate(units_by_hand(text)):
+            first.setdefault(words, (2**63 if d is None else d, k))
+            first[words] = min(first[words], (2**63 if d is None else d, k))
+    for d, text in rows:
+        if d == 5:
+            continue  # two texts under one id
+        gone = [k for k, (_, _, words) in enumerate(units_by_hand(text)) if (2**63 if d is None else d, k) != first[words]]
+        spans = sorted(x for s in got[d] for x in s)
+        listed = units_by_hand(text)
+        covered = [k for k, (a, b, _) in enumerate(listed) if any(s <= a and b <= e for s, e in spans)]
+        assert covered == gone, d
+
+
 def unit(x):
     return x / np.linalg.norm(x)
 

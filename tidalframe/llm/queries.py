@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as quality_rules_module
 from .embed_dedup import embedding_components
-from .line_dedup import without_repeats
+from .line_dedup import PASSAGE_RUN, PASSAGE_UNIT, without_repeats
 from .mixing import mix_plan
 from .ngram_join import ngram_jaccard_components
 from .orc_tokens import encode_to_orc
@@ -76,7 +76,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lose a passage: doc_id, removed (start, end, words) and the text that stays."""
-    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), only_changed=True).select("doc_id", "removed", "text")
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), True, PASSAGE_UNIT, PASSAGE_RUN).select("doc_id", "removed", "text")
 
 
 @query
