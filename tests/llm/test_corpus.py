@@ -1,5 +1,6 @@
 """Quality, toxicity, mixing, packing, token files, URLs and the pipeline."""
 
+import itertools
 import random
 import re
 import zlib
@@ -120,6 +121,39 @@ def test_rule_ensemble_learns_held_out_rows(spark, tables):
     assert none.select("score").distinct().count() == 1
 
 
+def test_quality_scores_match_rules_applied_by_hand(spark, tables):
+    docs, labels, rows = tables
+    both = with_odd(spark, docs)
+    model = rule_ensemble.trained(docs, labels)
+    assert model.rules
+
+    def by_hand(text):
+        t = text or ""
+        n, chars, symbols, dup, repeat = statistics(t)
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        of = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": len(lines), "n_upper": len(re.findall("[A-Z\xc0-\xde]", t)), "n_bangs": t.count("!"), "n_pipes": t.count("|"), "n_distinct": len(set(w))}
+        x = [float(n), *(of[a] / of[b] if of[b] else 0.0 for a, b in rule_ensemble.SHARES.values())]
+        total = model.intercept + sum(weight for rule, weight in zip(model.rules, model.weights, strict=True) if all((x[f] > cut) == above for f, above, cut in rule))
+        return 1 / (1 + np.exp(-total))
+
+    for r in rule_ensemble.quality_scores(both, labels).join(both.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert r["score"] == pytest.approx(by_hand(r["text"])) and r["predicted"] == int(r["score"] >= 0.3)
+    assert rule_ensemble.quality_scores(docs.where("doc_id < 0"), labels).count() == 0
+
+
+def test_labels_that_disagree_count_as_one(spark, tables):
+    docs, labels, _ = tables
+    more = labels.unionByName(labels.select("doc_id", F.lit(0).cast("int").alias("quality"), F.lit(0).cast("int").alias("toxic")))
+    for name in ("quality", "toxic"):
+        rows = [sorted(map(tuple, toxicity.training_rows(docs, some, name).collect())) for some in (labels, more.repartition(5))]
+        assert rows[0] == rows[1] and len({r[0] for r in rows[0]}) == len(rows[0])
+    twice = docs.unionByName(docs.select("doc_id", F.concat("text", F.lit(" x")).alias("text"), "lang", "source"))
+    taken = toxicity.training_rows(twice, labels, "toxic").collect()
+    assert len({r["doc_id"] for r in taken}) == len(taken)
+    few = toxicity.training_rows(docs, labels, "toxic", most_bytes=20_000).collect()
+    assert 0 < len(few) < len(taken) and sum(len(r["text"].encode()) for r in few) <= 20_000
+
+
 def test_rules_compile_to_what_they_say():
     x = np.array([[1.0, 0.0], [3.0, 0.0], [3.0, 5.0]] * 30)
     y = np.array([0, 1, 0] * 30, float)
@@ -165,6 +199,54 @@ def test_toxicity_restores_words_at_any_length_and_place(spark, tables):
     assert all(scores[i] > scores[10] for i in range(len(runs)))
 
 
+def test_restored_words_are_the_best_of_all_readings(spark, tables):
+    model = toxicity.trained(*tables[:2]).letters
+
+    def options(c, n):
+        """What a run of n times c may stand for, with its cost."""
+        out = []
+        for letter, cost in [(c, 0.0)] if c.isalpha() else [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET.get(c, "")]:
+            if n == 1:
+                out.append((letter, cost))
+            elif n == 2:
+                out += [(letter * 2, 2 * cost), (letter, cost + toxicity.DOUBLE)]
+            else:
+                out += [(letter, cost + toxicity.STRETCH), (letter * 2, 2 * cost + toxicity.STRETCH + toxicity.DOUBLE / 2)]
+        if c in toxicity.SEPARATORS or not out:
+            out.append(("", toxicity.SEPARATE if c in toxicity.SEPARATORS else 3.0))
+        return out
+
+    def score(word, cost):
+        padded = f"^^{word}$"
+        return sum(model.step(padded[i - 2 : i], padded[i]) for i in range(2, len(padded))) - cost
+
+    rng = random.Random(2)
+    tokens = ["gr0bn1k", "v1le$cum", "t!1||e", "aa--bb@@", "5555", "x", *("".join(rng.choice("aegot013457@$!|-.*") for _ in range(rng.randint(1, 7))) for _ in range(150))]
+    for token in tokens:
+        runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", token)]
+        best = max(score("".join(x for x, _ in path), sum(c for _, c in path)) for path in itertools.product(*(options(*r) for r in runs)))
+        word = toxicity.restore(token, model)
+        own = max(score(word, sum(c for _, c in path)) for path in itertools.product(*(options(*r) for r in runs)) if "".join(x for x, _ in path) == word)
+        assert own == pytest.approx(best), token
+
+
+def test_toxicity_scores_match_marks_added_by_hand(spark, tables):
+    docs, labels, rows = tables
+    model = toxicity.trained(docs, labels)
+    more = [(7001, "such a gr0bn1k and v1le$cum, v i l e s c u m with tr4shly words"), (7002, ""), (7003, None), (7004, "grobnik " * 3000), (7004, "grobnik " * 3000), (None, "grobnak")]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumn("score", F.lit("clash"))
+    text = {r[0]: r[1] for r in [*rows, *more]}
+    for r in toxicity.toxicity(both, labels).collect():
+        lower = (text[r["doc_id"]] or "").lower()
+        tokens = {*lower.split(), *(w for run in toxicity.spelt_out(lower) for w in toxicity.spelt_words(run, model.letters))}
+        stems = dict(m for t in tokens if (m := model.weigh(t))[1])
+        mark = sum(w * toxicity.FADING**k for k, w in enumerate(sorted(stems.values(), reverse=True)))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(model.intercept + model.slope * mark, -30, 30)))), r["doc_id"]
+        assert r["predicted"] == int(r["score"] >= 0.5)
+    none = docs.where("doc_id < 0")
+    assert toxicity.toxicity(none, labels).count() == 0 and toxicity.without_toxic(none, labels).count() == 0
+
+
 def test_toxicity_scores_follow_the_share_of_all_labels():
     rows = [(f"plain words {i}", 0) for i in range(300)] + [(f"plain grobnik {i}", 1) for i in range(300)]
     even, rare = toxicity.fit(rows), toxicity.fit(rows, 0.1)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text_stats import SHARES, share, with_statistics
-from .toxicity import held_out, training_rows
+from .toxicity import held_out, training_rows, usable_labels
 
 #: Labelled rows that the rules are fitted on at most, half of each label at most.
 SAMPLE_ROWS = 8000
@@ -115,7 +115,7 @@ def features(df: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ensemble:
     rows = features(training_rows(docs, labels, "quality", sample_rows)).toPandas().sort_values([*FEATURES, "label"])
-    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out()).agg(F.avg("quality")).first()[0]
+    usable = usable_labels(labels, "quality").agg(F.avg("label")).first()[0]
     return fit(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float), usable)
 
 
@@ -123,7 +123,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text).
 
     labels (doc_id, quality) is used only for rows whose crc32(doc_id as text) mod 5 isn't 0, at most
-    sample_rows of them.  Null and empty texts are scored by their statistics, which are 0; without
+    sample_rows of them; a doc_id with labels of both kinds counts as 1.  Null and empty texts are scored by their statistics, which are 0; without
     labels of both kinds all scores are equal.  A null doc_id is not held out.  Repeated rows score
     alike.  Other columns are ignored.
     """
