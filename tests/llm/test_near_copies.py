@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidalframe.llm import embed_dedup, line_dedup, ngram_join
+from tidalframe.llm import embed_dedup, line_dedup, ngram_join, storage
 from tidalframe.llm.arrow_text import U64
 from tidalframe.llm.components import connected_components
 
@@ -66,6 +66,27 @@ def test_ngram_components_match_brute_force(spark):
     got = ngram_join.ngram_jaccard_components(docs).collect()
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(map(key, got)) == sorted(key((r[0], len(x), c)) for r, x, c in zip(rows, s, want, strict=True))
+    assert sorted(map(key, ngram_join.ngram_jaccard_components(docs, partitions=None).collect())) == sorted(map(key, got))
+
+
+def test_signatures_of_all_partitions_hold_those_of_the_first():
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.integers(0, 2**63, 3000).astype(U64))
+    some, every = (set(ngram_join.signatures(x, np.array([0, len(x)]), np.array([1]), 75, n)[0].tolist()) for n in (ngram_join.ENUMERATED, None))
+    assert some < every and len(every) > 10 * len(some)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Cluster)
 
 
 def test_crowds_are_still_compared(spark, monkeypatch):

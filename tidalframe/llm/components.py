@@ -59,7 +59,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 64, one_task: int =
     """
     now = settle(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
     if now.count() <= one_task:
-        now = settle(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "forest")
+        whole = settle(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "forest")
+        discard(now)
+        now = whole
         max_rounds = 0
     mark = None
     for _ in range(max_rounds):

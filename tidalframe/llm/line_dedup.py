@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import U64, chunks, flatten, mix, segment_sum, word_bounds, word_hashes
 from .storage import settle
-from .workers import lean
+from .workers import bounded_batches, lean
 
 #: For passages: units of fewer words have digests with their neighbours only, up to this many words, and go between two
 #: removed units; repeated units in a row go if they have this many words together.
@@ -189,6 +189,7 @@ def _repeats(least: int) -> Callable:
 def repeated_units(docs: DataFrame, unit_words: int = 1) -> DataFrame:
     """(doc_id, repeats: array of unit numbers) of documents with a unit that occurs earlier; a null doc_id ranks last, as 2^63 - 1."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(8, (2 * parts - 1).bit_length())
     blobs = docs.select("doc_id", "text").mapInArrow(_digest(buckets, unit_words), "bucket int, kind int, blob binary")

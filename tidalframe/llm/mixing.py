@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import discard, settle
 
 #: A table of sources up to this many rows (under 100 bytes each) is broadcast, a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -66,7 +66,10 @@ def plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int) ->
     free = keys.alias("k").join(cut.alias("c"), F.col("k.source").eqNullSafe(F.col("c.source"))).where("place > upto and abs(size - gap) < gap")
     filler = free.groupBy("k.source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place")).alias("m")).select("source", F.col("m.place").alias("filler"))
     out = goal.join(cut.select(F.col("source").alias("cs"), "upto"), F.col("source").eqNullSafe(F.col("cs")), "left").join(filler.select(F.col("source").alias("fs"), "filler"), F.col("source").eqNullSafe(F.col("fs")), "left")
-    return settle(out.select("source", "source_size", "target", "whole", "upto", "filler"), "mix")
+    out = settle(out.select("source", "source_size", "target", "whole", "upto", "filler"), "mix")
+    discard(goal)
+    discard(cut)
+    return out
 
 
 def with_repetitions(rows: DataFrame, planned: DataFrame) -> DataFrame:

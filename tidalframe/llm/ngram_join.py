@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrow_text import U64, chunks, distinct_sets, flatten, mix, segment_sum, shingle_hashes, word_bounds, word_hashes
 from .components import connected_components
 from .storage import discard, settle
-from .workers import lean
+from .workers import bounded_batches, lean
 
 #: Partitions enumerated for one window, and parts of each partition.
 ENUMERATED, PARTS = 38, 3
@@ -61,13 +61,14 @@ def windows(threshold: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return low, n1, -(-ENUMERATED // np.maximum(n1, 1))
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets and the key of the set each comes from.
+def signatures(hashes: np.ndarray, offsets: np.ndarray, keys: np.ndarray, threshold: int, partitions: int | None = ENUMERATED) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets and the key of the set each comes from; of a window's partitions the first `partitions`, None being all.
 
     The lowest bit of a signature is 1 if the set is of the window's upper band.
     """
     sizes = np.diff(offsets)
     low, n1, seeds = windows(threshold, int(sizes.max(initial=1)))
+    most = int(n1.max()) if partitions is None else partitions
     band = np.searchsorted(low, sizes, "right") - 1
     out, owners = [], []
     for upper in (0, 1):
@@ -83,12 +84,12 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, keys: np.ndarray, thresh
             owner = np.repeat(np.arange(len(docs)), length)
             x = mix(hashes[at] ^ mix(np.full(1, seed + 1, U64))[0])
             part = ((x >> U64(32)) * n1[window[docs]].astype(U64)[owner] >> U64(32)).astype(np.int64)
-            near = part < ENUMERATED
+            near = part < most
             x, part, owner = x[near], part[near], owner[near]
             third = ((x & U64(0xFFFFFFFF)) * U64(PARTS) >> U64(32)).astype(np.int64)
-            cells = np.zeros((len(docs), ENUMERATED, PARTS), U64)
-            np.add.at(cells.reshape(-1), (owner * ENUMERATED + part) * PARTS + third, mix(x))
-            place = (window[docs].astype(U64)[:, None] << U64(32)) + U64(seed << 16) + np.arange(ENUMERATED, dtype=U64)[None, :] * U64(4)
+            cells = np.zeros((len(docs), most, PARTS), U64)
+            np.add.at(cells.reshape(-1), (owner * most + part) * PARTS + third, mix(x))
+            place = (window[docs].astype(U64)[:, None] << U64(32)) + U64(seed << 20) + np.arange(most, dtype=U64)[None, :] * U64(4)
             for number, (a, b) in enumerate(_SUBSETS):
                 one, two = cells[:, :, a], cells[:, :, b]
                 doc, cell = np.nonzero((one != 0) | (two != 0))
@@ -111,7 +112,7 @@ def shingle_sets(texts: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray
     return sets, offsets, keys
 
 
-def _signer(k: int, threshold: int, buckets: int) -> Callable:
+def _signer(k: int, threshold: int, buckets: int, partitions: int | None) -> Callable:
     shift = U64(64 - buckets.bit_length() + 1)
 
     def pack(held: list[tuple[np.ndarray, np.ndarray]], kind: int) -> pa.RecordBatch:
@@ -136,7 +137,7 @@ def _signer(k: int, threshold: int, buckets: int) -> Callable:
             length = np.diff(offsets)[fresh]
             at = np.concatenate([[0], np.cumsum(length)])
             take = np.repeat(offsets[fresh] - at[:-1], length) + np.arange(at[-1])
-            held.append(signatures(sets[take], at, keys[fresh], threshold))
+            held.append(signatures(sets[take], at, keys[fresh], threshold, partitions))
             size += len(held[-1][0]) * 16
             if size >= _FLUSH:
                 yield pack(held, 0)
@@ -396,13 +397,14 @@ def _checker(threshold: int) -> Callable:
     return run
 
 
-def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75, partitions: int | None = ENUMERATED) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, key) of every row of docs (doc_id, text), and (node, component) over keys of linked sets."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(8, (2 * parts - 1).bit_length())
-    blobs = docs.mapInArrow(_signer(k, threshold, buckets), "bucket int, kind int, blob binary")
+    blobs = docs.mapInArrow(_signer(k, threshold, buckets, partitions), "bucket int, kind int, blob binary")
     met = blobs.select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_collide, "gid long, key long, crowd boolean")
     met = settle(met.distinct(), "met")
     named = met.groupBy("gid").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(key))").alias("members")).where("size > 1")
@@ -422,6 +424,7 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75) -> tuple[Data
     )
     members = settle(members, "members")
     discard(groups)
+    discard(met)
 
     edges, linked, tested = None, None, None
     for turn, most in enumerate((0, *ROUNDS)):
@@ -438,24 +441,28 @@ def similar_sets(docs: DataFrame, k: int = 5, threshold: int = 75) -> tuple[Data
         tested = pairs if tested is None else tested.unionByName(pairs)
         one, two = (sets.select(F.col("key").alias(side), F.col("elements").alias(f"{side}_elements")) for side in "ab")
         checked = pairs.where("not cut").join(one, "a").join(two, "b").select("a", "b", "a_elements", "b_elements").mapInArrow(_checker(threshold), "a long, b long")
-        edges = checked if edges is None else edges.unionByName(checked)
-        edges = settle(edges, "links")
+        before, edges = edges, settle(checked if edges is None else edges.unionByName(checked), "links")
+        if before is not None:
+            discard(before)
         linked = connected_components(edges)
         if not pairs.where("cut").head(1):
             break
+    for used in (members, sets, tested, edges):
+        discard(used)
     return keyed, linked
 
 
-def ngram_jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 75, partitions: int | None = ENUMERATED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string).
 
     Texts link when 100 * common >= threshold * all of their sets of k-word shingles (A-Z lower-cased);
     component_id is the smallest doc_id reachable by links.  A text with fewer than k words is one
     shingle; null, empty and blank texts have none and link with nothing (component_id is doc_id).
     Repeated rows are returned as often as they occur and link with each other.  A null doc_id is
-    returned, and never names a component that has another.  Other columns are ignored.
+    returned, and never names a component that has another.  Other columns are ignored; no rows give no rows.
+    partitions: see the module; None enumerates all, at about three times the signatures.
     """
-    keyed, linked = similar_sets(docs, k, threshold)
+    keyed, linked = similar_sets(docs, k, threshold, partitions)
     named = keyed.join(linked, keyed["key"] == linked["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("group"))
     least = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     return named.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .arrow_text import chunks
 from .storage import new_path, settle
 from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
-from .workers import lean
+from .workers import bounded_batches, lean
 
 #: ORC's own settings: a row index entry every so many rows, the bytes of a stripe, the Bloom filter.
 ORC_OPTIONS = {"orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
@@ -46,6 +46,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     share takes several files.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.rand(7).alias("spread"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = rows.repartitionByRange(parts, "doc_id", "tie", "spread").sortWithinPartitions("doc_id", "tie")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .arrow_text import chunks
 from .storage import settle
 from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
-from .workers import lean
+from .workers import bounded_batches, lean
 
 #: Hash buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 256
@@ -131,6 +131,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     rows are packed as often as they occur; a null doc_id is packed too.  Other columns are ignored.
     No rows give no pieces.
     """
+    bounded_batches(docs.sparkSession)
     pieces = docs.select("doc_id", "text").mapInArrow(_piecer(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = settle(pieces, "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
     counted = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))

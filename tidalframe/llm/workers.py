@@ -7,6 +7,10 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of text that travel to a worker at once.
+TEXT_ROWS = 1000
 
 
 def _trim() -> None:
@@ -17,6 +21,13 @@ def _trim() -> None:
         trim(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to workers TEXT_ROWS at a time: its default holds whole batches of ten times as many texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that leaves no freed memory behind in its worker."""
 
