@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Days between reference and publication by source.
 SOURCE_LAGS = {"eia": 5, "cot": 3, "alpha_vantage": 30, "gpr": 1, "gecon": 30}
+#: The same by macro series.
+SERIES_LAGS = {
+    "unemployment": 38, "cpi": 45, "indpro": 48, "oil_prod_ip": 48, "cap_util": 48, "pmi_mfg": 32, "miles_driven": 75, "epu_global": 38, "igrea": 45, "nfci": 7, "stlfsi": 7, "fed_balance": 7,
+    "retail_gas": 7, "usd_index": 0, "fed_funds": 0, "t10y2y": 0, "t5yie": 0, "t10yie": 0, "ovx": 0, "hy_spread": 0, "epu_us": 30, "ig_spread": 0, "ted_spread": 0, "rrp": 0,
+}
+
+log = logging.getLogger(__name__)
 
 
 def shift_publication(df: DataFrame, date: str, days: int | None) -> DataFrame:
@@ -21,6 +30,16 @@ def published(series: DataFrame, lags: DataFrame) -> DataFrame:
     return out.select("series", "ref_date", F.date_add("ref_date", F.coalesce("lag_days", F.lit(0)).cast("int")).alias("avail_date"), "value")
 
 
+def published_series(series: DataFrame, overrides: dict[str, int] | None = None) -> DataFrame:
+    """published() by SERIES_LAGS, or by the overrides alone if any are given ({}: nothing is moved); series without a lag are logged."""
+    lags = SERIES_LAGS if overrides is None else overrides
+    table = series.sparkSession.createDataFrame(sorted(lags.items()), "series string, lag_days int")
+    if overrides is None:
+        for r in unknown_series(series, table).orderBy("series").limit(100).collect():  # names for the log
+            log.warning("%s has no publication lag: taken as known on its date", r["series"])
+    return published(series, F.broadcast(table))  # as many rows as there are entries
+
+
 def unknown_series(series: DataFrame, lags: DataFrame) -> DataFrame:
     """Series that have no entry among the lags."""
     return series.select("series").distinct().join(lags, "series", "left_anti")
@@ -69,6 +88,19 @@ def forward_filled(df: DataFrame, keys: list[str], order: str, columns: list[str
     return filled.na.drop(subset=required)
 
 
+def date_range(df: DataFrame, date: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows from the first to the last date, both included; an open end is None."""
+    for bound, keep in ((first, lambda b: F.col(date) >= b), (last, lambda b: F.col(date) <= b)):
+        df = df if bound is None else df.where(keep(F.lit(bound).cast("date")))
+    return df
+
+
+def last_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """Each key's n last rows by an order without ties."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def nearest_date(df: DataFrame, date: str, wanted: str) -> DataFrame:
     """The row of the first date from `wanted` on, or of the last date."""
     key = F.struct((F.col(date) < F.lit(wanted).cast("date")).alias("past"), F.when(F.col(date) >= F.lit(wanted).cast("date"), F.datediff(date, F.lit(wanted).cast("date"))).otherwise(F.datediff(F.lit(wanted).cast("date"), date)).alias("far"))

@@ -7,17 +7,20 @@ rows between plan boundaries gives its matrix, and a model's is the sum of its b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import norm_ppf
-from .gam import Fit, Gram, Term, fit, predict
-from .scores import LEVELS, deflated_sharpe, path_metrics
+from ..functions.columns import johnson_su_ppf
+from .distribution import fit_johnson_su, johnson_su_fits
+from .gam import Fit, Gram, Term, design_row, fit, predict, stepwise
+from .scores import LEVELS, backtest_scores, bates_granger, benchmark_tests, berkowitz_moments, deflated_sharpe, dm_p_value, path_metrics, point_metrics, probabilistic_scores
 from .splits import cpcv_combos, cpcv_paths, cpcv_splits, fold_bounds, walk_forward_plan
+from .volatility import next_sigma
 
 
 def block_grams(df: DataFrame, terms: list[Term], y: str, block: str) -> dict[int, Gram]:
@@ -51,44 +54,151 @@ def summed(grams: list[Gram]) -> Gram:
 
 @dataclass(frozen=True)
 class WalkForward:
+    """A plan and how its models are made.
+
+    sigma_source: gam (the model's own deviation), garch (the next deviation of a GARCH or EWMA filter over
+    the out-of-sample residuals so far, once there are vol_rows) or blend (the root of both variances'
+    mean).  criterion: aic or bic for a backward selection inside each fold, down to `most` terms at least where given.
+    The bands' shape is fitted to the last shape_tail out-of-sample residuals once there are shape_rows, else to the
+    residuals of the training rows.
+    """
+
     initial_frac: float = 0.6
     refit: int = 63
     test: int = 63
     embargo: int = 0
     lams: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)
+    sigma_source: str = "gam"
+    criterion: str | None = None
+    most: int | None = None
+    shape_rows: int = 200
+    shape_tail: int = 1000
+    vol_rows: int = 150
+
+
+def scored_by(rows: DataFrame, fits: list[Fit], spans: list[tuple[int, int, int, int]], keep: list[str]) -> DataFrame:
+    """(version, kind, keep, mu, sigma): rows scored by each span's fit, in one pass; spans are (version, kind, first, end) of row_pos."""
+    shared = rows.sparkSession.sparkContext.broadcast(([(f.terms, f.beta, f.cov, f.scale) for f in fits], spans))
+    needed = list(dict.fromkeys([n for f in fits for t in f.terms for n in (t.name, *([t.other.name] if t.other else []))]))
+    wanted = list(dict.fromkeys([*keep, *needed]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, listed = shared.value
+        for batch in batches:
+            at = batch.column(wanted.index("row_pos")).to_numpy()
+            kept = batch.select(range(len(keep)))
+            frame = pa.Table.from_batches([batch]).select(needed).to_pandas().astype(float)
+            gone = frame.isna().any(axis=1).to_numpy()
+            frame = frame.fillna(0.0)
+            for version, kind, first, end in listed:
+                mine = np.flatnonzero((at >= first) & (at < end))
+                if not len(mine):
+                    continue
+                terms, beta, cov, scale = models[version]
+                x = design_row(terms, frame.iloc[mine])
+                mu, sigma = x @ beta, np.sqrt(np.maximum(((x @ cov) * x).sum(1) + scale, 0.0))
+                own = kept.take(pa.array(mine))
+                columns = [pa.array(np.full(len(mine), v, np.int32)) for v in (version, kind)]
+                yield pa.RecordBatch.from_arrays([*columns, *own.columns, pa.array(mu, mask=gone[mine]), pa.array(sigma, mask=gone[mine])], names=["version", "kind", *keep, "mu", "sigma"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*wanted).mapInArrow(run, "version int, kind int, " + ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", mu double, sigma double")
+
+
+def _shapes(versions: int, settings: WalkForward) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Per model the shape of its bands, and the filtered deviation, each from residuals known at its start."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.dropna(subset=["y", "mu", "sigma"])
+        test, train = f[f.kind == 1].sort_values(["version", "row_pos"]), f[f.kind == 0]
+        version, e, sigma = test["version"].to_numpy(), (test["y"] - test["mu"]).to_numpy(), test["sigma"].to_numpy().copy()
+        out = []
+        for v in range(versions):
+            past, own = int(np.searchsorted(version, v)), slice(*np.searchsorted(version, [v, v + 1]))
+            if past >= settings.shape_rows:
+                lo = max(past - settings.shape_tail, 0)
+                z = e[lo:past] / np.maximum(sigma[lo:past], 1e-8)
+            else:
+                t = train[train.version == v]
+                z = ((t["y"] - t["mu"]) / np.maximum(t["sigma"], 1e-8)).to_numpy()
+            vol = next_sigma(e[:past]) if settings.sigma_source != "gam" and past >= settings.vol_rows else None
+            vol = vol if vol is not None and np.isfinite(vol) and vol > 0 else None
+            if vol is not None:
+                sigma[own] = vol if settings.sigma_source == "garch" else np.sqrt((sigma[own] ** 2 + vol**2) / 2)
+            out.append((v, *fit_johnson_su(z, True), vol))
+        return pd.DataFrame(out, columns=["version", "nu", "tau", "loc", "scale", "vol"]).astype({"version": "int32", "vol": float})
+
+    return run
 
 
 def walk_forward(rows: DataFrame, n: int, terms: list[Term], settings: WalkForward = WalkForward(), log_return: bool = True) -> DataFrame:
-    """The out-of-sample path of rows (row_pos, date, t1, y, y_level, anchor, features).
+    """The out-of-sample path of rows (row_pos, date, t1, y, y_level, anchor, features) of one series.
 
     (date, y_true, y_pred, y_pred_model, sigma_model, y_anchor, model_version, lower_/upper_ at four
-    levels).  Models are fitted on all rows before their start and score the rows up to their end.  The
-    scale of the bands comes from the out-of-sample residuals of earlier models once there are 200.
+    levels).  Models are fitted on all rows before their start, from Gram matrices of one pass, and all
+    score the rows up to their end in one more.  Bands are those of a Johnson SU distribution (see
+    WalkForward); its shapes follow the series in time, so one task fits them.
     """
+    if settings.sigma_source not in ("gam", "garch", "blend"):
+        raise ValueError(f"unknown sigma source {settings.sigma_source!r}")
     plan = walk_forward_plan(n, settings.initial_frac, settings.refit, settings.test, settings.embargo)
     if not plan:
         raise ValueError("too few rows for the plan")
-    starts = [s for _, s, _ in plan]
     blocks = F.lit(0)
-    for i, s in enumerate(starts):
-        blocks = F.when(F.col("row_pos") >= s, i + 1).otherwise(blocks)
+    for i, (_, start, _) in enumerate(plan):
+        blocks = F.when(F.col("row_pos") >= start, i + 1).otherwise(blocks)
     grams = block_grams(rows.withColumn("_block", blocks), terms, "y", "_block")
-    parts = []
+    fits, spans, seen = [], [], 0
     for version, start, end in plan:
-        found = fit(summed([grams[b] for b in range(version + 1) if b in grams]), list(settings.lams))
-        part = predict(rows.where(F.col("row_pos").between(start, end - 1)), found, "mu", "sigma")
-        parts.append(part.withColumn("model_version", F.lit(version)))
-    path = parts[0]
-    for p in parts[1:]:
-        path = path.unionByName(p)
-    seen = Window.partitionBy(F.lit(0)).orderBy("model_version").rangeBetween(Window.unboundedPreceding, -1)
-    z = (F.col("y") - F.col("mu")) / F.greatest(F.col("sigma"), F.lit(1e-8))
-    path = path.withColumn("_z", z)
-    factor = F.coalesce(F.when(F.count("_z").over(seen) >= 200, F.sqrt(F.avg(F.col("_z") * F.col("_z")).over(seen))), F.lit(1.0))
-    path = path.withColumn("_s", F.col("sigma") * factor)
+        known = summed([grams[b] for b in range(version + 1) if b in grams])
+        fits.append(stepwise(known, list(settings.lams), settings.criterion, settings.most)[0] if settings.criterion else fit(known, list(settings.lams)))
+        spans += [(version, 1, start, end)] + ([(version, 0, 0, start)] if seen < settings.shape_rows else [])
+        seen += end - start
+    scored = scored_by(rows, fits, spans, ["row_pos", "date", "y", "y_level", "anchor"])
+    shapes = scored.select("version", "kind", "row_pos", "y", "mu", "sigma", F.lit(0).alias("series")).groupBy("series").applyInPandas(_shapes(len(plan), settings), "version int, nu double, tau double, loc double, scale double, vol double")
+    path = scored.where("kind = 1").join(F.broadcast(shapes), "version")  # one row a model
+    own = {"garch": F.coalesce("vol", "sigma"), "blend": F.coalesce(F.sqrt((F.col("sigma") * F.col("sigma") + F.col("vol") * F.col("vol")) / 2), F.col("sigma"))}.get(settings.sigma_source, F.col("sigma"))
+    path = path.withColumn("sigma", own)
     price = lambda v: F.col("anchor") * F.exp(v) if log_return else v
-    bands = [price(F.col("mu") + F.col("_s") * norm_ppf((1 + side * level) / 2)).alias(f"{name}_{round(level * 100)}") for level in LEVELS for side, name in ((-1, "lower"), (1, "upper"))]
-    return path.select("date", F.col("y_level").alias("y_true"), price(F.col("mu")).alias("y_pred"), F.col("mu").alias("y_pred_model"), F.col("_s").alias("sigma_model"), F.col("anchor").alias("y_anchor"), "model_version", *bands)
+    at, width = F.col("mu") + F.col("sigma") * F.col("loc"), F.col("sigma") * F.col("scale")
+    bands = [price(johnson_su_ppf((1 + side * level) / 2, F.col("nu"), F.col("tau"), at, width)).alias(f"{name}_{round(level * 100)}") for level in LEVELS for side, name in ((-1, "lower"), (1, "upper"))]
+    return path.select("date", F.col("y_level").alias("y_true"), price(F.col("mu")).alias("y_pred"), F.col("mu").alias("y_pred_model"), F.col("sigma").alias("sigma_model"), F.col("anchor").alias("y_anchor"), F.col("version").alias("model_version"), *bands)
+
+
+def path_scores(path: DataFrame, log_return: bool = True) -> dict[str, float]:
+    """All scores of a walk-forward path: errors against the anchor's, coverages, benchmark tests, and those of one Johnson SU fit in model space."""
+    actual = F.ln(F.col("y_true") / F.greatest(F.col("y_anchor"), F.lit(1e-12))) if log_return else F.col("y_true")
+    model = path.where("sigma_model > 0").select("date", actual.alias("y"), "y_pred_model", "sigma_model", (F.lit(0.0) if log_return else F.col("y_anchor")).alias("anchor"), ((actual - F.col("y_pred_model")) / F.col("sigma_model")).alias("z"), F.lit("path").alias("series"))
+    shape = johnson_su_fits(model, ["series"], "z", True).first()
+    su = [F.lit(shape[c]) for c in ("nu", "tau", "loc", "scale")]
+    found = backtest_scores(path).first().asDict() | benchmark_tests(path.withColumn("series", F.lit("path")), ["series"], "date", "y_true", "y_pred", "y_anchor", "y_anchor").drop("series").first().asDict()
+    prob = probabilistic_scores(model, ["series"], "y", "y_pred_model", "sigma_model", "anchor", *su).drop("series").first().asDict()
+    normal = su[0] + su[1] * F.asinh((F.col("z") - su[2]) / su[3])
+    lr, p = berkowitz_moments(model.withColumn("w", normal), "date", "w")
+    found |= {f"{k}_model": v for k, v in prob.items()} | {"berkowitz_lr_model": lr, "berkowitz_pvalue_model": p, "dm_pvalue": dm_p_value(found["dm_stat"], found["n"]) if found["dm_stat"] is not None else None}
+    return {k: None if v is None else float(v) for k, v in found.items()}
+
+
+#: What sources of the deviation are compared by.
+GATE = ("mspe_ratio", "dm_pvalue", "directional_accuracy", "pt_pvalue", "crps_model", "log_score_model", "berkowitz_pvalue_model", "coverage_95", "skill_rmse")
+
+
+def sigma_gate(rows: DataFrame, n: int, terms: list[Term], settings: WalkForward = WalkForward()) -> dict[str, dict[str, float]]:
+    """The scores of GATE under each source of the deviation."""
+    out = {}
+    for source in ("gam", "garch", "blend"):
+        found = path_scores(walk_forward(rows, n, terms, replace(settings, sigma_source=source)))
+        out[source] = {k: found[k] for k in GATE}
+    return out
+
+
+def weights_from_path(path: DataFrame) -> dict[str, float]:
+    """The weight of the forecast against the anchor that has the least squared error on a path, and what it gains."""
+    rows = path.withColumn("series", F.lit("path"))
+    best = bates_granger(rows, ["series"], "y_true", "y_pred", "y_anchor").first()
+    own = rows.agg(*[c.alias(f"{k}_{which}") for which, f in (("model", "y_pred"), ("naive", "y_anchor")) for k, c in point_metrics("y_true", f).items() if k == "rmse"]).first()
+    gain = lambda other: 1 - best["rmse"] / other if other else None
+    return {"w_model": best["weight"], "w_naive": 1 - best["weight"], "rmse_combined": best["rmse"], "rmse_model": own["rmse_model"], "rmse_naive": own["rmse_naive"], "skill_vs_model": gain(own["rmse_model"]), "skill_vs_naive": gain(own["rmse_naive"])}
 
 
 @dataclass
@@ -157,6 +267,13 @@ def next_day_forecast(last: DataFrame, found: Fit, q: float = 1.96) -> DataFrame
     return scored.select("date", next_business_day(F.col("date")).alias("target_date"), price(F.col("mu")).alias("price"), price(F.col("mu") - q * F.col("sigma")).alias("low"), price(F.col("mu") + q * F.col("sigma")).alias("high"))
 
 
+def what_if_scenarios(last: DataFrame, found: Fit, feature: str, shares: tuple[float, ...] = (-0.05, 0.0, 0.05)) -> DataFrame:
+    """(share, x, mu): forecasts of one row with a feature moved by shares of its value."""
+    table = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    moved = last.select("*", table).withColumn(feature, F.col(feature) * (1 + F.col("share")))
+    return predict(moved, found, "mu").select("share", F.col(feature).alias("x"), "mu")
+
+
 def what_if(last: DataFrame, found: Fit, feature: str, low: float, high: float, points: int = 100) -> DataFrame:
     """Forecasts of one row with a feature swept evenly from low - 10 % to high + 10 % of its range."""
     pad = 0.1 * (high - low)
@@ -166,25 +283,33 @@ def what_if(last: DataFrame, found: Fit, feature: str, low: float, high: float,
 
 
 def cross_validate(rows: DataFrame, n: int, terms: list[Term], y: str, k: int = 5, lams: list[float] | None = None) -> list[dict[str, float]]:
-    """Per contiguous fold the errors of a model fitted on the other folds, all from one pass of Gram matrices.
+    """Per contiguous fold the errors of a model fitted on the other folds.
 
-    The squared error of a fold follows from its own matrix, so the rows aren't scored one by one.
+    One pass gives all Gram matrices, from which squared errors follow; one more scores every fold's rows for
+    the absolute ones.
     """
     bounds = fold_bounds(n, k)
     block = F.lit(0)
     for f, (a, _) in enumerate(bounds):
         block = F.when(F.col("row_pos") >= a, f).otherwise(block)
     grams = block_grams(rows.withColumn("_block", block), terms, y, "_block")
+    fits = {f: fit(summed([m for g, m in grams.items() if g != f]), lams) for f in sorted(grams)}
+    spans = [(i, 1, bounds[f][0], bounds[f][1] + 1) for i, f in enumerate(fits)]
+    scored = scored_by(rows, list(fits.values()), spans, ["row_pos", y]).groupBy("version").agg(*[c.alias(name) for name, c in point_metrics(y, "mu").items()])
+    absolute = {r["version"]: r for r in scored.collect()}
     out = []
-    for f in sorted(grams):
-        found = fit(summed([m for g, m in grams.items() if g != f]), lams)
+    for i, (f, found) in enumerate(fits.items()):
         own = grams[f]
         sse = own.yy - 2 * float(found.beta @ own.b) + float(found.beta @ own.g @ found.beta)
         mean = own.b[0] / own.n
-        out.append({"fold": f, "n": own.n, "rmse": float(np.sqrt(max(sse, 0.0) / own.n)), "r2": float(1 - sse / max(own.yy - own.n * mean * mean, 1e-300)), "lam": float(found.lam)})
+        out.append({"fold": f, "n": own.n, "rmse": float(np.sqrt(max(sse, 0.0) / own.n)), "mae": absolute[i]["mae"], "mape": absolute[i]["mape"], "r2": float(1 - sse / max(own.yy - own.n * mean * mean, 1e-300)), "lam": float(found.lam)})
     return out
 
 
+def cross_validation_means(folds: list[dict[str, float]]) -> dict[str, float]:
+    return {k: float(np.mean([f[k] for f in folds if f[k] is not None])) for k in ("rmse", "mae", "mape", "r2")}
+
+
 def sigma_fit(rows: DataFrame, terms: list[Term], y: str, mu: Fit, names: list[str] | None = None, lams: list[float] | None = None) -> Fit:
     """A model of the log absolute residual on the terms named (all, if none of them is there)."""
     from .gam import gram, sigma_target

@@ -22,12 +22,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*out).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def collinearity_prune(df: DataFrame, columns: list[str], order: str, threshold: float = 0.97, last: int = 5000) -> list[str]:
+def collinearity_prune(df: DataFrame, columns: list[str], order: str, threshold: float = 0.97, last: int | None = None) -> list[str]:
     """Columns kept from left to right: not constant, and not correlated beyond the threshold with one kept before.
 
-    Correlations are of the last rows by `order` (Pearson), from one aggregate.
+    Correlations are of all rows, or of the last ones by `order` (Pearson), from one aggregate.
     """
-    recent = df.orderBy(F.col(order).desc()).limit(last)
+    recent = df.orderBy(F.col(order).desc()).limit(last) if last else df
     rho = {(r["a"], r["b"]): r["rho"] for r in correlations(recent, columns).collect()}
     kept: list[str] = []
     for c in columns:
@@ -147,14 +147,14 @@ def adf(x: np.ndarray, max_lag: int | None = None) -> tuple[float, int]:
     return run(best[2], best[2])[0], best[2]
 
 
-def stationarity(df: DataFrame, keys: list[str], order: str, c: str, least: int = 50, last: int = 5000) -> DataFrame:
-    """(keys, n, adf, adf_reject, kpss, kpss_reject, verdict) at 5 %, on each key's last rows.
+def stationarity(df: DataFrame, keys: list[str], order: str, c: str, least: int = 50, last: int | None = None) -> DataFrame:
+    """(keys, n, adf, adf_reject, kpss, kpss_reject, verdict) at 5 %, on each key's rows, or its last ones.
 
     Verdicts: stationary, non_stationary_I1, trend_or_break, inconclusive, insufficient_data.
     """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = f.sort_values(order)[c].dropna().to_numpy(float)[-last:]
+        x = f.sort_values(order)[c].dropna().to_numpy(float)[-last if last else 0 :]
         head = f[keys].iloc[:1].reset_index(drop=True)
         if len(x) < least or x.std() == 0:
             return head.assign(n=len(x), adf=None, adf_reject=None, kpss=None, kpss_reject=None, verdict="insufficient_data")

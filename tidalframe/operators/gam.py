@@ -19,24 +19,78 @@ from pyspark.sql import functions as F
 
 from ..functions.special import norm_cdf
 
-#: Parts of names that mark linear (macro) and cyclic features, in order of their test.
+#: Parts of names that mark the classes of features, in order of their test.
 CYCLIC = ("day_of_week", "month", "day_of_year", "quarter")
-LINEAR = ("usd_index", "fed_funds", "cpi", "unemployment", "stocks", "production", "imports", "exports")
+LINEAR = (
+    "usd_index", "cpi", "fed_funds", "t10y2y", "t3m_yield", "t5y_yield", "t10y_yield", "t30y_yield", "eur_usd", "gbp_usd", "usd_cad", "usd_nok", "usd_rub", "usd_cny", "aud_usd", "nzd_usd", "usd_chf",
+    "nfci", "stlfsi", "epu_us", "epu_global", "pmi_mfg", "retail_gas", "miles_driven", "fed_balance", "rrp", "ig_spread", "ted_spread", "driving_season", "heating_season", "us_holiday", "gpr_spike",
+)
+ROLLING = ("_sma_", "_ema_", "_std_", "_bb_", "macd", "_rsi_", "crack_", "_atr_", "_williams_r_", "_stoch_", "_cmf_", "corr_", "_momentum_", "_parkinson_", "_garman_klass_", "_rogers_satchell_", "_yang_zhang_")
+LAG, RETURN = ("_lag_",), ("_pct_change", "_log_return")
+#: Parts of names of the features that models of the deviation, and of skewness and tail, are built on.
+SIGMA_PARTS = ("ovx", "vix", "_std_", "_bb_width", "hy_spread", "_log_return", "t5yie", "t10yie", "_atr_", "_atr_pct", "_stoch_", "_williams_r_", "nfci", "stlfsi", "_parkinson_", "_garman_klass_", "_rogers_satchell_", "_yang_zhang_")
+SHAPE_PARTS = ("ovx", "vix", "hy_spread", "t5yie", "t10yie", "nfci", "stlfsi", "epu_us")
+#: The direction in which a feature may act, by the first part in its name.
+DIRECTIONS = {"crude_stocks": -1, "cushing_stocks": -1, "gasoline_stocks": -1, "distillate_stocks": -1, "usd_index": -1, "refinery_utilization": 1, "crude_exports": 1}
+#: Parts of names of skewed features, and of pairs whose joint effect is modelled.
+SKEWED = ("_pct_change", "_log_return", "_rsi_", "_williams_r_", "_stoch_", "_bb_pct_", "_spread", "_momentum_", "_dist_sma_", "_pct_range")
+PAIRS = (("usd_index", "crude_stocks"), ("vix_close", "ovx"), ("CL=F_close_rsi_14", "CL=F_close_atr_14"), ("brent_wti_spread", "usd_index"), ("wti_m1_m2_spread", "crude_stocks_chg"))
+#: Basis functions by class, of rolling statistics by default, and of each side and the penalty of an interaction.
+SIZES = {"day_of_week": 7, "month": 12, "cyclic": 30, "lag": 20, "return": 15, "spline": 20}
+ROLLING_SIZE, PAIR_SIZE, PAIR_LAM = 25, 6, 10.0
 #: GCV's inflation of the effective degrees of freedom.
 GAMMA = 1.4
 
 
 def classify(name: str) -> str:
-    """cyclic, linear, rolling, lag, return or spline: the first group whose part is in the name."""
-    for kind, parts in (("cyclic", CYCLIC), ("linear", LINEAR), ("rolling", ("_sma_", "_std_", "_ema_", "_bb_")), ("lag", ("_lag_",)), ("return", ("_pct_change", "_log_return", "_momentum_"))):
-        if any(p in name for p in parts):
+    """cyclic, linear, rolling, lag, return or spline: the first group whose part is in the name, in any case."""
+    for kind, parts in (("cyclic", CYCLIC), ("linear", LINEAR), ("rolling", ROLLING), ("lag", LAG), ("return", RETURN)):
+        if named_by(name, parts):
             return kind
     return "spline"
 
 
+def named_by(name: str, parts: tuple[str, ...]) -> bool:
+    return any(p in name.lower() for p in parts)
+
+
+def basis_size(name: str, rolling: int = ROLLING_SIZE) -> int:
+    """Basis functions of a feature's term by its class; a linear term has one."""
+    kind = classify(name)
+    if kind == "cyclic":
+        return next((SIZES[p] for p in ("day_of_week", "month") if p in name.lower()), SIZES["cyclic"])
+    return {"linear": 1, "rolling": rolling}.get(kind) or SIZES[kind]
+
+
+def direction(name: str) -> int:
+    """1 or -1 where a feature may only raise or lower the target, else 0."""
+    return next((way for part, way in DIRECTIONS.items() if part in name.lower()), 0)
+
+
+def interactions(names: list[str], pairs: tuple[tuple[str, str], ...] = PAIRS) -> list[tuple[str, str]]:
+    """The pairs of features of which exactly one name each has the part asked for."""
+    out = []
+    for pair in pairs:
+        found = [[n for n in names if part.lower() in n.lower()] for part in pair]
+        if len(found) == 2 and len(found[0]) == len(found[1]) == 1 and found[0] != found[1]:
+            out.append((found[0][0], found[1][0]))
+    return out
+
+
+def chosen(names: list[str], *preferences: tuple[str, ...]) -> list[str]:
+    """The names that the first preference with any names; all, if none has."""
+    for parts in preferences:
+        if kept := [n for n in names if named_by(n, parts)]:
+            return kept
+    return names
+
+
 @dataclass(frozen=True)
 class Term:
-    """One additive term: `kind` linear, spline or cyclic over [low, high]; tensor terms carry a second feature."""
+    """One additive term: `kind` linear, spline or cyclic over [low, high]; tensor terms carry a second feature.
+
+    way: 1 or -1 for an effect that may only rise or fall; lam: a penalty of its own.
+    """
 
     name: str
     kind: str = "linear"
@@ -44,6 +98,8 @@ class Term:
     low: float = 0.0
     high: float = 1.0
     other: "Term | None" = None
+    way: int = 0
+    lam: float | None = None
 
     @property
     def width(self) -> int:
@@ -127,6 +183,16 @@ class Fit:
     r2: float
     p_values: list[float] = field(default_factory=list)
 
+    @property
+    def aicc(self) -> float:
+        """AIC corrected for few rows."""
+        k = self.edof + 1
+        return self.aic + 2 * k * (k + 1) / max(self.n - k - 1, 1e-9)
+
+
+#: Weight of a broken direction among the penalties, and rounds in which the broken ones are looked for.
+BREACH, BREACH_ROUNDS = 1e6, 30
+
 
 def _sums(terms: list[Term], y: str, weight: str | None) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,12 +247,30 @@ def solve(m: Gram, lam: float, keep: list[int] | None = None) -> Fit:
     i = 1
     spans = []
     for t in terms:
-        p[i : i + t.width, i : i + t.width] = t.penalty()
+        p[i : i + t.width, i : i + t.width] = t.penalty() * (1.0 if t.lam is None else t.lam / max(lam, 1e-12))
         spans.append((i, i + t.width))
         i += t.width
     ridge = np.eye(len(g)) * 1e-7 * max(float(np.trace(g)) / len(g), 1e-12)
-    inverse = np.linalg.pinv(g + lam * p + ridge, hermitian=True)
+    base = g + lam * p + ridge
+    inverse = np.linalg.pinv(base, hermitian=True)
     beta = inverse @ b
+    ways = [(span, t.way) for span, t in zip(spans, terms, strict=True) if t.way and t.other is None]
+    held = np.zeros(0, int)
+    for _ in range(BREACH_ROUNDS if ways else 0):  # steps against a term's direction are penalised until none is left
+        steps = np.zeros((0, len(g)))
+        for (lo, hi), way in ways:
+            d = np.zeros((max(hi - lo - 1, 1), len(g)))
+            if hi - lo == 1:
+                d[0, lo] = way
+            else:
+                d[np.arange(hi - lo - 1), np.arange(lo, hi - 1)], d[np.arange(hi - lo - 1), np.arange(lo + 1, hi)] = -way, way
+            steps = np.concatenate([steps, d])
+        broken = np.union1d(held, np.flatnonzero(steps @ beta < -1e-9 * max(float(np.abs(beta).max()), 1e-12)))
+        if len(broken) == len(held):
+            break
+        held = broken
+        inverse = np.linalg.pinv(base + BREACH * max(float(np.trace(g)) / len(g), 1e-12) * steps[held].T @ steps[held], hermitian=True)
+        beta = inverse @ b
     edof = float(np.trace(inverse @ g))
     rss = max(m.yy - 2 * float(beta @ b) + float(beta @ g @ beta), 1e-300)
     scale = rss / max(m.n - edof, 1e-9)
@@ -196,9 +280,14 @@ def solve(m: Gram, lam: float, keep: list[int] | None = None) -> Fit:
     mean = m.b[0] / m.n
     ps = []
     for lo, hi in spans:
-        c = cov[lo:hi, lo:hi]
-        centred = beta[lo:hi] - (beta[lo:hi].mean() if hi - lo > 1 else 0.0)
-        wald = max(float(centred @ np.linalg.pinv(c, hermitian=True) @ centred), 0.0)
+        # a spline's level is the intercept's: both are taken without it, and directions without variance don't count
+        c, centred = cov[lo:hi, lo:hi], beta[lo:hi]
+        if hi - lo > 1:
+            apart = np.eye(hi - lo) - 1 / (hi - lo)
+            c, centred = apart @ c @ apart, apart @ centred
+        values, vectors = np.linalg.eigh((c + c.T) / 2)
+        real = values > 1e-9 * max(float(values.max()), 1e-300)
+        wald = float(((vectors[:, real].T @ centred) ** 2 / values[real]).sum())
         k = max(float(np.trace(inverse[lo:hi, lo:hi] @ g[lo:hi, lo:hi])), 0.5)
         z = ((wald / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))  # Wilson-Hilferty
         ps.append(1 - norm_cdf(z))
@@ -252,19 +341,82 @@ def predict(df: DataFrame, found: Fit, out: str = "mu", sigma: str | None = None
     return df.mapInArrow(run, shape)
 
 
-def terms_for(df: DataFrame, names: list[str], size: int = 8) -> list[Term]:
-    """Terms by the names' classes, over each feature's range (one aggregate)."""
+def terms_for(df: DataFrame, names: list[str], size: int | None = None, rolling: int = ROLLING_SIZE, monotone: bool = False, pairs: bool = False, pair_size: int = PAIR_SIZE, pair_lam: float = PAIR_LAM) -> list[Term]:
+    """Terms by the names' classes, over each feature's range (one aggregate).
+
+    size: basis functions of every spline and cyclic term, instead of each class's own.  monotone: known directions
+    hold.  pairs: tensor terms of the known pairs follow.
+    """
     r = df.agg(*[F.min(n).cast("double").alias(f"a{i}") for i, n in enumerate(names)], *[F.max(n).cast("double").alias(f"b{i}") for i, n in enumerate(names)]).first()
     out = []
     for i, n in enumerate(names):
         kind = classify(n)
-        out.append(Term(n, kind if kind in ("linear", "cyclic") else "spline", size, r[f"a{i}"] or 0.0, r[f"b{i}"] if r[f"b{i}"] is not None else 1.0))
+        kind = kind if kind in ("linear", "cyclic") else "spline"
+        way = direction(n) if monotone and kind == "spline" else 0
+        out.append(Term(n, kind, size or max(basis_size(n, rolling), 1), r[f"a{i}"] or 0.0, r[f"b{i}"] if r[f"b{i}"] is not None else 1.0, way=way))
+    by = {t.name: t for t in out}
+    for a, b in interactions(names) if pairs else []:
+        one, two = (Term(n, "spline", pair_size, by[n].low, by[n].high) for n in (a, b))
+        out.append(Term(a, "spline", pair_size, one.low, one.high, other=two, lam=pair_lam))
     return out
 
 
+def rank_knots(df: DataFrame, names: list[str], n_quantiles: int = 200) -> dict[str, list[float]]:
+    """Even quantiles of each skewed feature among the names, from one aggregate."""
+    skewed = [n for n in names if named_by(n, SKEWED)]
+    if not skewed:
+        return {}
+    levels = F.array(*[F.lit(i / (n_quantiles - 1)) for i in range(n_quantiles)])
+    r = df.agg(*[F.percentile(n, levels).alias(f"q{i}") for i, n in enumerate(skewed)]).first()
+    return {n: [float(x) for x in r[f"q{i}"]] for i, n in enumerate(skewed) if r[f"q{i}"]}
+
+
+def ranked(df: DataFrame, knots: dict[str, list[float]]) -> DataFrame:
+    """df with each feature that has knots in its place among them: 0 to 1, linear between knots."""
+
+    def place(name: str, at: list[float]) -> Column:
+        x, listed, n = F.col(name), F.array(*[F.lit(v) for v in at]), len(at)
+        below, upto = F.size(F.filter(listed, lambda k: k < x)), F.size(F.filter(listed, lambda k: k <= x))
+        low, high = F.element_at(listed, F.greatest(below, F.lit(1))), F.element_at(listed, F.least(below + 1, F.lit(n)))
+        inner = (below - 1 + F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0))) / (n - 1)
+        return F.when(x.isNull(), None).when(upto > below, (below + upto - 1) / F.lit(2.0) / (n - 1)).when(below == 0, 0.0).when(below == n, 1.0).otherwise(inner)
+
+    return df.withColumns({name: place(name, at) for name, at in knots.items()})
+
+
+def gram_many(df: DataFrame, terms: list[Term], y: str, weights: list[str]) -> list[Gram]:
+    """The Gram matrix under each weight column, all from one pass."""
+    names = list(dict.fromkeys([*[t.name for t in terms], *[t.other.name for t in terms if t.other], y, *weights]))
+    width = 1 + sum(t.width for t in terms)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [[np.zeros((width, width)), np.zeros(width), 0.0, 0.0] for _ in weights]
+        for f in frames:
+            f = f.dropna()
+            x = np.column_stack([np.ones(len(f)), *[t.basis(f) for t in terms]])
+            target = f[y].to_numpy(float)
+            for own, name in zip(sums, weights, strict=True):
+                w = f[name].to_numpy(float)
+                xw = x * w[:, None]
+                own[0] += xw.T @ x
+                own[1] += xw.T @ target
+                own[2] += float((w * target * target).sum())
+                own[3] += float(w.sum())
+        for i, own in enumerate(sums):
+            yield pd.DataFrame({"which": [i], "g": [own[0].tobytes()], "b": [own[1].tobytes()], "yy": [own[2]], "n": [own[3]]})
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        g, b = (sum(np.frombuffer(x) for x in f[c]).tobytes() for c in ("g", "b"))
+        return pd.DataFrame({"which": [f["which"].iloc[0]], "g": [g], "b": [b], "yy": [f["yy"].sum()], "n": [f["n"].sum()]})
+
+    shape = "which int, g binary, b binary, yy double, n double"
+    rows = {r["which"]: r for r in df.select(*names).mapInPandas(run, shape).groupBy("which").applyInPandas(add, shape).collect()}
+    return [Gram(terms, np.frombuffer(rows[i]["g"]).reshape(width, width), np.frombuffer(rows[i]["b"]), rows[i]["yy"], rows[i]["n"]) for i in range(len(weights))]
+
+
 def bagged(df: DataFrame, terms: list[Term], y: str, row: str, bags: int, lam: float, block: int = 21, seed: int = 0) -> list[Fit]:
-    """Fits on block-bootstrap weights: each block of rows counts as often as a seeded Poisson draw says."""
-    out = []
+    """Fits on block-bootstrap weights: each block of rows counts as often as a seeded Poisson draw says; one pass serves all bags."""
+    weights = {}
     for bag in range(bags):
         u = (F.pmod(F.xxhash64(F.floor(F.col(row) / block), F.lit(seed), F.lit(bag)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
         weight, p, total = F.lit(0.0), math.exp(-1.0), 0.0
@@ -272,8 +424,21 @@ def bagged(df: DataFrame, terms: list[Term], y: str, row: str, bags: int, lam: f
             total += p
             weight = weight + (u > total).cast("double")
             p /= k + 1
-        out.append(solve(gram(df.withColumn("_w", weight), terms, y, "_w"), lam))
-    return out
+        weights[f"_w{bag}"] = weight
+    return [solve(m, lam) for m in gram_many(df.withColumns(weights), terms, y, list(weights))]
+
+
+def bagged_predict(df: DataFrame, fits: list[Fit], out: str = "mu") -> DataFrame:
+    """df with the bags' mean forecast and the 95 % band: the mean of the bags' bounds, widened by 1.96 deviations between the bags."""
+    now = df
+    for i, f in enumerate(fits):
+        now = predict(now, f, f"_m{i}", f"_s{i}")
+    mean = lambda cs: sum(cs[1:], cs[0]) / len(cs)
+    ms, ss = ([F.col(f"_{k}{i}") for i in range(len(fits))] for k in "ms")
+    centre, half = mean(ms), mean([1.96 * s for s in ss])
+    spread = F.sqrt(sum(((m - centre) * (m - centre) for m in ms), F.lit(0.0)) / (len(fits) - 1)) * 1.96 if len(fits) > 1 else F.lit(0.0)
+    bounds = {out: centre, f"{out}_low": centre - half - spread, f"{out}_high": centre + half + spread}
+    return now.withColumns(bounds).drop(*[f"_{k}{i}" for i in range(len(fits)) for k in "ms"])
 
 
 def bagged_interval(lower: list[float], upper: list[float], means: list[float]) -> tuple[float, float]:
@@ -295,6 +460,11 @@ def expectile(df: DataFrame, terms: list[Term], y: str, level: float, lam: float
     return found
 
 
+def sigma_of(df: DataFrame, found: Fit, out: str = "sigma") -> DataFrame:
+    """df with the deviation that a model of the log absolute residual means, 1e-6 at least."""
+    return predict(df, found, out).withColumn(out, F.greatest(F.exp(F.col(out)), F.lit(1e-6)))
+
+
 def sigma_target(y: str, mu: str) -> Column:
     """What a model of the deviation is fitted to."""
     return F.ln(F.abs(F.col(y) - F.col(mu)) + 1e-6)

@@ -67,6 +67,16 @@ def dm_p_value(dm: float, n: int) -> float:
     return t_two_sided(dm, n - 1)
 
 
+def benchmark_tests(df: DataFrame, keys: list[str], order: str, y: str, forecast: str, naive: str, anchor: str, h: int = 1) -> DataFrame:
+    """(keys, n, mspe_ratio, dm_stat, pt_stat, pt_pvalue) of a forecast against a naive one: squared errors and changes from the anchor."""
+    sq = lambda f: (F.col(y) - F.col(f)) * (F.col(y) - F.col(f))
+    rows = df.where(F.col(y).isNotNull() & F.col(forecast).isNotNull() & F.col(naive).isNotNull())
+    rows = rows.select(*keys, order, y, forecast, naive, sq(forecast).alias("_a"), sq(naive).alias("_b"), (F.col(y) - F.col(anchor)).alias("_dy"), (F.col(forecast) - F.col(anchor)).alias("_df"))
+    dm = diebold_mariano(rows, keys, order, "_a", "_b", h).withColumnRenamed("dm", "dm_stat")
+    pt = pesaran_timmermann(rows, keys, "_dy", "_df").select(*keys, F.col("pt").alias("pt_stat"), F.col("p").alias("pt_pvalue"))
+    return dm.join(rows.groupBy(*keys).agg(mspe_ratio(y, forecast, naive).alias("mspe_ratio")), keys).join(pt, keys)
+
+
 def pesaran_timmermann(df: DataFrame, keys: list[str], y: str, forecast: str) -> DataFrame:
     """(keys, n, pt, p): the test of sign agreement of changes (above 0 is up); p is one-sided."""
     up_y, up_f = (F.when(F.col(c).isNotNull(), (F.col(c) > 0).cast("double")) for c in (y, forecast))
@@ -311,6 +321,27 @@ def predictive_density(df: DataFrame, mu: str, sigma: str, nu: Column, tau: Colu
     return grid.withColumn("density", F.exp(johnson_su_logpdf(F.col("x"), nu, tau, F.col(mu) + F.col(sigma) * loc, F.col(sigma) * scale)))
 
 
+def residual_quantiles(df: DataFrame, keys: list[str], y: str, forecast: str, points: int = 99) -> DataFrame:
+    """(keys, i, p, normal, residual): quantiles of the residuals beside those of a normal distribution of their mean and deviation."""
+    levels = [(i + 0.5) / points for i in range(points)]
+    e = F.col(y) - F.col(forecast)
+    found = df.groupBy(*keys).agg(F.percentile(e, F.array(*[F.lit(p) for p in levels])).alias("q"), F.avg(e).alias("m"), F.stddev_samp(e).alias("s"))
+    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(norm_ppf(p)).alias("z")) for p in levels])
+    listed = found.select(*keys, "m", "s", F.posexplode(F.arrays_zip("q", table.alias("t"))).alias("i", "x"))
+    return listed.select(*keys, "i", F.col("x.t.p").alias("p"), (F.col("m") + F.col("s") * F.col("x.t.z")).alias("normal"), F.col("x.q").alias("residual"))
+
+
+def residual_density(df: DataFrame, keys: list[str], y: str, forecast: str, bins: int = 50) -> DataFrame:
+    """(keys, bin, low, high, density, normal): a histogram of the residuals and the normal density in the middle of each bin."""
+    from .eda import histogram
+
+    e = df.select(*keys, (F.col(y) - F.col(forecast)).alias("e"))
+    moments = e.groupBy(*keys).agg(F.avg("e").alias("m"), F.stddev_samp("e").alias("s"), F.count("e").alias("all"))
+    h = histogram(e, keys, "e", bins).join(moments, keys)
+    z = ((F.col("low") + F.col("high")) / 2 - F.col("m")) / F.col("s")
+    return h.select(*keys, "bin", "low", "high", ratio(F.col("n"), F.col("all") * (F.col("high") - F.col("low"))).alias("density"), ratio(F.exp(-z * z / 2), F.col("s") * math.sqrt(2 * math.pi)).alias("normal"))
+
+
 def backtest_scores(path: DataFrame) -> DataFrame:
     """One row of a walk-forward path: errors, those of the anchor as forecast, skills and coverages."""
     m, n = point_metrics("y_true", "y_pred"), point_metrics("y_true", "y_anchor")

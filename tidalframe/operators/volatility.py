@@ -15,10 +15,11 @@ from .scan import Scan, ewma_sigma, ordered_scan
 
 def garch_filter(r: np.ndarray, omega: float, alpha: float, beta: float) -> tuple[np.ndarray, float]:
     """Variances before each row, and the next one."""
-    v = np.empty(len(r) + 1)
-    v[0] = r.var() or 1e-12
-    for t in range(len(r)):
-        v[t + 1] = omega + alpha * r[t] * r[t] + beta * v[t]
+    v = np.concatenate([[r.var() or 1e-12], omega + alpha * r * r])
+    step, keep = 1, beta
+    while step < len(v) and keep > 1e-300:  # v[t] = beta * v[t - 1] + ..., its terms summed in spans that double
+        v[step:] = v[step:] + keep * v[:-step]
+        step, keep = 2 * step, keep * keep
     return v[:-1], float(v[-1])
 
 
@@ -58,6 +59,20 @@ def garch_scan(column: str):
     return run
 
 
+def next_sigma(r: np.ndarray, decay: float = 0.94, seed_rows: int = 20) -> float:
+    """The deviation after a series of residuals: GARCH's, or an exponential mean of squares where that can't be fitted."""
+    r = np.asarray(r, float) * 100
+    fitted = fit_garch(r)
+    if fitted is not None:
+        _, after = garch_filter(r, *fitted)
+        if np.isfinite(after) and after > 0:
+            return float(np.sqrt(after) / 100)
+    v = float(np.mean(r[:seed_rows] ** 2)) if len(r) else 0.0
+    for x in r:
+        v = decay * v + (1 - decay) * x * x
+    return float(np.sqrt(v) / 100)
+
+
 def conditional_sigma(df: DataFrame, keys: list[str], order: str, r: str, source: str = "ewma") -> DataFrame:
     """df with sigma_ewma or sigma_garch before each row."""
     scans = {"ewma": Scan("sigma_ewma", ewma_sigma(r)), "garch": Scan("sigma_garch", garch_scan(r))}

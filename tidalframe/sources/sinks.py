@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,7 @@ def write_model(spark: SparkSession, found: Fit, path: str) -> None:
     """Coefficients as a table and the fit's figures as JSON."""
     spark.createDataFrame([(i, float(b)) for i, b in enumerate(found.beta)], "position int, beta double").write.mode("overwrite").parquet(f"{path}/coefficients")
     spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(found.cov)], "position int, row array<double>").write.mode("overwrite").parquet(f"{path}/covariance")
-    terms = [{"name": t.name, "kind": t.kind, "size": t.size, "low": t.low, "high": t.high} for t in found.terms]
-    write_record(spark, {"terms": terms, "lam": found.lam, "edof": found.edof, "rss": found.rss, "n": found.n, "scale": found.scale, "gcv": found.gcv, "aic": found.aic, "bic": found.bic, "r2": found.r2, "p_values": found.p_values}, f"{path}/figures")
+    write_record(spark, {"terms": [asdict(t) for t in found.terms], "lam": found.lam, "edof": found.edof, "rss": found.rss, "n": found.n, "scale": found.scale, "gcv": found.gcv, "aic": found.aic, "bic": found.bic, "r2": found.r2, "p_values": found.p_values}, f"{path}/figures")
 
 
 def read_model(spark: SparkSession, path: str) -> Fit:
@@ -40,10 +40,11 @@ def read_model(spark: SparkSession, path: str) -> Fit:
 
     from ..operators.gam import Term
 
+    term = lambda t: Term(**{**t, "other": term(t["other"]) if t["other"] else None})
     r = read_record(spark, f"{path}/figures")
     beta = np.array([x["beta"] for x in spark.read.parquet(f"{path}/coefficients").orderBy("position").collect()])
     cov = np.array([x["row"] for x in spark.read.parquet(f"{path}/covariance").orderBy("position").collect()])
-    return Fit([Term(**t) for t in r["terms"]], beta, cov, r["lam"], r["edof"], r["rss"], r["n"], r["scale"], r["gcv"], r["aic"], r["bic"], r["r2"], r["p_values"])
+    return Fit([term(t) for t in r["terms"]], beta, cov, r["lam"], r["edof"], r["rss"], r["n"], r["scale"], r["gcv"], r["aic"], r["bic"], r["r2"], r["p_values"])
 
 
 def top_features(found: Fit, spark: SparkSession, most: int = 15) -> DataFrame:
