@@ -161,12 +161,12 @@ def gam_rows(spark, n=1500):
     r = np.random.default_rng(0)
     a, b, c = r.uniform(-2, 2, n), r.normal(size=n), r.normal(size=n)
     y = np.sin(2 * a) + 0.5 * b + 0.1 * r.normal(size=n)
-    return spark.createDataFrame(pd.DataFrame({"a": a, "usd_index": b, "noise_stocks": c, "y": y, "row_pos": np.arange(n)}))
+    return spark.createDataFrame(pd.DataFrame({"a": a, "usd_index": b, "noise_cpi": c, "y": y, "row_pos": np.arange(n)}))
 
 
 def test_gam_fits_selects_and_serialises(spark, tmp_path):
     df = gam_rows(spark)
-    m = gam.gram(df, gam.terms_for(df, ["a", "usd_index", "noise_stocks"], 10), "y")
+    m = gam.gram(df, gam.terms_for(df, ["a", "usd_index", "noise_cpi"], 10), "y")
     found = gam.fit(m)
     assert found.r2 > 0.95 and 3 < found.edof < 13 and found.bic > found.aic
     assert found.gcv == min(gam.solve(m, lam).gcv for lam in np.logspace(-3, 3, 11))
@@ -203,6 +203,114 @@ def test_walk_forward_and_cpcv_run(spark):
     assert out.path_metrics.count() == 3 and out.summary.first()["paths"] == 3
 
 
+def heavy_path(spark, n=900):
+    r = np.random.default_rng(3)
+    p = 50 * np.exp(np.cumsum(0.012 * r.standard_t(4, n + 1)))
+    rows = [("k", i, day(i), day(i + 1), float(math.log(p[i + 1] / p[i])), float(p[i + 1]), float(p[i]), float(r.normal())) for i in range(n)]
+    return spark.createDataFrame(rows, "key string, row_pos long, date date, t1 date, y double, y_level double, anchor double, x double")
+
+
+@pytest.mark.parametrize("source", ["gam", "garch", "blend"])
+def test_walk_forward_bands_cover(spark, source):
+    df = heavy_path(spark)
+    path = backtest.walk_forward(df, 900, [gam.Term("x", "linear", 1, -3, 3)], backtest.WalkForward(0.4, 100, 100, sigma_source=source))
+    got = path.toPandas()
+    assert len(got) == 900 - 360 and got.model_version.nunique() == 6
+    late = got[got.model_version >= 2]  # shapes from out-of-sample residuals
+    for level in (50, 80, 90, 95):
+        share = ((late.y_true >= late[f"lower_{level}"]) & (late.y_true <= late[f"upper_{level}"])).mean()
+        assert abs(share - level / 100) < 0.1, (source, level, share)
+    found = backtest.path_scores(path)
+    assert 0.9 < found["mspe_ratio"] < 1.1 and found["crps_model"] > 0 and 0 <= found["berkowitz_pvalue_model"] <= 1
+    weights = backtest.weights_from_path(path)
+    assert weights["rmse_combined"] <= min(weights["rmse_model"], weights["rmse_naive"]) + 1e-9
+    with pytest.raises(ValueError):
+        backtest.walk_forward(df, 900, [], backtest.WalkForward(sigma_source="x"))
+
+
+def test_walk_forward_equals_models_fitted_one_by_one(spark):
+    df = heavy_path(spark, 500)
+    terms = [gam.Term("x", "spline", 8, -3, 3)]
+    got = backtest.walk_forward(df, 500, terms, backtest.WalkForward(0.6, 100, 100)).toPandas().set_index("date")
+    for version, start in enumerate((300, 400)):
+        found = gam.fit(gam.gram(df.where(F.col("row_pos") < start), terms, "y"), [0.1, 1.0, 10.0, 100.0])
+        want = gam.predict(df.where(F.col("row_pos").between(start, start + 99)), found, "mu", "sigma").toPandas().set_index("date")
+        own = got[got.model_version == version].loc[want.index]
+        assert np.allclose(own.y_pred_model, want.mu) and np.allclose(own.sigma_model, want.sigma)
+
+
+def test_term_builder_follows_the_names(spark):
+    names = ["day_of_week", "month", "day_of_year", "USD_INDEX", "p_SMA_14", "p_lag_1", "p_log_return", "crude_stocks", "other"]
+    df = spark.createDataFrame([tuple(float(i + k) for k in range(len(names))) for i in range(20)], names)
+    by = {t.name: t for t in gam.terms_for(df, names, monotone=True, pairs=True) if t.other is None}
+    assert [(by[n].kind, by[n].size) for n in names] == [("cyclic", 7), ("cyclic", 12), ("cyclic", 30), ("linear", 1), ("spline", 25), ("spline", 20), ("spline", 15), ("spline", 20), ("spline", 20)]
+    assert by["crude_stocks"].way == -1 and by["other"].way == 0 and by["USD_INDEX"].way == 0
+    (pair,) = [t for t in gam.terms_for(df, names, pairs=True) if t.other]
+    assert (pair.name, pair.other.name, pair.lam, pair.width) == ("USD_INDEX", "crude_stocks", 10.0, 36)
+    assert gam.interactions(["vix_close", "ovx", "ovx_lag"]) == [] and gam.chosen(["a", "ovx_b"], gam.SHAPE_PARTS) == ["ovx_b"] and gam.chosen(["a"], gam.SHAPE_PARTS) == ["a"]
+
+
+def test_monotone_terms_never_turn(spark):
+    r = np.random.default_rng(5)
+    x = r.uniform(0, 1, 800)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": -x + 0.4 * np.sin(12 * x) + 0.05 * r.normal(size=800)}))
+    free, held = (gam.solve(gam.gram(df, [gam.Term("x", "spline", 15, 0, 1, way=way)], "y"), 0.01) for way in (0, -1))
+    effect = lambda f: np.diff([e[1] for e in gam.partial_dependence(f, "x", 200)])
+    assert (effect(free) > 1e-3).any() and (effect(held) <= 1e-4).all() and held.rss < 3 * 800 * 0.3**2 and held.aicc > held.aic
+
+
+def test_bags_of_one_pass_equal_separate_fits(spark):
+    df = gam_rows(spark, 300)
+    terms = gam.terms_for(df, ["a", "usd_index"], 8)
+    ones = gam.gram_many(df.withColumn("_w", F.lit(2.0)), terms, "y", ["_w", "_w"])
+    alone = gam.gram(df.withColumn("_w", F.lit(2.0)), terms, "y", "_w")
+    assert all(np.allclose(m.g, alone.g) and np.allclose(m.b, alone.b) for m in ones)
+    fits = gam.bagged(df, terms, "y", "row_pos", 3, 1.0)
+    got = gam.bagged_predict(df, fits).toPandas()
+    assert ((got.mu_low < got.mu) & (got.mu < got.mu_high)).all() and len({f.rss for f in fits}) == 3
+
+
+def test_ranked_features_are_even(spark):
+    r = np.random.default_rng(0)
+    df = spark.createDataFrame(pd.DataFrame({"p_log_return": np.append(r.standard_t(2, 999), 1e9), "other": r.normal(size=1000)}))
+    knots = gam.rank_knots(df, ["p_log_return", "other"])
+    got = gam.ranked(df, knots).toPandas()
+    assert list(knots) == ["p_log_return"] and got.p_log_return.between(0, 1).all() and abs(got.p_log_return.std() - 12**-0.5) < 0.01
+
+
+def test_series_lags_and_overrides(spark):
+    rows = [("unemployment", dt.date(2026, 4, 1), 3.9), ("fed_funds", dt.date(2026, 4, 1), 5.25), ("of_our_own", dt.date(2026, 4, 1), 1.0)]
+    from tidalframe.operators import asof
+
+    df = spark.createDataFrame(rows, "series string, ref_date date, value double")
+    at = lambda d: {r["series"]: r["avail_date"] for r in d.collect()}
+    assert at(asof.published_series(df)) == {"unemployment": dt.date(2026, 5, 9), "fed_funds": dt.date(2026, 4, 1), "of_our_own": dt.date(2026, 4, 1)}
+    assert set(at(asof.published_series(df, {"of_our_own": 0})).values()) == {dt.date(2026, 4, 1)}
+
+
+def test_runner_writes_every_artefact(spark, tmp_path):
+    from tidalframe import runner
+
+    r = np.random.default_rng(2)
+    n = 520
+    p = 60 * np.exp(np.cumsum(r.normal(0, 0.015, n)))
+    df = spark.createDataFrame(pd.DataFrame({"key": "k", "date": [day(i) for i in range(n)], "close": p, "a": r.normal(size=n), "b_log_return": r.normal(size=n), "month": (np.arange(n) // 30 % 12 + 1).astype(float)}).assign(twin=lambda f: f.a * 2))
+    found = runner.train_and_save(spark, df, ["a", "twin", "b_log_return", "month"], str(tmp_path), settings={"max_terms": 2, "n_splines": 8, "bags": 2, "refits": 1, "quantile_knots": True, "nu_tau_window": 30, "initial_frac": 0.5})
+    assert "twin" not in found.names and len(found.models.mu.terms) <= 2 and list(found.knots) == ["b_log_return"]
+    for name in ("mu", "sigma", "nu", "tau"):
+        again = sinks.read_model(spark, f"{tmp_path}/models/{name}")
+        assert np.allclose(again.beta, getattr(found.models, name).beta) and again.terms == getattr(found.models, name).terms
+    forecast = sinks.read_record(spark, f"{tmp_path}/forecast.json")
+    assert forecast["low"] < forecast["price"] < forecast["high"] and forecast["pi_multiplier"] == pytest.approx(found.q)
+    assert sinks.read_record(spark, f"{tmp_path}/combination_weights.json")["w_model"] == found.weights["w_model"]
+    assert sinks.read_record(spark, f"{tmp_path}/scores.json").keys() >= {"mae", "mspe_ratio", "coverage_90", "log_score_model"}
+    assert spark.read.parquet(f"{tmp_path}/backtest_path").count() == found.path.count() > 200
+    tensor = gam.solve(gam.gram(df, [gam.Term("a", "spline", 6, -3, 3, gam.Term("b_log_return", "spline", 6, -3, 3), lam=10.0)], "close"), 1.0)
+    sinks.write_model(spark, tensor, f"{tmp_path}/tensor")
+    back = sinks.read_model(spark, f"{tmp_path}/tensor")
+    assert back.terms == tensor.terms and gam.predict(df, back, "mu").where("mu is null").count() == 0
+
+
 def test_eda(spark):
     r = np.random.default_rng(0)
     noise, walk = r.normal(size=400), np.cumsum(r.normal(size=400))

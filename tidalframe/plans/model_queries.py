@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Over, norm_ppf
 from ..functions.special import chi2_sf
-from ..operators import backtest, eda, gam, scores, splits, volatility
+from .. import runner
+from ..operators import asof, backtest, eda, gam, scores, splits, volatility
 from ..operators.distribution import johnson_su_fits
+from ..operators.distributional import distributional
 from ..operators.features import add, drawdown, error_drift, interpolated, lags, returns, rolling_mean_std
 from .catalog import query
-from .frames import BARS, FORECASTS, PANEL, ROLES, W, bars, forecasts, full, panel
+from .frames import BARS, FORECASTS, MONTHLY, PANEL, ROLES, W, bars, forecasts, full, monthly_macro, panel
 
 KEY = ["key", "date"]
 OV = Over(["key"], "date")
@@ -27,14 +30,14 @@ def one_series(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- supervised matrix and splits
 
-T = f"t AS (SELECT date, close, lead(close) OVER (ORDER BY date) AS y, close AS anchor, lead(date) OVER (ORDER BY date) AS t1, row_number() OVER (ORDER BY date) - 1 AS row_pos FROM bars WHERE {ALL} AND date < DATE '1996-01-01'), r AS (SELECT * FROM t WHERE t1 IS NOT NULL)"
+T = f"t AS (SELECT date, close, lead(close) OVER (ORDER BY date) AS y, close AS anchor, lead(date) OVER (ORDER BY date) AS t1, row_number() OVER (ORDER BY date) - 1 AS row_pos FROM bars WHERE {ALL}), r AS (SELECT * FROM t WHERE t1 IS NOT NULL)"
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
-    return splits.forward_target(one_series(spark, d).where("date < DATE '1996-01-01'"), ["key"], "date", "close")
+    return splits.forward_target(one_series(spark, d), ["key"], "date", "close")
 
 
-def _year_rows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def _split_rows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     r = targets(spark, d).select("row_pos", "date", "t1")
     return r, r.count()
 
@@ -66,7 +69,7 @@ def _bounds(k: str) -> str:
 @query(["fold", "role"], longs=["row_pos"], sql=f"""WITH {BARS}, {T}, s AS (SELECT s.*, r.date AS d0 FROM {_bounds("5")} s JOIN r ON r.row_pos = s.a), e AS (SELECT floor(count(*) * 0.02::DOUBLE)::BIGINT AS emb FROM r)
  SELECT CAST(f AS INTEGER) AS fold, row_pos, CASE WHEN row_pos BETWEEN a AND b THEN 'test' ELSE 'train' END AS role FROM r, s, e WHERE row_pos BETWEEN a AND b OR t1 < d0 OR row_pos >= b + 1 + emb""")
 def purged_kfold(spark: SparkSession, d: str) -> DataFrame:
-    r, n = _year_rows(spark, d)
+    r, n = _split_rows(spark, d)
     return splits.purged_kfold(r, n, 5, 0.02)
 
 
@@ -77,7 +80,7 @@ COMBOS = "(VALUES " + ", ".join(f"({i}, {min(c)}, {max(c)}, {c[0]}, {c[1]})" for
  SELECT CAST(fold AS INTEGER) AS fold, row_pos, CASE WHEN row_pos BETWEEN s1.a AND s1.b OR row_pos BETWEEN s2.a AND s2.b THEN 'test' ELSE 'train' END AS role
  FROM {COMBOS} JOIN s s1 ON s1.f = g1 JOIN s s2 ON s2.f = g2, r, e WHERE row_pos BETWEEN s1.a AND s1.b OR row_pos BETWEEN s2.a AND s2.b OR t1 < s1.d0 OR row_pos >= s2.b + 1 + emb""")
 def cpcv_splits(spark: SparkSession, d: str) -> DataFrame:
-    r, n = _year_rows(spark, d)
+    r, n = _split_rows(spark, d)
     return splits.cpcv_splits(r, n, 6, 2, 0.01)
 
 
@@ -89,7 +92,7 @@ def cpcv_paths(spark: SparkSession, d: str) -> DataFrame:
 @query(["fold", "role"], longs=["row_pos"], sql=f"""WITH {BARS}, {T}, n AS (SELECT count(*) AS n FROM r), s AS (SELECT f, n - (4 - f) * (n // 5) AS a, n // 5 AS z FROM n, (SELECT unnest(range(0, 4)) AS f))
  SELECT CAST(f AS INTEGER) AS fold, row_pos, CASE WHEN row_pos < a THEN 'train' ELSE 'test' END AS role FROM r, s WHERE row_pos < a OR (row_pos >= a + 10 AND row_pos < a + z)""")
 def embargoed_split(spark: SparkSession, d: str) -> DataFrame:
-    r, n = _year_rows(spark, d)
+    r, n = _split_rows(spark, d)
     return splits.embargoed_split(r, n, 4, 10, purged=False)
 
 
@@ -106,10 +109,25 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return eda.correlations(panel(spark, d), list(ROLES.values()))
 
 
-@query(["kept"], sql="SELECT unnest(['open', 'high', 'low', 'volume']) AS kept")
+PRUNED = ["twin", "open", "high", "low", "volume", "flat"]
+
+
+def _pruned_sql(threshold: float = 0.97) -> str:
+    """The greedy rule from left to right, a column per step."""
+    name = lambda i: f'"{PRUNED[i]}"'
+    rho = [f"covar_pop({name(j)}, {name(i)}) / nullif(stddev_pop({name(j)}) * stddev_pop({name(i)}), 0) AS r{j}_{i}" for i in range(len(PRUNED)) for j in range(i)]
+    steps = [f"s AS (SELECT {', '.join([*rho, *(f'stddev_pop({name(i)}) > 0 AS v{i}' for i in range(len(PRUNED)))])} FROM x)"]
+    for i in range(len(PRUNED)):
+        near = " OR ".join(f"(k{j} AND abs(coalesce(r{j}_{i}, 0)) > {threshold})" for j in range(i)) or "false"
+        steps.append(f"s{i} AS (SELECT *, v{i} AND NOT ({near}) AS k{i} FROM {f's{i - 1}' if i else 's'})")
+    last = f"s{len(PRUNED) - 1}"
+    return f"WITH {BARS}, x AS (SELECT CAST(open AS DOUBLE) AS open, high, low, CAST(volume AS DOUBLE) AS volume, 1.0::DOUBLE AS flat, high * 2 + 1 AS twin FROM bars WHERE {ALL}), " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT '{c}' AS kept FROM {last} WHERE k{i}" for i, c in enumerate(PRUNED))
+
+
+@query(["kept"], sql=_pruned_sql())
 def collinearity_prune(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d).where(ALL).select("date", "open", "high", "low", "volume", F.lit(1.0).alias("flat"), (F.col("high") * 2 + 1).alias("twin"))
-    kept = eda.collinearity_prune(b, ["open", "high", "low", "volume", "flat", "twin"], "date")
+    kept = eda.collinearity_prune(b, PRUNED, "date")
     return spark.createDataFrame([(c,) for c in kept], "kept string")
 
 
@@ -145,7 +163,43 @@ def acf_ljung_box(spark: SparkSession, d: str) -> DataFrame:
     return eda.autocorrelation(log_returns(spark, d), ["key"], "date", "r", 10)
 
 
-@query(["key"], {"acf": 6, "pacf": 6, "q": 4, "p": 6}, ["lag"])
+def hart(x: str) -> str:
+    """SQL of the normal distribution function."""
+    from functools import reduce
+
+    from ..functions.columns import HART_BOTTOM, HART_TOP
+
+    a = f"abs({x})"
+    poly = lambda cs: reduce(lambda s, c: f"({s} * {a} + {c!r}::DOUBLE)", cs[1:], f"{cs[0]!r}::DOUBLE")
+    far = f"({a} + 0.65::DOUBLE)"
+    for k in (4, 3, 2, 1):
+        far = f"({a} + {k}.0::DOUBLE / {far})"
+    tail = f"exp(-{a} * {a} / 2) * CASE WHEN {a} < 7.07106781186547 THEN {poly(HART_TOP)} / {poly(HART_BOTTOM)} ELSE 1.0::DOUBLE / ({far} * 2.506628274631::DOUBLE) END"
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def _chi2_sql(x: str, dof: int) -> str:
+    """SQL of the upper tail of the chi-squared distribution, by its finite sums."""
+    if dof % 2 == 0:
+        return f"exp(-{x} / 2) * (" + " + ".join(f"pow({x} / 2, {i}) / {math.factorial(i)}.0::DOUBLE" for i in range(dof // 2)) + ")"
+    terms = " + ".join(f"pow({x} / 2, {i - 0.5!r}::DOUBLE) / {math.gamma(i + 0.5)!r}::DOUBLE" for i in range(1, (dof - 1) // 2 + 1)) or "0"
+    return f"2 * (1 - ({hart(f'sqrt({x})')})) + exp(-{x} / 2) * ({terms})"
+
+
+def _acf_tests_sql(lags: int = 10) -> str:
+    """Partial autocorrelations by the recursion over the order, a step per common table expression."""
+    w = f"w AS (SELECT key, {', '.join(f'max(CASE WHEN lag = {k} THEN acf END) AS r{k}, max(CASE WHEN lag = {k} THEN q END) AS q{k}' for k in range(1, lags + 1))} FROM b GROUP BY key)"
+    steps = ["d1 AS (SELECT *, r1 AS f1_1 FROM w)"]
+    for k in range(2, lags + 1):
+        top = " - ".join([f"r{k}", *(f"f{k - 1}_{j} * r{k - j}" for j in range(1, k))])
+        bottom = " - ".join(["1", *(f"f{k - 1}_{j} * r{j}" for j in range(1, k))])
+        steps.append(f"e{k} AS (SELECT *, ({top}) / ({bottom}) AS f{k}_{k} FROM d{k - 1})")
+        steps.append(f"d{k} AS (SELECT *, {', '.join(f'f{k - 1}_{j} - f{k}_{k} * f{k - 1}_{k - j} AS f{k}_{j}' for j in range(1, k))} FROM e{k})")
+    rows = " UNION ALL ".join(f"SELECT key, {k} AS lag, r{k} AS acf, f{k}_{k} AS pacf, q{k} AS q, {_chi2_sql(f'q{k}', k)} AS p FROM d{lags}" for k in range(1, lags + 1))
+    return f"WITH {ACF}, b AS (SELECT key, lag, n, acf, sum(acf * acf / (n - lag)) OVER (PARTITION BY key ORDER BY lag) * n * (n + 2) AS q FROM a), {w}, {', '.join(steps)} {rows}"
+
+
+@query(["key"], {"acf": 6, "pacf": 6, "q": 4, "p": 6}, ["lag"], _acf_tests_sql())
 def acf_tests(spark: SparkSession, d: str) -> DataFrame:
     found = eda.autocorrelation(log_returns(spark, d), ["key"], "date", "r", 10)
 
@@ -226,21 +280,6 @@ def mspe_dm(spark: SparkSession, d: str) -> DataFrame:
     return scores.diebold_mariano(f, ["key"], "date", "la", "lb", 3).join(f.groupBy("key").agg(scores.mspe_ratio("y", "fast", "slow").alias("mspe")), "key")
 
 
-def hart(x: str) -> str:
-    """SQL of the normal distribution function."""
-    from functools import reduce
-
-    from ..functions.columns import HART_BOTTOM, HART_TOP
-
-    a = f"abs({x})"
-    poly = lambda cs: reduce(lambda s, c: f"({s} * {a} + {c!r}::DOUBLE)", cs[1:], f"{cs[0]!r}::DOUBLE")
-    far = f"({a} + 0.65::DOUBLE)"
-    for k in (4, 3, 2, 1):
-        far = f"({a} + {k}.0::DOUBLE / {far})"
-    tail = f"exp(-{a} * {a} / 2) * CASE WHEN {a} < 7.07106781186547 THEN {poly(HART_TOP)} / {poly(HART_BOTTOM)} ELSE 1.0::DOUBLE / ({far} * 2.506628274631::DOUBLE) END"
-    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
-
-
 @query(["key"], {"pt": 5, "p": 6}, ["n"], f"""WITH {FORECASTS}, s AS (SELECT key, count(*) AS n, avg(((y - anchor > 0) = (fast - anchor > 0))::INT) AS h, avg((y - anchor > 0)::INT) AS a, avg((fast - anchor > 0)::INT) AS b FROM fc GROUP BY key),
  t AS (SELECT *, a * b + (1 - a) * (1 - b) AS st FROM s), u AS (SELECT key, n, h, st, st * (1 - st) / n - (((2 * a - 1) ** 2 * b * (1 - b) + (2 * b - 1) ** 2 * a * (1 - a)) / n + 4 * a * b * (1 - a) * (1 - b) / (n::DOUBLE * n)) AS v FROM t), w AS (SELECT key, n, CASE WHEN v > 0 THEN (h - st) / sqrt(v) END AS pt FROM u)
  SELECT key, n, pt, 1 - ({hart("pt")}) AS p FROM w""")
@@ -371,7 +410,11 @@ def har_features(spark: SparkSession, d: str) -> DataFrame:
     return volatility.har_rows(realised(spark, d), ["key"], "date", "rv")
 
 
-@query(["key"], {f"b{i}": 5 for i in range(4)}, ["n"])
+@query(["key"], {f"b{i}": 5 for i in range(4)}, ["n"], f"""WITH {HAR}, s AS (SELECT key, count(*) AS n, avg(rv) AS my, avg(har_1) AS m1, avg(har_5) AS m2, avg(har_22) AS m3, var_pop(har_1) AS a, covar_pop(har_1, har_5) AS b, covar_pop(har_1, har_22) AS c, var_pop(har_5) AS d,
+  covar_pop(har_5, har_22) AS e, var_pop(har_22) AS f, covar_pop(har_1, rv) AS p, covar_pop(har_5, rv) AS q, covar_pop(har_22, rv) AS r FROM h WHERE har_22 IS NOT NULL AND rv IS NOT NULL GROUP BY key),
+ t AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s),
+ u AS (SELECT *, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS b1, (a * (q * f - e * r) - p * (b * f - c * e) + c * (b * r - q * c)) / det AS b2, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - c * d)) / det AS b3 FROM t)
+ SELECT key, n, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, b1, b2, b3 FROM u""")
 def har_ols(spark: SparkSession, d: str) -> DataFrame:
     found = volatility.har_fit(realised(spark, d), ["key"], "date", "rv")
     return found.select("key", "n", *[F.element_at("beta", i + 1).alias(f"b{i}") for i in range(4)])
@@ -497,11 +540,11 @@ def predictive_density(spark: SparkSession, d: str) -> DataFrame:
     return scores.predictive_density(last, "slow", "sigma", *su())
 
 
-@query(["fold"], {"rmse": 6, "r2": 5, "lam": 4})
+@query(["fold"], {"rmse": 6, "mae": 6, "r2": 5, "lam": 4})
 def gam_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     r, names = model_rows(spark, d)
     found = backtest.cross_validate(r, r.count(), gam.terms_for(r, names), "y")
-    return spark.createDataFrame([(f["fold"], f["rmse"], f["r2"], f["lam"]) for f in found], "fold int, rmse double, r2 double, lam double")
+    return spark.createDataFrame([(f["fold"], f["rmse"], f["mae"], f["r2"], f["lam"]) for f in found], "fold int, rmse double, mae double, r2 double, lam double")
 
 
 @query(["term"], {"p": 4, "edof": 3})
@@ -516,3 +559,77 @@ def sigma_gam(spark: SparkSession, d: str) -> DataFrame:
 def walk_forward_scores(spark: SparkSession, d: str) -> DataFrame:
     r, names = model_rows(spark, d)
     return scores.backtest_scores(backtest.walk_forward(r, r.count(), gam.terms_for(r, names), backtest.WalkForward(refit=252, test=252)))
+
+
+@query(["key"], {"mspe_ratio": 6, "dm_stat": 5, "pt_stat": 5, "pt_pvalue": 6}, ["n"], f"""WITH {FORECASTS}, x AS (SELECT key, (y - slow) ** 2 AS a, (y - anchor) ** 2 AS b FROM fc), e AS (SELECT *, a - b AS d, a - b - avg(a - b) OVER (PARTITION BY key) AS e FROM x),
+ dm AS (SELECT key, count(*) AS n, avg(a) / avg(b) AS mspe_ratio, CASE WHEN count(*) >= 8 AND avg(e * e) > 0 THEN avg(d) / sqrt(avg(e * e) / count(*)) * sqrt((count(*) - 1.0::DOUBLE) / count(*)) END AS dm_stat FROM e GROUP BY key),
+ s AS (SELECT key, count(*) AS n, avg(((y - anchor > 0) = (slow - anchor > 0))::INT) AS h, avg((y - anchor > 0)::INT) AS a, avg((slow - anchor > 0)::INT) AS b FROM fc GROUP BY key), t AS (SELECT *, a * b + (1 - a) * (1 - b) AS st FROM s),
+ u AS (SELECT key, n, h, st, st * (1 - st) / n - (((2 * a - 1) ** 2 * b * (1 - b) + (2 * b - 1) ** 2 * a * (1 - a)) / n + 4 * a * b * (1 - a) * (1 - b) / (n::DOUBLE * n)) AS v FROM t), w AS (SELECT key, CASE WHEN v > 0 THEN (h - st) / sqrt(v) END AS pt_stat FROM u)
+ SELECT key, n, mspe_ratio, dm_stat, pt_stat, 1 - ({hart("pt_stat")}) AS pt_pvalue FROM dm JOIN w USING (key)""")
+def benchmark_tests(spark: SparkSession, d: str) -> DataFrame:
+    return scores.benchmark_tests(forecasts(spark, d), ["key"], "date", "y", "slow", "anchor", "anchor")
+
+
+@query([], {"w_model": 2, "w_naive": 2, "rmse_combined": 3, "rmse_model": 3, "rmse_naive": 3, "skill_vs_model": 6, "skill_vs_naive": 6}, sql=f"""WITH {FORECASTS}, g AS (SELECT i / 100.0::DOUBLE AS w, avg((y - (i / 100.0::DOUBLE * slow + (1 - i / 100.0::DOUBLE) * anchor)) ** 2) AS mse FROM fc, (SELECT unnest(range(0, 101)) AS i) WHERE {ALL} GROUP BY 1),
+ b AS (SELECT w, sqrt(mse) AS r FROM g ORDER BY mse, w LIMIT 1), o AS (SELECT sqrt(avg((y - slow) ** 2)) AS m, sqrt(avg((y - anchor) ** 2)) AS n FROM fc WHERE {ALL})
+ SELECT w AS w_model, 1 - w AS w_naive, r AS rmse_combined, m AS rmse_model, n AS rmse_naive, 1 - r / m AS skill_vs_model, 1 - r / n AS skill_vs_naive FROM b, o""")
+def combination_weights(spark: SparkSession, d: str) -> DataFrame:
+    path = forecasts(spark, d).where(ALL).select("date", F.col("y").alias("y_true"), F.col("slow").alias("y_pred"), F.col("anchor").alias("y_anchor"))
+    found = backtest.weights_from_path(path)
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
+
+
+QQ = ", ".join(f"({i}, {(i + 0.5) / 99!r}::DOUBLE, {norm_ppf((i + 0.5) / 99)!r}::DOUBLE)" for i in range(99))
+
+
+@query(["key", "i"], {"p": 9, "normal": 2, "residual": 2}, sql=f"WITH {FORECASTS}, e AS (SELECT key, y - slow AS e FROM fc), m AS (SELECT key, avg(e) AS m, stddev_samp(e) AS s, quantile_cont(e, [{', '.join(f'{(i + 0.5) / 99!r}::DOUBLE' for i in range(99))}]) AS q FROM e GROUP BY key), z(i, p, z) AS (VALUES {QQ}) SELECT key, CAST(i AS INTEGER) AS i, p, m + s * z AS normal, q[i + 1] AS residual FROM m, z")
+def residual_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return scores.residual_quantiles(forecasts(spark, d), ["key"], "y", "slow")
+
+
+@query(["key", "bin"], {"low": 3, "high": 3, "density": 12, "normal": 12}, sql=f"""WITH {FORECASTS}, e AS (SELECT key, y - slow AS e FROM fc), s AS (SELECT key, min(e) AS a, max(e) AS b, avg(e) AS m, stddev_samp(e) AS d, count(*) AS c FROM e GROUP BY key),
+ h AS (SELECT key, CAST(least(floor((e - a) / ((b - a) / 50)), 49) AS INTEGER) AS bin, count(*) AS n FROM e JOIN s USING (key) GROUP BY 1, 2), r AS (SELECT *, a + bin * ((b - a) / 50) AS low, a + (bin + 1) * ((b - a) / 50) AS high FROM h JOIN s USING (key))
+ SELECT key, bin, low, high, n / (c * (high - low)) AS density, exp(0 - ((low + high) / 2 - m) ** 2 / (2 * d * d)) / (d * sqrt(2 * pi())) AS normal FROM r""")
+def residual_density(spark: SparkSession, d: str) -> DataFrame:
+    return scores.residual_density(forecasts(spark, d), ["key"], "y", "slow")
+
+
+@query(["series", "ref_date", "avail_date"], {"value": 9}, sql=f"WITH {MONTHLY}, l(series, days) AS (VALUES ('unemployment', 38), ('igrea', 45), ('nfci', 7), ('usd_index', 0), ('of_our_own', 0)) SELECT series, ref_date, ref_date + CAST(days AS INTEGER) AS avail_date, value FROM monthly, l")
+def macro_publication(spark: SparkSession, d: str) -> DataFrame:
+    names = F.explode(F.array(*[F.lit(n) for n in ("unemployment", "igrea", "nfci", "usd_index", "of_our_own")])).alias("series")
+    return asof.published_series(monthly_macro(spark, d).select(names, "ref_date", "value"))
+
+
+@query(KEY, {"close": 2}, sql=f"WITH {BARS}, r AS (SELECT key, date, close, row_number() OVER (PARTITION BY key ORDER BY date DESC) AS k FROM bars WHERE date >= DATE '1995-06-01' AND date <= DATE '2000-12-31') SELECT key, date, close FROM r WHERE k <= 20")
+def recent_rows(spark: SparkSession, d: str) -> DataFrame:
+    return asof.last_rows(asof.date_range(bars(spark, d).select("key", "date", "close"), "date", "1995-06-01", "2000-12-31"), ["key"], "date", 20)
+
+
+@query(["source"], {k: 4 for k in ("mspe_ratio", "directional_accuracy", "crps_model", "log_score_model", "coverage_95", "skill_rmse")})
+def sigma_gate(spark: SparkSession, d: str) -> DataFrame:
+    r, names = model_rows(spark, d)
+    found = backtest.sigma_gate(r, r.count(), gam.terms_for(r, names, 8), backtest.WalkForward(refit=252, test=252))
+    kept = ("mspe_ratio", "directional_accuracy", "crps_model", "log_score_model", "coverage_95", "skill_rmse")
+    return spark.createDataFrame([(s, *(v[k] for k in kept)) for s, v in found.items()], "source string, " + ", ".join(f"{k} double" for k in kept))
+
+
+@query(["model", "term"], {"p": 4, "edof": 3})
+def distributional_models(spark: SparkSession, d: str) -> DataFrame:
+    r, names = model_rows(spark, d)
+    terms = gam.terms_for(r, names, 8)
+    found = distributional(r, ["key"], "date", terms, "y", gam.fit(gam.gram(r, terms, "y")), [0.1, 1.0, 10.0, 100.0], refits=1)
+    rows = [(name, t.name, float(p), float(getattr(found, name).edof)) for name in ("mu", "sigma", "nu", "tau") for t, p in zip(getattr(found, name).terms, getattr(found, name).p_values, strict=True)]
+    return spark.createDataFrame(rows, "model string, term string, p double, edof double")
+
+
+@query([], {"share": 2, "x": 4, "mu": 6})
+def what_if_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    r, m = _gram(spark, d)
+    return backtest.what_if_scenarios(r.orderBy(F.col("date").desc()).limit(1), gam.fit(m), "x_fast")
+
+
+@query(["date", "target_date"], {"price": 2, "low": 2, "high": 2, "pi_multiplier": 4, "weight": 2, "combined": 2})
+def trained_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run from features to the next forecast."""
+    r, names = model_rows(spark, d)
+    return runner.train(r.select("key", "date", "close", *names), names, "close", {"max_terms": 4, "n_splines": 10, "bags": 3, "refit_rows": 252, "sigma_source": "blend", "refits": 1}).forecast
