@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tidalframe.llm import mixing, packing, queries, rule_ensemble, toxicity, ur
 from tidalframe.llm.orc_tokens import encode_to_orc, read_token_files, write_token_files
 from tidalframe.llm import quality_rules as quality
 from tidalframe.llm.quality_rules import quality_rules
+from tidalframe.llm.tokens import WordTokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE, LOWER = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -312,6 +314,22 @@ def ids_of(name, text):
     return Tokenizer.from_file(queries.tokenizer_file(name)).encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [BYTE, LOWER])
+def test_word_tokenizer_equals_the_tokenizer(name):
+    rng = random.Random(11)
+    bits = [*"aabcdeéñÑßİKﬁᾈΩ中क़0½ .,'!?#$<>|", " ", " ", "\n", "\t", "\u00a0", "\u0301", "\0", "'s", "don't ", "<|endoftext|>", "hello ", "world,\n", "  ", "\n\n", " \n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 50))) for _ in range(4000)] + [t or "" for _, t in ODD_TEXTS]
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(queries.tokenizer_file(name)), WordTokenizer.at(queries.tokenizer_file(name))
+    whole = pa.array(texts)
+    for lo in (0, 1500, 3100):  # slices: their bytes don't start at the first one
+        part = whole.slice(lo, 1600)
+        ids, offsets = own.encode(part)
+        for i, want in enumerate(plain.encode_batch(part.to_pylist(), add_special_tokens=False)):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == want.ids, part[i]
+
+
 def test_packing_holds_every_id_once(spark):
     docs = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string").withColumn("length", F.lit("x"))
     got = packing.pack(docs, queries.tokenizer_file(BYTE)).toPandas()

@@ -21,7 +21,7 @@ from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
 from .workers import bounded_batches, lean
 
 #: ORC's own settings: a row index entry every so many rows, the bytes of a stripe, the Bloom filter.
-ORC_OPTIONS = {"orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
+ORC_OPTIONS = {"orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "LZ4"}
 
 
 def _encoder(path: str, end_id: int) -> Callable:

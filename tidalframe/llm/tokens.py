@@ -92,16 +92,21 @@ class WordTokenizer:
             else:
                 self._learn_each(group)
 
-    def _learn(self, pieces: pa.Array) -> None:
-        pure = pc.match_substring_regex(pieces, r"^\p{L}+$" if self.folds else r"^ [^\s]+$")
-        if self.folds:
-            self._learn_joined(pieces.filter(pure).to_pylist(), " ")
-            self._learn_each(pieces.filter(pc.invert(pure)).to_pylist())
-            return
-        self._learn_joined(pieces.filter(pure).to_pylist(), "")
-        bare = pc.match_substring_regex(pieces, r"^[^\s]+$") if len(self.feed) == 1 else pa.array(np.zeros(len(pieces), bool))
-        self._learn_joined(pieces.filter(bare).to_pylist(), "\n")
-        self._learn_each(pieces.filter(pc.invert(pc.or_(pure, bare))).to_pylist())
+    def _learn(self, pieces: pa.Array, listed: list[str]) -> np.ndarray:
+        """Enter new pieces; their numbers."""
+        flags = lambda pattern: pc.match_substring_regex(pieces, pattern).to_numpy(zero_copy_only=False).astype(bool)
+        pure = flags(r"^\p{L}+$" if self.folds else r"^ [^\s]+$")
+        bare = flags(r"^[^\s]+$") if not self.folds and len(self.feed) == 1 else np.zeros(len(listed), bool)
+        number = np.empty(len(listed), np.int64)
+        for mask, glue in ((pure, " " if self.folds else ""), (bare, "\n"), (~(pure | bare), None)):
+            at = np.flatnonzero(mask)
+            own, first = [listed[i] for i in at.tolist()], len(self.known) + 1
+            if glue is None:
+                self._learn_each(own)
+            else:
+                self._learn_joined(own, glue)
+            number[at] = np.arange(first, first + len(own))
+        return number
 
     def _enter(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.known) + 1
@@ -119,8 +124,7 @@ class WordTokenizer:
         listed = pieces.to_pylist()
         number = np.fromiter(map(self.known.get, listed, itertools.repeat(0)), np.int64, len(listed))
         if (new := np.flatnonzero(number == 0)).size:
-            self._learn(pieces.take(pa.array(new)))
-            number[new] = [self.known[listed[i]] for i in new.tolist()]
+            number[new] = self._learn(pieces.take(pa.array(new)), [listed[i] for i in new.tolist()])
         return number
 
     def _word_ids(self, words: pa.Array) -> pa.ListArray:
@@ -145,6 +149,7 @@ class WordTokenizer:
         if len(self.known) > KEPT_PIECES:
             self._clear()
         unsure = pc.or_(pc.match_substring_regex(texts, _MARKED if self.folds else _UNSURE), pc.match_substring(texts, "\0")).to_numpy(zero_copy_only=False).astype(bool)
+        # always a copy: some kernels misread texts whose bytes don't start at the first one
         plain = pc.if_else(pa.array(unsure), "", texts).cast(pa.large_string())
         if self.folds:
             plain = pc.ascii_lower(plain)
