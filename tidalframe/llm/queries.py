@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as quality_rules_module
 from .embed_dedup import embedding_components
+from .exponion import ROUNDS, SCALE, STARTS, WIDTH, centroid_clusters
+from .hidden_markov import hidden_markov_scores
 from .line_dedup import PASSAGE_RUN, PASSAGE_UNIT, without_repeats
 from .mixing import mix_plan
 from .ngram_join import ngram_jaccard_components
@@ -94,6 +96,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 #: The words of texts and the sizes of documents, as DuckDB counts them.
 ORACLES["op3_mix_sources"] = r"""
 WITH sized AS (
@@ -169,3 +181,28 @@ FROM st LEFT JOIN met USING (rid)
 
 
 ORACLES["op1_quality_rules"] = _quality_sql()
+
+
+def _clusters_sql() -> str:
+    """op12 in DuckDB: every distance in every round, in whole numbers."""
+    distance = "list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    rounds = ""
+    for i in range(ROUNDS + 1):
+        rounds += f"""
+a{i} AS MATERIALIZED (SELECT rid, (min([d, c]))[2] AS c, min(d) AS d FROM (SELECT v.rid, c.c, {distance} AS d FROM v CROSS JOIN c{i} c) GROUP BY rid),"""
+        if i < ROUNDS:
+            rounds += f"""
+s{i} AS (SELECT c, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(v.p) AS x, generate_subscripts(v.p, 1) AS pos FROM a{i} a JOIN v USING (rid)) GROUP BY c, pos),
+m{i} AS (SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY pos) AS p FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.p, c.p) AS p FROM c{i} c LEFT JOIN m{i} m USING (c)),"""
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {WIDTH}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), p) - 1 AS c, p FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), p LIMIT {STARTS}),{rounds}
+i AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a{ROUNDS} GROUP BY c)
+SELECT v.vec_id, a.c::INT AS cluster, a.d AS distance, i.cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(list_aggregate(e.p, 'string_agg', ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN v USING (rid) JOIN i USING (c) JOIN c{ROUNDS} e USING (c)
+"""
+
+
+ORACLES["op12_exponion_clusters"] = _clusters_sql()
