@@ -18,6 +18,7 @@ from .orc_tokens import encode_to_orc
 from .packing import pack
 from .quality_rules import quality_rules
 from .rule_ensemble import quality_scores
+from .spelling import LEAST_COUNT, LEAST_LENGTH, SLIP, TIMES, spelling_variants
 from .toxicity import toxicity
 from .url_templates import judge_urls
 
@@ -106,6 +107,11 @@ def op12_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 #: The words of texts and the sizes of documents, as DuckDB counts them.
 ORACLES["op3_mix_sources"] = r"""
 WITH sized AS (
@@ -206,3 +212,26 @@ FROM a{ROUNDS} a JOIN v USING (rid) JOIN i USING (c) JOIN c{ROUNDS} e USING (c)
 
 
 ORACLES["op12_exponion_clusters"] = _clusters_sql()
+
+
+#: op13 in DuckDB: crc32 by a table made from its rule, near words by the words with one place left out.
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n, length(run) AS len FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY ALL),
+coded AS (SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT]
+    ELSE [(192 + unicode(x) // 64)::UBIGINT, (128 + unicode(x) % 64)::UBIGINT] END)) AS bytes FROM own),
+hashed AS (SELECT run, n, len, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::INT])), 4294967295::UBIGINT) AS h FROM coded, crc),
+slipped AS (SELECT CASE WHEN h % {SLIP} = 0 THEN substr(run, 1, (h % len)::INT) || substr(run, (h % len)::INT + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+pat AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+one AS (SELECT p.word, q.word AS near, q.n FROM pat p JOIN pat q ON p.i = q.i AND p.a = q.a AND p.b = q.b AND p.word <> q.word),
+cut AS (SELECT DISTINCT p.word AS long, p.n AS long_n, w.word AS short, w.n AS short_n FROM pat p JOIN words w ON w.word = p.a || p.b),
+near AS (SELECT word, near, n FROM one UNION ALL SELECT long, short, short_n FROM cut UNION ALL SELECT short, long, long_n FROM cut),
+best AS (SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM near),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= {TIMES} * w.n THEN b.near END AS form, CASE WHEN b.n >= {TIMES} * w.n THEN b.n END::BIGINT AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (word)),
+walk AS (SELECT word, word AS root FROM formed UNION SELECT k.word, f.form FROM walk k JOIN formed f ON k.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k USING (word) JOIN formed e ON k.root = e.word WHERE e.form IS NULL
+"""
