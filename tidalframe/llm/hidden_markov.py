@@ -31,7 +31,7 @@ CLASS_BITS, STATES, ROUNDS = 16, 16, 3
 #: Pseudo-counts of each word class, spread over states by their shares, and of each start and transition.
 CLASS_PRIOR, STEP_PRIOR = 2.0, 1.0
 #: Text of a chunk row, tokens of a block of the recursion, tokens recursed over at once, entries of a bucket of word counts.
-CHUNK_TEXT, BLOCK, AT_ONCE, BUCKET_ENTRIES = 8 << 20, 2048, 1 << 19, 4 << 20
+CHUNK_TEXT, BLOCK, AT_ONCE, BUCKET_ENTRIES = 8 << 20, 2048, 1 << 20, 4 << 20
 END = 1 << CLASS_BITS
 _TABLES = 64  # rows that a table of expected counts travels in
 
@@ -111,17 +111,39 @@ class Expected:
         return Expected(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((END + 1, STATES)))
 
 
+def _by_size(first: np.ndarray, size: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of blocks by falling size, at_once tokens a group, and for each step how many of them have a token there."""
+    order = np.argsort(-size, kind="stable")
+    low = 0
+    while low < len(order):
+        own = order[low : low + max(1, at_once // max(1, int(size[order[low]])))]
+        low += len(own)
+        yield own, np.searchsorted(-size[own], -np.arange(int(size[own[0]])), "left")
+
+
 def _transfers(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, model: Hmm) -> np.ndarray:
-    """For blocks that follow others: the product of their step and emission matrices, each scaled to a greatest entry of 1."""
+    """For blocks that follow others: the product of their step and emission matrices, each scaled now and then."""
     out = np.empty((len(first), STATES, STATES), np.float32)
-    at_once = max(1, AT_ONCE // (BLOCK * 4))
-    for low in range(0, len(first), at_once):
-        own = slice(low, low + at_once)
-        now = np.broadcast_to(np.eye(STATES, dtype=np.float32), (len(first[own]), STATES, STATES)).copy()
-        for k in range(int(size[own].max())):
-            live = size[own] > k
-            value = (now[live] @ model.step) * model.emit[tokens[first[own][live] + k]][:, None, :]
-            now[live] = value / value.max((1, 2), keepdims=True)
+    for own, live in _by_size(first, size, AT_ONCE // 4):
+        now = np.broadcast_to(np.eye(STATES, dtype=np.float32), (len(own), STATES, STATES)).copy()
+        for k, m in enumerate(live.tolist()):
+            value = (now[:m].reshape(-1, STATES) @ model.step).reshape(m, STATES, STATES)
+            value *= model.emit[tokens[first[own[:m]] + k]][:, None, :]
+            if k % 2:
+                value /= value.max((1, 2), keepdims=True)
+            now[:m] = value
+        out[own] = now / now.max((1, 2), keepdims=True)
+    return out
+
+
+def _ends(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, model: Hmm) -> np.ndarray:
+    """Scaled forward vectors at the ends of blocks that open their texts."""
+    out = np.empty((len(first), STATES), np.float32)
+    for own, live in _by_size(first, size, AT_ONCE):
+        now = np.broadcast_to(model.start, (len(own), STATES)).copy()
+        for k, m in enumerate(live.tolist()):
+            value = (now[:m] @ model.step if k else now[:m]) * model.emit[tokens[first[own[:m]] + k]]
+            now[:m] = value / value.sum(1, keepdims=True)
         out[own] = now
     return out
 
@@ -140,77 +162,76 @@ def recurse(tokens: np.ndarray, offsets: np.ndarray, model: Hmm, counts: Expecte
     number = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     first = offsets[doc] + number * BLOCK
     size = np.minimum(BLOCK, offsets[doc + 1] - first)
+    last = number + 1 == blocks[doc]
     before = np.zeros((len(doc), STATES), np.float32)  # the scaled forward vector at the end of the block before
     after = np.ones((len(doc), STATES), np.float32)
-    many = np.flatnonzero(blocks[doc] > 1)
-    if len(many):
-        moved = dict(zip(many.tolist(), _transfers(tokens, first[many], size[many], model), strict=True))
-        for i in many.tolist():
-            if number[i]:
-                state = before[i - 1] @ moved[i - 1] if number[i] > 1 else _first_block(tokens[first[i - 1] : first[i]], model)
-                before[i] = state / state.sum()
+    heads = np.flatnonzero((number == 0) & ~last)
+    if len(heads):
+        before[heads + 1] = _ends(tokens, first[heads], size[heads], model)
+        inner = np.flatnonzero((number > 0) & ((counts is not None) | ~last))
+        moved = dict(zip(inner.tolist(), _transfers(tokens, first[inner], size[inner], model), strict=True))
+        for i in inner.tolist():
+            if not last[i]:
+                state = before[i] @ moved[i]
+                before[i + 1] = state / state.sum()
         if counts is not None:
-            for i in many[::-1].tolist():
-                if number[i] + 1 < blocks[doc[i]]:
-                    state = moved[i + 1] @ after[i + 1]
-                    after[i] = state / state.max()
-    order = np.lexsort((np.arange(len(doc)), -size))
-    low = 0
-    while low < len(order):
-        own = order[low : low + max(1, AT_ONCE // max(1, int(size[order[low]])))]
-        low += len(own)
-        _side_by_side(tokens, doc[own], number[own] == 0, first[own], size[own], before[own], after[own], model, likelihood, counts)
+            for i in inner[::-1].tolist():
+                state = moved[i] @ after[i]
+                after[i - 1] = state / state.max()
+    for own, live in _by_size(first, size, AT_ONCE):
+        _side_by_side(tokens, doc[own], number[own] == 0, first[own], live, before[own], after[own], model, likelihood, counts)
     return likelihood
 
 
-def _first_block(tokens: np.ndarray, model: Hmm) -> np.ndarray:
-    state = model.start * model.emit[tokens[0]]
-    state = state / state.sum()
-    for t in tokens[1:].tolist():
-        state = (state @ model.step) * model.emit[t]
-        state = state / state.sum()
-    return state
-
-
-def _side_by_side(tokens, doc, opens, first, size, before, after, model: Hmm, likelihood: np.ndarray, counts: Expected | None) -> None:
-    """Forward, and with counts backward, over blocks sorted by falling size."""
-    steps = int(size[0])
-    live = np.searchsorted(-size, -np.arange(steps), "left")  # blocks with more than k tokens
-    forward, scale = [], []
-    for k in range(steps):
-        m = int(live[k])
-        if k == 0:
-            state = np.where(opens[:, None], model.start, before @ model.step)
-        else:
-            state = forward[-1][:m] @ model.step
-        state = state * model.emit[tokens[first[:m] + k]]
-        z = state.sum(1, keepdims=True)
+def _side_by_side(tokens, doc, opens, first, live, before, after, model: Hmm, likelihood: np.ndarray, counts: Expected | None) -> None:
+    """Forward, and with counts backward, over blocks by falling size; live: blocks with a token at each step."""
+    at = np.concatenate([[0], np.cumsum(live)])
+    steps = live.tolist()
+    seen = tokens[np.concatenate([first[:m] + k for k, m in enumerate(steps)])]
+    scale = np.empty((at[-1], 1), np.float32)
+    forward = np.empty((at[-1] if counts is not None else 0, STATES), np.float32)
+    state = np.where(opens[:, None], model.start, before @ model.step)
+    for k, m in enumerate(steps):
+        if k:
+            state = state[:m] @ model.step
+        state *= model.emit[seen[at[k] : at[k + 1]]]
+        z = scale[at[k] : at[k + 1]]
+        state.sum(1, keepdims=True, out=z)
         state /= z
-        np.add.at(likelihood, doc[:m], np.log(z[:, 0]))
-        forward.append(state)
-        scale.append(z)
+        if counts is not None:
+            forward[at[k] : at[k + 1]] = state
+    log = np.log(scale[:, 0], dtype=float)
+    np.add.at(likelihood, doc, np.bincount(np.arange(at[-1]) - np.repeat(at[:-1], live), weights=log, minlength=len(doc)))
     if counts is None:
         return
     back = np.zeros((0, STATES), np.float32)
-    shares = []
-    for k in range(steps - 1, -1, -1):
-        m = int(live[k])
-        now = np.empty((m, STATES), np.float32)
-        now[: len(back)] = back
-        ended = slice(len(back), m)
-        now[ended] = after[ended] / (forward[k][ended] * after[ended]).sum(1, keepdims=True)
-        shares.append(forward[k] * now)
-        weighed = now * model.emit[tokens[first[:m] + k]] / scale[k]
+    for k in range(len(steps) - 1, -1, -1):
+        own = forward[at[k] : at[k + 1]]
+        if len(back) < len(own):  # blocks that end here
+            ended = slice(len(back), len(own))
+            back = np.concatenate([back, after[ended] / (own[ended] * after[ended]).sum(1, keepdims=True)])
+        weighed = back * model.emit[seen[at[k] : at[k + 1]]]
+        weighed /= scale[at[k] : at[k + 1]]
+        own *= back  # from here on the shares of the states
         if k:
-            counts.step += (forward[k - 1][:m].T @ weighed) * model.step
+            counts.step += _crossed(forward[at[k - 1] : at[k - 1] + len(own)], weighed) * model.step
             back = weighed @ model.step.T
         else:
-            counts.step += (before[~opens].T @ weighed[~opens]) * model.step
-            counts.start += shares[-1][opens].sum(0)
-    seen = np.concatenate([tokens[first[: int(live[k])] + k] for k in range(steps - 1, -1, -1)])
-    share = np.concatenate(shares)
-    for s in range(STATES):
-        counts.emit[:, s] += np.bincount(seen, weights=share[:, s], minlength=END + 1)
+            counts.step += _crossed(before[~opens], weighed[~opens]) * model.step
+            counts.start += own[opens].sum(0, dtype=float)
+    ends = seen == END
+    counts.emit[END] += forward[ends].sum(0, dtype=float)
+    words = np.flatnonzero(~ends)
+    words = words[np.argsort(seen[words].astype(np.uint16), kind="stable")]
+    for low in range(0, len(words), 1 << 17):
+        part = words[low : low + (1 << 17)]
+        of = seen[part]
+        edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        counts.emit[of[edges]] += np.add.reduceat(forward[part], edges)
+
+
+def _crossed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.T @ right).astype(float)
 
 
 def first_counts(tokens: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, places: np.ndarray, lengths: np.ndarray, counts: Expected) -> None:
@@ -233,7 +254,10 @@ def first_counts(tokens: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, p
 def fitted(counts: Expected) -> Hmm:
     """The model of the greatest posterior; states that nothing was seen in get the priors alone."""
     share = (counts.emit.sum(0) + 1.0) / (counts.emit.sum() + STATES)
-    emit = counts.emit + CLASS_PRIOR * share * np.minimum(1.0, counts.emit.sum(1, keepdims=True) + 0.1)
+    seen = counts.emit.sum(1, keepdims=True)
+    used = np.count_nonzero(seen)
+    unseen = 0.1 * min(1.0, (used + 1) / max(1, len(seen) - used))  # together no more than a tenth of the used classes' priors
+    emit = counts.emit + CLASS_PRIOR * share * np.maximum(unseen, np.minimum(1.0, seen))
     emit /= emit.sum(0)
     step = counts.step + STEP_PRIOR
     start = counts.start + STEP_PRIOR
