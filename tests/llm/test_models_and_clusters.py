@@ -130,7 +130,7 @@ def test_probabilities_of_all_next_words_add_up_to_one(spark):
     rng = np.random.default_rng(3)
     counts = hidden_markov.Expected(rng.random(hidden_markov.STATES), rng.random((hidden_markov.STATES,) * 2), np.where(rng.random((hidden_markov.END + 1, 1)) < 0.1, rng.random((hidden_markov.END + 1, hidden_markov.STATES)), 0.0))
     model = hidden_markov.fitted(counts)
-    np.testing.assert_allclose(model.emit.sum(0), 1, rtol=1e-4)
+    np.testing.assert_allclose(model.emit.sum(0, dtype=float), 1, rtol=1e-5)
     np.testing.assert_allclose(model.step.sum(1), 1, rtol=1e-5)
 
 

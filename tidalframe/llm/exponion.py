@@ -124,6 +124,13 @@ def kept_vectors(embedding: Column) -> Column:
     return F.coalesce((F.size(embedding) == WIDTH) & finite, F.lit(False))
 
 
+def _scaled(values: np.ndarray) -> np.ndarray:
+    points = np.floor(values * SCALE)
+    if len(points) and np.abs(points).max() > GREATEST:
+        raise ValueError(f"components beyond {GREATEST // SCALE} have squared distances that no long holds")
+    return points.astype(np.int64)
+
+
 @lean
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors of kept rows (vec_id, embedding: array of double) as block rows without clusters."""
@@ -131,13 +138,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         ids, values = batch.column(0), batch.column(1).flatten().to_numpy().reshape(-1, WIDTH)
-        points = np.floor(values * SCALE)
-        if np.abs(points).max() > GREATEST:
-            raise ValueError(f"components beyond {GREATEST // SCALE} have squared distances that no long holds")
+        points = _scaled(values)
         absent = ids.is_null().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy().astype(np.int64)
         for low in range(0, len(ids), BLOCK):
-            yield _block_row(ids[low : low + BLOCK], absent[low : low + BLOCK], points[low : low + BLOCK].astype(np.int64), None)
+            yield _block_row(ids[low : low + BLOCK], absent[low : low + BLOCK], points[low : low + BLOCK], None)
 
 
 def _block_row(ids: np.ndarray, absent: np.ndarray, points: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray] | None, sums: list[int] | None = None) -> pa.RecordBatch:
@@ -213,7 +218,7 @@ def starting_points(kept: DataFrame, starts: int) -> np.ndarray:
     """The scaled vectors of the `starts` ids with the smallest sha256 of 2:<vec_id>; of equal ids the smaller vector leads."""
     name = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
     rows = kept.select(name.alias("name"), "embedding").where("name is not null").orderBy("name", "embedding").limit(starts).collect()  # starts rows
-    return np.floor(np.array([r["embedding"] for r in rows], float).reshape(-1, WIDTH) * SCALE).astype(np.int64)
+    return _scaled(np.array([r["embedding"] for r in rows], float).reshape(-1, WIDTH))
 
 
 def centroid_clusters(vectors: DataFrame, starts: int = STARTS, rounds: int = ROUNDS) -> DataFrame:
