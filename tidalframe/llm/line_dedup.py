@@ -5,7 +5,8 @@ repeated passage, wherever it begins.  Units are normalised (A-Z lower-cased, wh
 hashed to 128 bits.  By default every repeated unit goes.  Where only passages shall go, a least number of
 words can be asked of the units that have digests of their own (a shorter one is hashed together with its
 neighbours, once with those after it and once with those before it, so that a passage of short lines
-is found too) and of repeated units in a row.  Occurrences rank by (doc_id, number of the first unit).  Within each chunk of rows only the earliest
+is found too) and of repeated units in a row.  Occurrences rank by (doc_id, row, number of the first unit), rows being numbered
+once when the documents are written down, so that null and shared ids mix up nothing.  Within each chunk of rows only the earliest
 occurrence of a digest travels, packed with others of its hash bucket; later ones are known to be
 repeats at once, so a line that every document holds costs a task one entry.
 """
@@ -79,15 +80,22 @@ def spans(owner: np.ndarray, words: np.ndarray, one: np.ndarray, two: np.ndarray
     return first, rest, one_of, two_of
 
 
-def _units_of(doc: np.ndarray, code: np.ndarray, lead_doc: np.ndarray, lead_code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, unit) of the units of repeats, without those that the earliest occurrence itself holds; code is first unit * least + units after it."""
+def _units_of(row: np.ndarray, code: np.ndarray, lead_row: np.ndarray, lead_code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, unit) of the units of repeats, without those that the earliest occurrence itself holds; code is first unit * least + units after it."""
     first, rest = np.divmod(code, least)
     lead_last = lead_code // least + lead_code % least
     last = first + rest
-    first = np.where(doc == lead_doc, np.maximum(first, lead_last + 1), first)
+    first = np.where(row == lead_row, np.maximum(first, lead_last + 1), first)
     count = np.maximum(last - first + 1, 0)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(doc, count), np.repeat(first, count) + place
+    return np.repeat(row, count), np.repeat(first, count) + place
+
+
+def _again(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted occurrences: which are the earliest of their digest, and the number of that for each."""
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return new, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
 def _packed(columns: list[np.ndarray], bucket: np.ndarray, buckets: int, kind: int) -> pa.RecordBatch:
@@ -107,15 +115,13 @@ def _digest(buckets: int, least: int) -> Callable:
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            one, two, doc, code = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((code, doc, two, one))
-            one, two, doc, code = one[order], two[order], doc[order], code[order]
-            new = np.ones(len(one), bool)
-            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            again = ~new & ((doc != doc[lead]) | (code != code[lead]))
-            yield _packed([one[new], two[new], doc[new], code[new]], (one[new] >> shift).astype(np.int64), buckets, 0)
-            gone, unit = _units_of(doc[again], code[again], doc[lead[again]], code[lead[again]], least)
+            one, two, doc, row, code = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((code, row, doc, two, one))
+            one, two, doc, row, code = one[order], two[order], doc[order], row[order], code[order]
+            new, lead = _again(one, two)
+            again = np.flatnonzero(~new)
+            yield _packed([one[new], two[new], doc[new], row[new], code[new]], (one[new] >> shift).astype(np.int64), buckets, 0)
+            gone, unit = _units_of(row[again], code[again], row[lead[again]], code[lead[again]], least)
             if len(gone):
                 yield _packed([gone, unit], (mix(gone.view(U64)) >> shift).astype(np.int64), buckets, 1)
 
@@ -125,7 +131,8 @@ def _digest(buckets: int, least: int) -> Callable:
             ids = table["doc_id"].combine_chunks().fill_null(_NO_ID).to_numpy()
             _, _, owner, number, words, one, two = units(data, at)
             first, rest, one, two = spans(owner, words, one, two, least)
-            held.append([one, two, ids[owner[first]], number[first] * least + rest])
+            rows = table["row"].combine_chunks().to_numpy()
+            held.append([one, two, ids[owner[first]], rows[owner[first]], number[first] * least + rest])
             size += len(first)
             if size >= _FLUSH:
                 yield from flush()
@@ -138,38 +145,36 @@ def _digest(buckets: int, least: int) -> Callable:
 
 
 def _repeats(least: int) -> Callable:
-    """(doc_id, unit) of the units of all but the earliest occurrence of each digest; reads blobs sorted by bucket."""
+    """(row, unit) of the units of all but the earliest occurrence of each digest; reads blobs sorted by bucket."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-            docs, numbers = [], []
+            rows, numbers = [], []
             for kind, blob in held:
                 if kind == 1:
                     both = np.frombuffer(blob, np.int64).reshape(2, -1)
-                    docs.append(both[0])
+                    rows.append(both[0])
                     numbers.append(both[1])
-            if sets := [np.frombuffer(blob, np.int64).reshape(4, -1) for kind, blob in held if kind == 0]:
-                one, two, doc, code = np.concatenate(sets, 1)
+            if sets := [np.frombuffer(blob, np.int64).reshape(5, -1) for kind, blob in held if kind == 0]:
+                one, two, doc, row, code = np.concatenate(sets, 1)
                 order = np.argsort(one, kind="stable")
                 same = np.zeros(len(one), bool)
                 ranked = one[order]
                 same[1:] = ranked[1:] == ranked[:-1]
                 same[:-1] |= same[1:]
                 order = order[same]
-                one, two, doc, code = one[order], two[order], doc[order], code[order]
-                order = np.lexsort((code, doc, two, one))
-                one, two, doc, code = one[order], two[order], doc[order], code[order]
+                one, two, doc, row, code = one[order], two[order], doc[order], row[order], code[order]
+                order = np.lexsort((code, row, doc, two, one))
+                one, two, doc, row, code = one[order], two[order], doc[order], row[order], code[order]
                 if len(one):
-                    new = np.ones(len(one), bool)
-                    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                    again = ~new & ((doc != doc[lead]) | (code != code[lead]))
-                    gone, unit = _units_of(doc[again], code[again], doc[lead[again]], code[lead[again]], least)
-                    docs.append(gone)
+                    new, lead = _again(one, two)
+                    again = np.flatnonzero(~new)
+                    gone, unit = _units_of(row[again], code[again], row[lead[again]], code[lead[again]], least)
+                    rows.append(gone)
                     numbers.append(unit)
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(numbers))], names=["doc_id", "unit"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(numbers))], names=["row", "unit"])
 
         held: list[tuple[int, bytes]] = []
         now = None
@@ -186,15 +191,15 @@ def _repeats(least: int) -> Callable:
     return run
 
 
-def repeated_units(docs: DataFrame, unit_words: int = 1) -> DataFrame:
-    """(doc_id, repeats: array of unit numbers) of documents with a unit that occurs earlier; a null doc_id ranks last, as 2^63 - 1."""
-    spark = docs.sparkSession
+def repeated_units(numbered: DataFrame, unit_words: int = 1) -> DataFrame:
+    """(row, repeats: array of unit numbers) of rows of numbered (row, doc_id, text; row unique) with a unit that occurs earlier; a null doc_id ranks last."""
+    spark = numbered.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(8, (2 * parts - 1).bit_length())
-    blobs = docs.select("doc_id", "text").mapInArrow(_digest(buckets, unit_words), "bucket int, kind int, blob binary")
-    found = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(unit_words), "doc_id long, unit long")
-    return settle(found.groupBy("doc_id").agg(F.collect_set("unit").alias("repeats")), "repeats")
+    blobs = numbered.select("row", "doc_id", "text").mapInArrow(_digest(buckets, unit_words), "bucket int, kind int, blob binary")
+    found = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(unit_words), "row long, unit long")
+    return settle(found.groupBy("row").agg(F.collect_set("unit").alias("repeats")), "repeats")
 
 
 def _runs_to_cut(data: np.ndarray, offsets: np.ndarray, flagged: pa.Array, unit_words: int, run_words: int) -> list[list[tuple[int, int, int, int]]]:
@@ -209,7 +214,7 @@ def _runs_to_cut(data: np.ndarray, offsets: np.ndarray, flagged: pa.Array, unit_
         a, b = first[d], first[d + 1]
         gone = np.zeros(b - a, bool)
         at = np.array(marks, np.int64)
-        gone[at[at < b - a]] = True  # a longer text of the same doc_id has more units
+        gone[at] = True
         short = words[a:b] < unit_words
         i = 0
         while i < b - a:
@@ -264,18 +269,17 @@ def without_repeats(docs: DataFrame, only_changed: bool = False, unit_words: int
     start and end are code points of the original text.  Runs of units that each occur earlier
     (smaller doc_id, or earlier in the same text) go if they have run_words words together; by
     default every repeated unit goes.  Units of under unit_words words count with their neighbours.
-    Texts may be of any length.  Null and empty texts stay as they are with nothing removed; rows that
-    share a doc_id count as one document unit by unit, so repeated rows keep what one of them keeps, and
-    of different texts a unit goes where that of the same number goes in another; a null doc_id ranks last.  Extra columns are carried through, whatever their names, but for one named removed,
-    which is replaced.
+    Texts may be of any length.  Null and empty texts stay as they are with nothing removed.  Every row counts for
+    itself: of repeated rows, and of rows that share a doc_id, the one read first is the earlier; a null doc_id ranks
+    last.  Extra columns are carried through, whatever their names, but for one named removed, which is replaced.
     """
     docs = docs.drop("removed")
-    flagged = repeated_units(docs, unit_words)
-    key = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
     names = docs.columns
     inner = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])
-    # a sort-merge join whatever the size: the flagged ids grow with the documents
-    joined = inner.join(flagged.select(F.col("doc_id").alias("flagged_id"), "repeats").hint("merge"), key == F.col("flagged_id"), "inner" if only_changed else "left").drop("flagged_id")
+    numbered = settle(inner.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    flagged = repeated_units(numbered, unit_words)
+    # a sort-merge join whatever the size: the flagged rows grow with the documents
+    joined = numbered.join(flagged.hint("merge"), "row", "inner" if only_changed else "left").drop("row")
     shape = ", ".join(f"`{c}` {t}" for c, t in joined.dtypes[:-1]) + ", removed array<struct<start: long, end: long, words: long>>"
     out = joined.mapInArrow(_cutter(unit_words, run_words), shape).toDF(*names, "removed")
     return out.where("size(removed) > 0") if only_changed else out

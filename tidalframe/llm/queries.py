@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality_rules as quality_rules_module
 from .embed_dedup import embedding_components
@@ -19,6 +20,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .rule_ensemble import quality_scores
 from .spelling import LEAST_COUNT, LEAST_LENGTH, SLIP, TIMES, spelling_variants
+from .text_stats import SPACES
 from .toxicity import toxicity
 from .url_templates import judge_urls
 
@@ -82,6 +84,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), True, PASSAGE_UNIT, PASSAGE_RUN).select("doc_id", "removed", "text")
 
 
+@query
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method of op7 without parameters: every repeated unit goes, stock sentences too. Words removed, and a digest of those that stay."""
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), "")
+    return out.select("doc_id", F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("removed_words"), F.md5(F.array_join(words, " ")).alias("kept_md5"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2048, 0)
@@ -235,3 +245,17 @@ formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_n
 walk AS (SELECT word, word AS root FROM formed UNION SELECT k.word, f.form FROM walk k JOIN formed f ON k.root = f.word WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k USING (word) JOIN formed e ON k.root = e.word WHERE e.form IS NULL
 """
+
+
+#: repeated_lines in DuckDB: units are the words of a line up to one that ends in . ! ? , ; or :, told by their lower-cased words.
+ORACLES["repeated_lines"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents),
+w AS (SELECT doc_id, ln, unnest(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), 1) AS k FROM l),
+o AS (SELECT *, coalesce(k = 1 OR regexp_matches(lag(word) OVER (PARTITION BY doc_id, ln ORDER BY k), '[.!?,;:]$'), true) AS opens FROM w),
+u AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY ln, k) AS unit FROM o),
+g AS (SELECT doc_id, unit, string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY ln, k) AS own, string_agg(word, ' ' ORDER BY ln, k) AS shown, count(*) AS n
+      FROM u GROUP BY doc_id, unit),
+r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY doc_id, unit) > 1 AS gone FROM g),
+t AS (SELECT doc_id, coalesce(sum(n) FILTER (gone), 0) AS removed_words, coalesce(string_agg(shown, ' ' ORDER BY unit) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.removed_words, 0)::BIGINT AS removed_words, md5(coalesce(t.kept, '')) AS kept_md5 FROM documents d LEFT JOIN t USING (doc_id)
+"""
