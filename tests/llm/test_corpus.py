@@ -1,7 +1,9 @@
 """Quality, toxicity, mixing, packing, token files, URLs and the pipeline."""
 
 import itertools
+import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -405,8 +407,8 @@ def test_urls_of_any_depth_and_undecided_hosts(spark):
     assert len(none) == 101 and all(r["verdict"] == "allow" and r["bad_share"] is None for r in none)
 
 
-def judged_by_hand(pages, labels):
-    """verdict and template of each page_id, tree and purity in plain Python."""
+def judged_by_hand(pages, labels, merging):
+    """verdict and template of each page_id, tree and purity in plain Python; merging: ids whose labels merge branches."""
     rules = sorted(url_templates.RULES, key=lambda r: -len(r[0]))
     known = {}
     for d, q in labels:
@@ -433,42 +435,36 @@ def judged_by_hand(pages, labels):
     for host, path in paths:
         fits = (r for r in rules if (host == r[0].split("/", 1)[0] or host.endswith("." + r[0].split("/", 1)[0])) and path.startswith("/" + r[0].split("/", 1)[1]))
         rule_of[host, path] = next(fits, None)
-    count = {}
+    count = {}  # branch: bad and all labels of the judging half, then of the merging half
     for k, ids in paths.items():
-        own = [known[i] for i in ids if i in known]
+        own = [(known[i], i in merging) for i in ids if i in known]
         if rule_of[k] is None and own:
             for n in range(len(parts[k]) + 1):
-                c = count.setdefault((k[0], *parts[k][:n]), [0, 0])
-                c[0], c[1] = c[0] + sum(own), c[1] + len(own)
-    whole = [sum(c[i] for n, c in count.items() if len(n) == 1) for i in (0, 1)]
+                c = count.setdefault((k[0], *parts[k][:n]), [0, 0, 0, 0])
+                for bad, merges in own:
+                    c[2 * merges] += bad
+                    c[2 * merges + 1] += 1
+    hosts = [n for n in count if len(n) == 1]
+    whole = [sum(count[n][i] + count[n][i + 2] for n in hosts) for i in (0, 1)]
     overall = whole[0] / whole[1] if whole[1] else None
-    share = {}
-    families = {}
-    for n in count:
-        families.setdefault(n[:-1] if len(n) > 1 else n, [] if len(n) > 1 else [n])
+    ratio = lambda a, b: a / b if b else overall
+    weight = url_templates.SMOOTHING
+    groups = {(n, None): [count[n][0], count[n][1], overall, len(hosts)] for n in hosts}
+    group_of = {n: (n, None) for n in hosts}
+    for n, c in count.items():
         if len(n) > 1:
-            families[n[:-1]].append(n)
-    for n in [n for n in count if len(n) == 1]:
-        share[n] = (count[n], overall)
-    for parent in {n[:-1] for n in count if len(n) > 1}:
-        kids = sorted((n for n in count if len(n) > 1 and n[:-1] == parent), key=lambda n: (count[n][0] / count[n][1], n[0] + "/" + "/".join(n[1:])))
-        groups = []
-        for n in kids:
-            bad, rows = count[n]
-            if groups:
-                g = groups[-1]
-                p = (g[0] + bad) / (g[1] + rows)
-                if bad / rows - g[0] / g[1] <= url_templates.UNLIKE * (p * (1 - p) * (1 / g[1] + 1 / rows)) ** 0.5:
-                    groups[-1] = [g[0] + bad, g[1] + rows, [*g[2], n]]
-                    continue
-            groups.append([bad, rows, [n]])
-        for bad, rows, members in groups:
-            for n in members:
-                share[n] = ([bad, rows], count[parent][0] / count[parent][1])
+            up = count[n[:-1]]
+            drawn = (c[2] + weight * ratio(up[2], up[3])) / (c[3] + weight)
+            group_of[n] = n[:-1], min(url_templates.BANDS - 1, math.floor(math.asin(math.sqrt(drawn)) * 2 * url_templates.BANDS / math.pi))
+            g = groups.setdefault(group_of[n], [0, 0, ratio(up[0], up[1]), url_templates.BANDS])
+            g[0], g[1] = g[0] + c[0], g[1] + c[1]
     apart = {}
-    for n, ((bad, rows), p) in share.items():
-        if abs(bad - rows * p) / max(rows * p * (1 - p), 0.25) ** 0.5 >= url_templates.DEVIATE:
-            apart[n] = (bad + url_templates.SMOOTHING * p) / (rows + url_templates.SMOOTHING)
+    for n, g in group_of.items():
+        bad, rows, p, rivals = groups[g]
+        if rows:
+            term = lambda a, b: (a * math.log(a / b) if b else math.inf) if a else 0.0
+            if rows * (term(bad / rows, p) + term(1 - bad / rows, 1 - p)) >= math.log(rivals / url_templates.CHANCE):
+                apart[n] = (bad + weight * p) / (rows + weight)
     out = []
     for k, ids in paths.items():
         if rule_of[k] is not None:
@@ -480,6 +476,10 @@ def judged_by_hand(pages, labels):
     return sorted(out)
 
 
+def merging_ids(pages):
+    return {r["page_id"] for r in pages.where(F.xxhash64("page_id") % 2 == 0).select("page_id").collect()}
+
+
 def test_urls_match_a_tree_built_by_hand(spark):
     rng = random.Random(8)
     urls = []
@@ -493,7 +493,7 @@ def test_urls_match_a_tree_built_by_hand(spark):
     labels += [(1, 0), (1, 1), (None, 0), (2, None), (3, 7)]
     pages = spark.createDataFrame(urls, "page_id long, url string").repartition(3)
     got = url_templates.judge_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
-    want = judged_by_hand(urls, labels)
+    want = judged_by_hand(urls, labels, merging_ids(pages))
     assert sorted((-1 if r["page_id"] is None else r["page_id"], r["verdict"], r["template"]) for r in got) == want
     templates = {t for _, _, t in want}
     assert "big.com/user/*/photos/*" in templates and "big.com/news/covid-19/*" in templates and {v for _, v, _ in want} == {"allow", "block"}
@@ -507,10 +507,39 @@ def test_urls_wildcards_follow_the_values_not_their_looks(spark):
 
 
 def test_like_siblings_are_merged(spark):
-    rows = [("h/", f"h/{c}", 1, bad, n) for c, bad, n in (("a", 0, 9), ("b", 1, 12), ("c", 18, 20), ("d", 35, 40), ("e", 10, 20))]
-    counted = spark.createDataFrame(rows, "parent string, node string, depth int, bad long, rows long")
-    got = {r["node"][2:]: (r["group_bad"], r["group_rows"]) for r in url_templates.merge_siblings(counted).collect()}
-    assert got == {"a": (1, 21), "b": (1, 21), "e": (10, 20), "c": (53, 60), "d": (53, 60)}
+    # node, judging bad and rows, merging bad and rows: b and c are alike in the merging half, d by its parent for want of labels
+    rows = [(1, 1, 10, 0, 30), (2, 3, 9, 29, 30), (3, 4, 4, 58, 60), (4, 1, 2, 0, 0), (5, 2, 8, 9, 30)]
+    counted = spark.createDataFrame([(7, *r, 0.3) for r in rows], "parent long, node long, bad long, rows long, merge_bad long, merge_rows long, above double")
+    got = {r["node"]: (r["group_bad"], r["group_rows"]) for r in url_templates.merge_siblings(counted).collect()}
+    assert got == {1: (1, 10), 2: (7, 13), 3: (7, 13), 4: (3, 10), 5: (3, 10)}
+
+
+def test_noise_blocks_nothing_and_planted_sections_are_found(spark):
+    pages, labels = [], []
+    for seed in range(10):
+        rng = random.Random(seed)
+        for section in range(61):
+            for k in range(80):
+                i = len(pages)
+                pages.append((i, f"http://seed{seed}.com/s{section}/{k}x{rng.randrange(10**9)}"))
+                if section == 60 and k < 24:
+                    labels.append((i, int(rng.random() < 0.05)))
+                elif k < 2:
+                    labels.append((i, int(rng.random() >= 0.3)))
+    got = url_templates.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    noise = [r["verdict"] for r in got if "/s60/" not in r["path"]]
+    planted = [r["verdict"] for r in got if "/s60/" in r["path"]]
+    assert noise.count("block") < 0.05 * len(noise) and planted.count("block") >= 0.9 * len(planted)
+
+
+def test_very_deep_urls_take_seconds(spark):
+    deep = "http://h.com/" + "/".join(f"s{k % 7}" for k in range(100_000))
+    shared = [(10 + k, "http://g.com/" + "d/" * 3000 + f"{k}/x") for k in range(12)]
+    pages = spark.createDataFrame([(1, deep), (2, deep + "/x"), *shared], "page_id long, url string")
+    began = time.perf_counter()
+    got = url_templates.judge_urls(pages, spark.createDataFrame([(1, 1), (10, 0), (11, 1)], "doc_id long, quality int")).collect()
+    assert time.perf_counter() - began < 60 and len(got) == 14
+    assert all(r["template"] == "g.com/" + "d/" * 3000 + "*/x" for r in got if r["page_id"] >= 10)
 
 
 def test_pipeline_stages_chain(spark):
