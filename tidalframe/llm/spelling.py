@@ -31,7 +31,9 @@ LIMIT = 64
 #: Keys of ranges to subdivide that are broadcast at most; more meet their words by a sort-merge join.
 BROADCAST_KEYS = 100_000
 #: Text counted at once, pairs compared at once, code points of words that are compared in one table.
-_CHUNK, _PAIRS, _TABLE_WIDTH = 16 << 20, 1 << 19, 64
+_CHUNK, _PAIRS, _TABLE_WIDTH = 2 << 20, 1 << 19, 64
+#: Words that a task counts before it sends them on.
+_HELD_WORDS = 300_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -77,31 +79,39 @@ def run_checksums(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds
 
 @lean
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of the texts of each chunk; a word occurs once per chunk."""
+    """(word, n) of a task's texts; a word may occur again once _HELD_WORDS others were seen."""
+    counts: Counter[str] = Counter()
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
     for table in chunks(batches, limit=_CHUNK):
         data, offsets = flatten(table["text"])
         starts, ends, owner = letter_runs(data, offsets)
         lower = _LOWER[data]
         ids = ["" if i is None else str(i) for i in table["doc_id"].to_pylist()]
         seeds = np.array([zlib.crc32(f"{i}:".encode()) for i in ids], np.uint32)
-        checks = run_checksums(lower, starts, ends, seeds[owner])
-        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        points = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
         length = points[ends] - points[starts]
+        long = length >= LEAST_LENGTH  # shorter runs are no words, changed or not
+        starts, ends, owner, length = starts[long], ends[long], owner[long], length[long]
+        checks = run_checksums(lower, starts, ends, seeds[owner])
         slipped = checks % SLIP == 0
-        changed: Counter[str] = Counter()
         for i in np.flatnonzero(slipped & (length > LEAST_LENGTH)).tolist():
             word = lower[starts[i] : ends[i]].tobytes().decode()
             gone = int(checks[i]) % len(word)
-            changed[word[:gone] + word[gone + 1 :]] += 1
-        whole = np.flatnonzero(~slipped & (length >= LEAST_LENGTH))
+            counts[word[:gone] + word[gone + 1 :]] += 1
+        whole = np.flatnonzero(~slipped)
         _, first, n = np.unique(word_hashes(data, starts[whole], ends[whole]), return_index=True, return_counts=True)
         raw = lower.tobytes()
-        a, b = starts[whole][first].tolist(), ends[whole][first].tolist()
-        counts = Counter(changed)
-        for x, y, k in zip(a, b, n.tolist(), strict=True):
+        for x, y, k in zip(starts[whole][first].tolist(), ends[whole][first].tolist(), n.tolist(), strict=True):
             counts[raw[x:y].decode()] += k
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        if len(counts) > _HELD_WORDS:
+            yield sent()
+            counts.clear()
+    if counts:
+        yield sent()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
