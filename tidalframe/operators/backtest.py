@@ -6,13 +6,15 @@ rows between plan boundaries gives its matrix, and a model's is the sum of its b
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import johnson_su_ppf
@@ -208,28 +210,32 @@ class CpcvResult:
     summary: DataFrame
 
 
-def cpcv_backtest(rows: DataFrame, n: int, factory: Callable[[pd.DataFrame, np.ndarray], Callable[[pd.DataFrame], np.ndarray]], features: list[str], groups: int = 6, k: int = 2, pct_embargo: float = 0.01, log_return: bool = True) -> CpcvResult:
+def cpcv_backtest(rows: DataFrame, n: int, factory: SumsModel | Callable[[pd.DataFrame, np.ndarray], Callable[[pd.DataFrame], np.ndarray]], features: list[str], groups: int = 6, k: int = 2, pct_embargo: float = 0.01, log_return: bool = True) -> CpcvResult:
     """Returns of trading the sign of the forecast along every path of combinatorial purged cross-validation.
 
-    factory(features, y) gives a predictor; one task fits one combination.  A combination without
-    training rows leaves its cells of the paths out.
+    A factory that is a SumsModel is fitted from sums: rows are read once for the products of every cell between purge bounds, each
+    combination adds its cells, and one more pass scores.  Any other factory(features, y) gives a predictor; one task
+    then fits one combination on all its training rows.  A combination without training rows leaves its cells of the paths out.
     """
-    splits = cpcv_splits(rows, n, groups, k, pct_embargo)
-    joined = splits.join(rows.select("row_pos", "y", *features), "row_pos")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        train, test = f[f.role == "train"].dropna(), f[f.role == "test"]
-        if not len(train):
-            return pd.DataFrame({"fold": [], "row_pos": [], "forecast": []})
-        model = factory(train[features], train["y"].to_numpy(float))
-        return pd.DataFrame({"fold": test["fold"], "row_pos": test["row_pos"], "forecast": model(test[features])})
-
-    forecasts = joined.groupBy("fold").applyInPandas(run, "fold int, row_pos long, forecast double")
     spark = rows.sparkSession
     bounds = spark.createDataFrame([(g, a, b) for g, (a, b) in enumerate(fold_bounds(n, groups))], "grp int, first long, last long")
-    cells = cpcv_paths(spark, groups, k).join(bounds, "grp")
-    base = rows.select("row_pos", "date", "anchor", "y_level")
-    on_path = forecasts.join(F.broadcast(cells), "fold").where(F.col("row_pos").between(F.col("first"), F.col("last"))).join(base, "row_pos")
+    if isinstance(factory, SumsModel):
+        on_path = _cpcv_from_sums(rows, n, factory, features, groups, k, pct_embargo)
+    else:
+        splits = cpcv_splits(rows, n, groups, k, pct_embargo)
+        joined = splits.join(rows.select("row_pos", "y", *features), "row_pos")
+
+        def run(f: pd.DataFrame) -> pd.DataFrame:
+            train, test = f[f.role == "train"].dropna(), f[f.role == "test"]
+            if not len(train):
+                return pd.DataFrame({"fold": [], "row_pos": [], "forecast": []})
+            model = factory(train[features], train["y"].to_numpy(float))
+            return pd.DataFrame({"fold": test["fold"], "row_pos": test["row_pos"], "forecast": model(test[features])})
+
+        forecasts = joined.groupBy("fold").applyInPandas(run, "fold int, row_pos long, forecast double")
+        cells = cpcv_paths(spark, groups, k).join(bounds, "grp")
+        base = rows.select("row_pos", "date", "anchor", "y_level")
+        on_path = forecasts.join(F.broadcast(cells), "fold").where(F.col("row_pos").between(F.col("first"), F.col("last"))).join(base, "row_pos")
     change = F.ln(F.greatest("y_level", F.lit(1e-12)) / F.greatest("anchor", F.lit(1e-12)))
     side = F.signum(F.col("forecast")) if log_return else F.signum(F.col("forecast") - F.col("anchor"))
     returns = on_path.select("path", "date", (side * change).alias("r"))
@@ -245,17 +251,106 @@ def cpcv_backtest(rows: DataFrame, n: int, factory: Callable[[pd.DataFrame, np.n
     return CpcvResult(returns, metrics, summary)
 
 
-def ridge_factory(lam: float = 1.0) -> Callable[[pd.DataFrame, np.ndarray], Callable[[pd.DataFrame], np.ndarray]]:
+@dataclass(frozen=True)
+class SumsModel:
+    """A plug-in model linear in columns made from a row: design(frame of features) has a first column of ones; solve(g, b, yy, n) gives the
+    coefficients from sums of products g of the columns, b of columns and y, yy of y's squares, and the rows n."""
+
+    design: Callable[[pd.DataFrame], np.ndarray]
+    solve: Callable[[np.ndarray, np.ndarray, float, float], np.ndarray]
+
+    def __call__(self, x: pd.DataFrame, y: np.ndarray) -> Callable[[pd.DataFrame], np.ndarray]:
+        d = self.design(x)
+        beta = self.solve(d.T @ d, d.T @ y, float(y @ y), float(len(y)))
+        return lambda f: self.design(f.fillna(0.0)) @ beta
+
+
+def _with_ones(f: pd.DataFrame) -> np.ndarray:
+    return np.column_stack([np.ones(len(f)), f.to_numpy(float)])
+
+
+def ridge_factory(lam: float = 1.0) -> SumsModel:
     """A ridge regression on standardised features as plug-in model."""
 
-    def make(x: pd.DataFrame, y: np.ndarray) -> Callable[[pd.DataFrame], np.ndarray]:
-        a = x.to_numpy(float)
-        mean, sd = a.mean(0), np.where(a.std(0) > 0, a.std(0), 1.0)
-        z = (a - mean) / sd
-        beta = np.linalg.solve(z.T @ z + lam * np.eye(z.shape[1]), z.T @ (y - y.mean()))
-        return lambda f: (np.nan_to_num(f.to_numpy(float), nan=0.0) - mean) / sd @ beta + y.mean()
+    def solve(g: np.ndarray, b: np.ndarray, yy: float, n: float) -> np.ndarray:
+        mean, top = g[0, 1:] / n, b[0] / n
+        products = g[1:, 1:] - n * np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(products) / n, 0.0))
+        sd = np.where(sd > 1e-12 * np.maximum(np.abs(mean), 1e-300), sd, 1.0)
+        slope = np.linalg.solve(products / np.outer(sd, sd) + lam * np.eye(len(sd)), (b[1:] - mean * b[0]) / sd) / sd
+        return np.concatenate([[top - float(mean @ slope)], slope])
+
+    return SumsModel(_with_ones, solve)
+
+
+def gam_factory(terms: list[Term], lams: list[float] | None = None) -> SumsModel:
+    """An additive model of terms as plug-in model."""
+    return SumsModel(lambda f: design_row(terms, f), lambda g, b, yy, n: fit(Gram(terms, g, b, yy, n), lams).beta)
+
+
+def _cell_sums(rows: DataFrame, model: SumsModel, features: list[str], cell: Column) -> dict[int, tuple]:
+    """g, b, yy and n of the complete rows of each cell, in one pass."""
 
-    return make
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for f in frames:
+            for key, part in f.dropna().groupby("cell"):
+                x, y = model.design(part[features]), part["y"].to_numpy(float)
+                new = [x.T @ x, x.T @ y, float(y @ y), float(len(y))]
+                sums[int(key)] = [p + q for p, q in zip(sums[int(key)], new, strict=True)] if int(key) in sums else new
+        for key, (g, b, yy, n) in sums.items():
+            yield pd.DataFrame({"cell": [np.int32(key)], "part": [np.int32(TaskContext.get().partitionId())], "g": [g.tobytes()], "b": [b.tobytes()], "yy": [yy], "n": [n]})
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        g, b = (sum(np.frombuffer(x) for x in f[c]).tobytes() for c in ("g", "b"))
+        return pd.DataFrame({"cell": [f["cell"].iloc[0]], "part": [np.int32(f["part"].iloc[0] // 64)], "g": [g], "b": [b], "yy": [f["yy"].sum()], "n": [f["n"].sum()]})
+
+    shape = "cell int, part int, g binary, b binary, yy double, n double"
+    sent = rows.select("y", *features, cell.alias("cell")).mapInPandas(run, shape)
+    once = sent.groupBy("cell", F.floor(F.col("part") / 64)).applyInPandas(add, shape)  # 64 partitions' rows a task, then one row a task
+    out = {}
+    for r in once.groupBy("cell").applyInPandas(add, shape).collect():  # (groups + 1) squared rows at most
+        b = np.frombuffer(r["b"])
+        out[r["cell"]] = (np.frombuffer(r["g"]).reshape(len(b), len(b)), b, r["yy"], r["n"])
+    return out
+
+
+def _cpcv_from_sums(rows: DataFrame, n: int, model: SumsModel, features: list[str], groups: int, k: int, pct_embargo: float) -> DataFrame:
+    """(path, date, anchor, y_level, forecast): see cpcv_backtest."""
+    spans, combos, embargo = fold_bounds(n, groups), cpcv_combos(groups, k), int(n * pct_embargo)
+    starts = {r["row_pos"]: r["date"] for r in rows.where(F.col("row_pos").isin([a for a, _ in spans])).select("row_pos", "date").collect()}  # groups rows
+    opens = [F.lit(starts[a]) for a, _ in spans]
+    # a row is clear of tests that start with group f if fewer than f + 1 groups open by its end, and of those that end with group l if more than l embargoes are over
+    before = functools.reduce(lambda x, y: x + y, [F.when(F.col("t1") >= d, 1).otherwise(0) for d in opens])
+    after = functools.reduce(lambda x, y: x + y, [F.when(F.col("row_pos") >= b + 1 + embargo, 1).otherwise(0) for _, b in spans])
+    sums = _cell_sums(rows, model, features, (before * (groups + 1) + after).cast("int"))
+    fits: dict[int, np.ndarray] = {}
+    for fold, combo in enumerate(combos):
+        own = [v for c, v in sums.items() if c // (groups + 1) <= min(combo) or c % (groups + 1) > max(combo)]
+        if own:
+            fits[fold] = model.solve(*(sum(x) for x in zip(*own, strict=True)))
+    seen, places = [0] * groups, {g: [] for g in range(groups)}
+    for fold, combo in enumerate(combos):
+        for g in combo:
+            if fold in fits:
+                places[g].append((seen[g], fold))
+            seen[g] += 1
+    shared = rows.sparkSession.sparkContext.broadcast((fits, places))
+    last_of = np.array([b for _, b in spans])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        betas, listed = shared.value
+        for f in frames:
+            group = np.searchsorted(last_of, f["row_pos"].to_numpy())
+            x = model.design(f[features].fillna(0.0))
+            for g in np.unique(group):
+                own = group == g
+                for path, fold in listed[int(g)]:
+                    yield f.loc[own, ["date", "anchor", "y_level"]].assign(path=np.int32(path), forecast=x[own] @ betas[fold])
+
+    kinds = dict(rows.dtypes)
+    shape = f"date {kinds['date']}, anchor {kinds['anchor']}, y_level {kinds['y_level']}, path int, forecast double"
+    return rows.select("row_pos", "date", "anchor", "y_level", *features).mapInPandas(score, shape)
 
 
 def next_day_forecast(last: DataFrame, found: Fit, q: float = 1.96) -> DataFrame:

@@ -8,32 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Over, ratio
+from .moments import column_moments, correlation_matrix, pair_table
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) of every pair of columns, over the rows that have both; null for a constant.  One aggregate."""
-    out = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-            rho = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-            out += [F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), rho.alias("rho")) for p, q in dict.fromkeys([(a, b), (b, a)])]
-    return df.agg(F.array(*out).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    """(a, b, rho) of every pair of columns, over the rows that have both; null for a constant.  One pass, whatever the number of columns."""
+    return pair_table(column_moments(df, columns), columns).select("a", "b", "rho")
 
 
 def collinearity_prune(df: DataFrame, columns: list[str], order: str, threshold: float = 0.97, last: int | None = None) -> list[str]:
     """Columns kept from left to right: not constant, and not correlated beyond the threshold with one kept before.
 
-    Correlations are of all rows, or of the last ones by `order` (Pearson), from one aggregate.
+    Correlations are of all rows, or of the last ones by `order` (Pearson), from one pass.
     """
     recent = df.orderBy(F.col(order).desc()).limit(last) if last else df
-    rho = {(r["a"], r["b"]): r["rho"] for r in correlations(recent, columns).collect()}
-    kept: list[str] = []
-    for c in columns:
-        if rho[c, c] is not None and all(rho[c, k] is None or abs(rho[c, k]) <= threshold for k in kept):
-            kept.append(c)
-    return kept
+    rho = np.abs(correlation_matrix(recent, columns))
+    kept: list[int] = []
+    for i in range(len(columns)):
+        if not np.isnan(rho[i, i]) and not (rho[i, kept] > threshold).any():
+            kept.append(i)
+    return [columns[i] for i in kept]
 
 
 def histogram(df: DataFrame, keys: list[str], c: str, bins: int) -> DataFrame:

@@ -158,16 +158,17 @@ def seasonal_stock(df: DataFrame, keys: list[str], date: str, c: str, years: int
     return add(out, new).select(*df.columns, *new)
 
 
-def smoothed(df: DataFrame, keys: list[str], order: str, close: str, spans: list[int]) -> DataFrame:
-    return ordered_scan(df, keys, order, [Scan(f"{close}_ema_{n}", ewm(close, n)) for n in spans])
+def smoothed(df: DataFrame, keys: list[str], order: str, close: str, spans: list[int], block: str | None = None) -> DataFrame:
+    """Exponential means; a block (unit of time) cuts keys too long for one task, here and in rsi and atr."""
+    return ordered_scan(df, keys, order, [Scan(f"{close}_ema_{n}", ewm(close, n)) for n in spans], block)
 
 
-def rsi(df: DataFrame, keys: list[str], order: str, close: str, size: int = 14) -> DataFrame:
+def rsi(df: DataFrame, keys: list[str], order: str, close: str, size: int = 14, block: str | None = None) -> DataFrame:
     """Relative strength on exponential means of gains and losses of span `size`; null while there is no loss."""
     w = Over(keys, order)
     change = w.change(close)
     base = add(df, {"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
-    scanned = ordered_scan(base, keys, order, [Scan("_up", ewm("_gain", size)), Scan("_down", ewm("_loss", size))])
+    scanned = ordered_scan(base, keys, order, [Scan("_up", ewm("_gain", size)), Scan("_down", ewm("_loss", size))], block)
     return add(scanned, {f"{close}_rsi_{size}": 100 - ratio(F.lit(100.0), 1 + ratio("_up", "_down"))}).drop("_gain", "_loss", "_up", "_down")
 
 
@@ -183,9 +184,9 @@ def true_range(w: Over, high: str, low: str, close: str) -> Column:
     return F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - before), F.abs(F.col(low) - before))
 
 
-def atr(df: DataFrame, keys: list[str], order: str, high: str, low: str, close: str, size: int = 14) -> DataFrame:
+def atr(df: DataFrame, keys: list[str], order: str, high: str, low: str, close: str, size: int = 14, block: str | None = None) -> DataFrame:
     base = add(df, {"_tr": true_range(Over(keys, order), high, low, close)})
-    out = ordered_scan(base, keys, order, [Scan(f"{close}_atr_{size}", ewm("_tr", size))])
+    out = ordered_scan(base, keys, order, [Scan(f"{close}_atr_{size}", ewm("_tr", size))], block)
     return add(out, {f"{close}_atr_pct_{size}": ratio(f"{close}_atr_{size}", close)}).drop("_tr")
 
 

@@ -6,12 +6,13 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Over, col, johnson_su_cdf, johnson_su_logpdf, johnson_su_ppf, norm_cdf, norm_ppf, ratio
 from ..functions.special import chi2_sf, kolmogorov_sf, nelder_mead, t_two_sided
-from .splits import stationary_bootstrap
+from .splits import bootstrap_blocks, stationary_bootstrap
 
 LEVELS = (0.50, 0.80, 0.90, 0.95)
 
@@ -249,12 +250,24 @@ def berkowitz_moments(df: DataFrame, order: str, z: str) -> tuple[float, float]:
     return float(lr), float(chi2_sf(lr, 3))
 
 
+#: Buckets of values that ranks are counted in.
+RANK_BUCKETS = 1024
+
+
 def ks_uniform(df: DataFrame, p: str) -> DataFrame:
-    """(n, d): the Kolmogorov-Smirnov distance of a column from the uniform distribution."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(p))
-    rows = df.where(F.col(p).isNotNull()).select(F.col(p).alias("p"), n.cast("double").alias("n"), k.alias("k"))
-    return rows.agg(F.max("n").cast("long").alias("n"), F.max(F.greatest(F.col("k") / F.col("n") - F.col("p"), F.col("p") - (F.col("k") - 1) / F.col("n"))).alias("d"))
+    """(n, d): the Kolmogorov-Smirnov distance of a column from the uniform distribution.
+
+    Ranks take two passes: counts per bucket of the unit interval, then ranks within buckets; equal values are one row first.
+    """
+    value = F.col(p).cast("double")
+    tied = df.where(value.isNotNull()).groupBy(value.alias("p")).agg(F.count("*").alias("c"))
+    tied = tied.withColumn("bucket", F.least(F.greatest(F.floor(F.col("p") * RANK_BUCKETS), F.lit(0)), F.lit(RANK_BUCKETS - 1)).cast("int"))
+    sizes = tied.groupBy("bucket").agg(F.sum("c").alias("size"))  # RANK_BUCKETS rows at most
+    before = sizes.select(F.col("bucket").alias("of"), F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("bucket").orderBy("p"))
+    ranked = tied.withColumn("inside", inside).join(F.broadcast(before), F.col("bucket") == F.col("of"))
+    upto = F.col("before") + F.col("inside")
+    return ranked.agg(F.max("n").alias("n"), F.max(F.greatest(upto / F.col("n") - F.col("p"), F.col("p") - (upto - F.col("c")) / F.col("n"))).alias("d"))
 
 
 def ks_p_value(d: float, n: int) -> float:
@@ -262,14 +275,62 @@ def ks_p_value(d: float, n: int) -> float:
     return kolmogorov_sf((root + 0.12 + 0.11 / root) * d)
 
 
-def superior_predictive_ability(base: np.ndarray, models: np.ndarray, reps: int = 1000, seed: int = 0) -> dict[str, float]:
-    """p values (lower, consistent, upper) that no model of losses (rows, models) beats the base losses."""
-    d = base[:, None] - models
-    n = len(d)
-    rng = np.random.default_rng(seed)
-    block = max(1.0, n ** (1 / 3))
-    mean = d.mean(0)
-    draws = np.stack([d[stationary_bootstrap(n, block, rng)].mean(0) for _ in range(reps)])
+def bootstrap_means(df: DataFrame, position: str, columns: list[str], n: int, reps: int, seed: int = 0, rows_per_block: int = 1 << 16) -> DataFrame:
+    """(rep, columns): means of `reps` stationary bootstrap samples of rows numbered from 0 by position, n in all.
+
+    A drawn block of rows is a difference of two prefix sums, so a sample is a few signed places for each block instead of n rows: places are drawn by
+    replicate on executors, meet the prefix sums by position and are added up.  Sums are of differences from the columns' means.
+    """
+    block = F.floor(F.col(position) / rows_per_block)
+    mean = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    rows = df.select(F.col(position).cast("long").alias("at"), block.alias("block"), *[(F.col(c) - F.lit(mean[c])).alias(c) for c in columns])
+    sizes = rows.groupBy("block").agg(*[F.sum(c).alias(f"all_{c}") for c in columns])  # a row for rows_per_block
+    past = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("block").alias("of"), *[F.coalesce(F.sum(f"all_{c}").over(past), F.lit(0.0)).alias(f"all_{c}") for c in columns])
+    w = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.select("block", F.col("at") + 1, *[F.sum(c).over(w).alias(c) for c in columns]).toDF("block", "at", *columns)
+    upto = upto.join(sizes, F.col("block") == F.col("of")).select("at", *[(F.col(c) + F.col(f"all_{c}")).alias(c) for c in columns])  # none before row 0
+
+    def draw(frames):
+        for f in frames:
+            for rep in f["id"].tolist():
+                start, length = bootstrap_blocks(n, seed, rep)
+                end = start + length
+                wraps = end > n
+                places = np.concatenate([start, np.where(wraps, end - n, end), np.full(int(wraps.sum()), n)])
+                signs = np.concatenate([np.full(len(start), -1), np.ones(len(start), int), np.ones(int(wraps.sum()), int)])
+                kept, of = np.unique(places, return_inverse=True)
+                total = np.bincount(of, weights=signs)
+                used = (kept > 0) & (total != 0)
+                yield pd.DataFrame({"rep": np.int32(rep), "place": kept[used], "sign": total[used]})
+
+    spark = df.sparkSession
+    tasks = max(1, min(reps, spark.sparkContext.defaultParallelism * 2))
+    places = spark.range(0, reps, 1, tasks).mapInPandas(draw, "rep int, place long, sign double")
+    sums = places.join(upto, F.col("place") == F.col("at"), "left").groupBy("rep").agg(*[F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0.0)).alias(c) for c in columns])
+    whole = spark.range(0, reps, 1, tasks).select(F.col("id").cast("int").alias("rep")).join(sums, "rep", "left")
+    return whole.select("rep", *[(F.coalesce(F.col(c), F.lit(0.0)) / n + F.lit(mean[c])).alias(c) for c in columns])
+
+
+def bootstrap_table(df: DataFrame, position: str, columns: list[str], reps: int = 1000, seed: int = 0) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, means of the samples): what the tests need on the driver, reps x columns numbers whatever the rows."""
+    whole = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    n = whole["n"]
+    draws = bootstrap_means(df, position, columns, n, reps, seed).orderBy("rep").toPandas()[columns].to_numpy(float)
+    return n, np.array([whole[f"m{i}"] for i in range(len(columns))], float), draws
+
+
+def _sampled(x: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """Means of the same samples of an array."""
+    n = len(x)
+    out = np.empty((reps, x.shape[1]))
+    for rep in range(reps):
+        out[rep] = x[stationary_bootstrap(n, max(1.0, n ** (1 / 3)), seed, rep)].mean(0)
+    return out
+
+
+def spa_p_values(n: int, mean: np.ndarray, draws: np.ndarray) -> dict[str, float]:
+    """p values (lower, consistent, upper) that no model gains on the base, from the mean gains and those of bootstrap samples."""
     omega = np.maximum(np.sqrt(n) * draws.std(0), 1e-12)
     stat = max(0.0, float((np.sqrt(n) * mean / omega).max()))
     out = {}
@@ -280,12 +341,15 @@ def superior_predictive_ability(base: np.ndarray, models: np.ndarray, reps: int
     return out
 
 
-def model_confidence_set(losses: np.ndarray, size: float = 0.1, reps: int = 1000, seed: int = 0) -> tuple[list[int], dict[int, float]]:
-    """Models that stay in the confidence set under the range statistic, and every model's p."""
-    n = len(losses)
-    rng = np.random.default_rng(seed)
-    draws = np.stack([losses[stationary_bootstrap(n, max(1.0, n ** (1 / 3)), rng)].mean(0) for _ in range(reps)])
-    mean, left, p_of, so_far = losses.mean(0), list(range(losses.shape[1])), {}, 0.0
+def superior_predictive_ability(base: np.ndarray, models: np.ndarray, reps: int = 1000, seed: int = 0) -> dict[str, float]:
+    """p values (lower, consistent, upper) that no model of losses (rows, models) beats the base losses."""
+    gain = base[:, None] - models
+    return spa_p_values(len(gain), gain.mean(0), _sampled(gain, reps, seed))
+
+
+def confidence_set(mean: np.ndarray, draws: np.ndarray, size: float = 0.1) -> tuple[list[int], dict[int, float]]:
+    """Models that stay in the confidence set under the range statistic, and every model's p, from mean losses and those of bootstrap samples."""
+    left, p_of, so_far = list(range(len(mean))), {}, 0.0
     while len(left) > 1:
         gap = mean[left][:, None] - mean[left][None, :]
         boot = draws[:, left][:, :, None] - draws[:, left][:, None, :] - gap[None]
@@ -300,6 +364,10 @@ def model_confidence_set(losses: np.ndarray, size: float = 0.1, reps: int = 1000
     return sorted(i for i, p in p_of.items() if p >= size), p_of
 
 
+def model_confidence_set(losses: np.ndarray, size: float = 0.1, reps: int = 1000, seed: int = 0) -> tuple[list[int], dict[int, float]]:
+    """confidence_set of an array of losses."""
+    return confidence_set(losses.mean(0), _sampled(losses, reps, seed), size)
+
 
 def probabilistic_scores(df: DataFrame, keys: list[str], y: str, mu: str, sigma: str, anchor: str, nu: Column, tau: Column, loc: Column, scale: Column, points: int = 99) -> DataFrame:
     """One row per key with crps, log score, pinball losses, coverages and direction of a Johnson SU forecast: one aggregate."""

@@ -122,14 +122,30 @@ def walk_forward_plan(n: int, initial_frac: float = 0.6, refit: int = 21, test:
     return [(i, s, min(s + test, n)) for i, s in enumerate(starts)]
 
 
-def stationary_bootstrap(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
-    """n row numbers in blocks of geometric length that wrap at the end."""
-    fresh = rng.random(n) < 1.0 / mean_block
-    fresh[0] = True
-    start = rng.integers(0, n, n)
-    block = np.flatnonzero(fresh)
-    which = np.cumsum(fresh) - 1
-    return (start[block][which] + np.arange(n) - block[which]) % n
+def bootstrap_blocks(n: int, seed: int, rep: int, mean_block: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the blocks of one stationary bootstrap sample of n rows: geometric lengths of that mean, n ** (1/3) if not given, n together.
+
+    Blocks wrap at the end.  Draws depend on (seed, rep) alone, wherever they are made.
+    """
+    rng = np.random.default_rng([seed, rep])
+    fresh = min(1.0, 1.0 / max(1.0, n ** (1 / 3) if mean_block is None else mean_block))
+    length, total = [], 0
+    while total < n:
+        more = rng.geometric(fresh, max(16, int(1.1 * (n - total) * fresh) + 1))
+        length.append(more)
+        total += int(more.sum())
+    length = np.concatenate(length)
+    upto = np.cumsum(length)
+    last = int(np.searchsorted(upto, n))
+    length = length[: last + 1].copy()
+    length[last] -= upto[last] - n
+    return rng.integers(0, n, len(length)), np.minimum(length, n)
+
+
+def stationary_bootstrap(n: int, mean_block: float, seed: int = 0, rep: int = 0) -> np.ndarray:
+    """n row numbers of one sample, block by block."""
+    start, length = bootstrap_blocks(n, seed, rep, mean_block)
+    return (np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(n)) % n
 
 
 def paths_count(groups: int, k: int) -> int:

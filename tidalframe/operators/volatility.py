@@ -73,12 +73,12 @@ def next_sigma(r: np.ndarray, decay: float = 0.94, seed_rows: int = 20) -> float
     return float(np.sqrt(v) / 100)
 
 
-def conditional_sigma(df: DataFrame, keys: list[str], order: str, r: str, source: str = "ewma") -> DataFrame:
-    """df with sigma_ewma or sigma_garch before each row."""
+def conditional_sigma(df: DataFrame, keys: list[str], order: str, r: str, source: str = "ewma", block: str | None = None) -> DataFrame:
+    """df with sigma_ewma or sigma_garch before each row; a block (unit of time) cuts keys too long for one task, for ewma."""
     scans = {"ewma": Scan("sigma_ewma", ewma_sigma(r)), "garch": Scan("sigma_garch", garch_scan(r))}
     if source not in scans:
         raise ValueError(f"unknown source {source!r}")
-    return ordered_scan(df, keys, order, [scans[source]])
+    return ordered_scan(df, keys, order, [scans[source]], block)
 
 
 def blended(a: str, b: str) -> Column:

@@ -497,21 +497,24 @@ def partial_dependence(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(gam.partial_dependence(gam.fit(_gram(spark, d)[1]), "x_fast"), "x double, effect double, low double, high double")
 
 
-def _losses(spark: SparkSession, d: str) -> np.ndarray:
-    f = forecasts(spark, d).where(ALL).orderBy("date")  # one daily series: the bootstraps need it whole on the driver
-    return f.select(*[F.abs(F.col("y") - F.col(c)).alias(c) for c in ("anchor", "fast", "slow")]).toPandas().to_numpy(float)
+def _losses(spark: SparkSession, d: str) -> DataFrame:
+    """(at, anchor, fast, slow): absolute errors of the whole series, rows numbered in order of date."""
+    f = forecasts(spark, d).where(ALL)
+    return f.select((F.row_number().over(Window.partitionBy("key").orderBy("date")) - 1).alias("at"), *[F.abs(F.col("y") - F.col(c)).alias(c) for c in ("anchor", "fast", "slow")])
 
 
 @query(["model", "kept"], {"p": 3})
 def mcs(spark: SparkSession, d: str) -> DataFrame:
-    kept, p = scores.model_confidence_set(_losses(spark, d), reps=400)
-    return spark.createDataFrame([(name, i in kept, float(p[i])) for i, name in enumerate(("anchor", "fast", "slow"))], "model string, kept boolean, p double")
+    names = ["anchor", "fast", "slow"]
+    _, mean, draws = scores.bootstrap_table(_losses(spark, d), "at", names)
+    kept, p = scores.confidence_set(mean, draws)
+    return spark.createDataFrame([(name, i in kept, float(p[i])) for i, name in enumerate(names)], "model string, kept boolean, p double")
 
 
 @query(["kind"], {"p": 3})
 def spa(spark: SparkSession, d: str) -> DataFrame:
-    x = _losses(spark, d)
-    return spark.createDataFrame(list(scores.superior_predictive_ability(x[:, 0], x[:, 1:], 400).items()), "kind string, p double")
+    gains = _losses(spark, d).select("at", *[(F.col("anchor") - F.col(c)).alias(c) for c in ("fast", "slow")])
+    return spark.createDataFrame(list(scores.spa_p_values(*scores.bootstrap_table(gains, "at", ["fast", "slow"])).items()), "kind string, p double")
 
 
 @query([], {"lr": 3, "p": 6})

@@ -90,15 +90,8 @@ def csv_index(spark: SparkSession, path: str, wanted: list[str], out: str, conta
 
 
 def with_cache(load: Callable[[], DataFrame], spark: SparkSession, cache: str, required: bool = True) -> DataFrame | None:
-    """What load gives, written to the cache; if it fails the cache; without one, required raises and optional gives None."""
-    try:
-        load().write.mode("overwrite").parquet(cache)
-    except Exception as error:  # noqa: BLE001
-        log.warning("the cache stands in: %s", error)
-    try:
-        return spark.read.parquet(cache)
-    except Exception:
-        if required:
-            raise
-        log.warning("%s is missing", cache)
-        return None
+    """What load gives, published as the cache's new version; if it fails the last version; without one, required raises and optional gives None."""
+    from .acquire import Source, acquire
+
+    folder, name = cache.rstrip("/").rsplit("/", 1)
+    return acquire(spark, Source(name, load, required), folder)[0]
