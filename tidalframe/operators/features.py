@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,20 @@ def add(df: DataFrame, *groups: Columns) -> DataFrame:
     return df.select(*[F.col(c) for c in df.columns if c not in merged], *[c.alias(n) for n, c in merged.items()])
 
 
+class Steps(NamedTuple):
+    """Columns of a builder that needs two projections: those of the first, those over them, and which of the first go."""
+
+    first: Columns
+    then: Columns
+    scratch: tuple[str, ...] = ()
+
+
+def add_steps(df: DataFrame, *steps: Steps) -> DataFrame:
+    """df with the columns of all steps, in two projections whatever their number."""
+    out = add(add(df, *[s.first for s in steps]), *[s.then for s in steps])
+    return out.drop(*[c for s in steps for c in s.scratch])
+
+
 def lags(w: Over, columns: list[str], ks: list[int]) -> Columns:
     return {f"{c}_lag_{k}": w.lag(c, k) for c in columns for k in ks}
 
@@ -62,21 +77,27 @@ def williams_r(w: Over, close: str, high: str, low: str, size: int = 14) -> Colu
     return {f"{close}_williams_r_{size}": ratio(top - F.col(close), top - bottom) * -100}
 
 
-def stochastic(df: DataFrame, w: Over, close: str, high: str, low: str, k: int = 14, d: int = 3) -> DataFrame:
+def stochastic_steps(w: Over, close: str, high: str, low: str, k: int = 14, d: int = 3) -> Steps:
     """%K and its mean %D; both carry k in their name."""
     top, bottom = w.rolling(F.max, high, k), w.rolling(F.min, low, k)
-    fast = add(df, {f"{close}_stoch_k_{k}": ratio(F.col(close) - bottom, top - bottom) * 100})
-    return add(fast, {f"{close}_stoch_d_{k}": w.mean(f"{close}_stoch_k_{k}", d)})
+    return Steps({f"{close}_stoch_k_{k}": ratio(F.col(close) - bottom, top - bottom) * 100}, {f"{close}_stoch_d_{k}": w.mean(f"{close}_stoch_k_{k}", d)})
+
+
+def stochastic(df: DataFrame, w: Over, *args, **kwargs) -> DataFrame:
+    return add_steps(df, stochastic_steps(w, *args, **kwargs))
 
 
-def money_flow(df: DataFrame, w: Over, close: str, high: str, low: str, volume: str, size: int = 20) -> DataFrame:
+def money_flow_steps(w: Over, close: str, high: str, low: str, volume: str, size: int = 20) -> Steps:
     """Chaikin money flow; a day without range has no flow, which empties the windows that hold it."""
     part = ratio((F.col(close) - F.col(low)) - (F.col(high) - F.col(close)), F.col(high) - F.col(low)) * F.col(volume)
-    flow = add(df, {"_flow": part})
-    return add(flow, {f"{close}_cmf_{size}": ratio(w.rolling(F.sum, "_flow", size), w.rolling(F.sum, volume, size))}).drop("_flow")
+    return Steps({"_flow": part}, {f"{close}_cmf_{size}": ratio(w.rolling(F.sum, "_flow", size), w.rolling(F.sum, volume, size))}, ("_flow",))
 
 
-def range_volatility(df: DataFrame, w: Over, o: str, h: str, l: str, c: str, sizes: list[int] = [5, 20, 60]) -> DataFrame:  # noqa: E741
+def money_flow(df: DataFrame, w: Over, *args, **kwargs) -> DataFrame:
+    return add_steps(df, money_flow_steps(w, *args, **kwargs))
+
+
+def range_volatility_steps(w: Over, o: str, h: str, l: str, c: str, sizes: list[int] = [5, 20, 60]) -> Steps:  # noqa: E741
     """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang volatility."""
     ln = lambda a, b: safe_ln(ratio(a, b))
     parts = {
@@ -86,7 +107,7 @@ def range_volatility(df: DataFrame, w: Over, o: str, h: str, l: str, c: str, siz
         "_night": ln(F.col(o), w.lag(c)),
         "_day": ln(c, o),
     }
-    base, out = add(df, parts), {}
+    out: Columns = {}
     root = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))
     for n in sizes:
         k = 0.34 / (1.34 + (n + 1) / (n - 1)) if n > 1 else 0.34
@@ -94,27 +115,50 @@ def range_volatility(df: DataFrame, w: Over, o: str, h: str, l: str, c: str, siz
         yang = var("_night") + k * var("_day") + (1 - k) * w.mean("_rs", n)
         for name, v in (("parkinson", w.mean("_park", n)), ("garman_klass", w.mean("_gk", n)), ("rogers_satchell", w.mean("_rs", n)), ("yang_zhang", yang)):
             out[f"{c}_{name}_{n}"] = F.when(v.isNotNull(), root(v))
-    return add(base, out).drop(*parts)
+    return Steps(parts, out, tuple(parts))
 
 
-def spread(df: DataFrame, w: Over, a: str, b: str, prefix: str, size: int = 14) -> DataFrame:
+def range_volatility(df: DataFrame, w: Over, *args, **kwargs) -> DataFrame:
+    return add_steps(df, range_volatility_steps(w, *args, **kwargs))
+
+
+def spread_steps(w: Over, a: str, b: str, prefix: str, size: int = 14) -> Steps:
     """b - a, its share of a, b / a, and the spread's rolling mean and deviation."""
-    base = add(df, {f"{prefix}_spread": F.col(b) - F.col(a), f"{prefix}_spread_pct": ratio(F.col(b) - F.col(a), a), f"{prefix}_ratio": ratio(b, a)})
-    return add(base, {f"{prefix}_spread_sma_{size}": w.mean(f"{prefix}_spread", size), f"{prefix}_spread_std_{size}": w.std(f"{prefix}_spread", size)})
+    name = f"{prefix}_spread"
+    base = {name: F.col(b) - F.col(a), f"{name}_pct": ratio(F.col(b) - F.col(a), a), f"{prefix}_ratio": ratio(b, a)}
+    return Steps(base, {f"{name}_sma_{size}": w.mean(name, size), f"{name}_std_{size}": w.std(name, size)})
+
 
+def spread(df: DataFrame, w: Over, *args, **kwargs) -> DataFrame:
+    return add_steps(df, spread_steps(w, *args, **kwargs))
 
-def crack_spreads(df: DataFrame, w: Over, crude: str, gasoline: str, heating: str, gallons: float = 42.0, size: int = 14) -> DataFrame:
-    gas, oil = F.col(gasoline) * gallons, F.col(heating) * gallons
-    base = add(df, {"crack_gasoline": gas - F.col(crude), "crack_heating_oil": oil - F.col(crude), "crack_3_2_1": (gas * 2 + oil) / 3 - F.col(crude)})
-    return add(base, {f"{c}_sma_{size}": w.mean(c, size) for c in ("crack_gasoline", "crack_heating_oil", "crack_3_2_1")})
 
+def crack_steps(w: Over, crude: str, gasoline: str | None, heating: str | None, gallons: float = 42.0, size: int = 14) -> Steps:
+    """Refining margins against one or both products."""
+    base: Columns = {}
+    if gasoline:
+        base["crack_gasoline"] = F.col(gasoline) * gallons - F.col(crude)
+    if heating:
+        base["crack_heating_oil"] = F.col(heating) * gallons - F.col(crude)
+    if gasoline and heating:
+        base["crack_3_2_1"] = (F.col(gasoline) * gallons * 2 + F.col(heating) * gallons) / 3 - F.col(crude)
+    return Steps(base, {f"{c}_sma_{size}": w.mean(c, size) for c in base})
 
-def term_structure(df: DataFrame, w: Over, m1: str, m2: str, later: dict[str, str] | None = None, size: int = 14) -> DataFrame:
+
+def crack_spreads(df: DataFrame, w: Over, *args, **kwargs) -> DataFrame:
+    return add_steps(df, crack_steps(w, *args, **kwargs))
+
+
+def term_structure_steps(w: Over, m1: str, m2: str, later: dict[str, str] | None = None, size: int = 14) -> Steps:
     """Front spread, contango flag (0 where unknown), rolling figures and change; spreads against later months."""
     gap = F.col(m1) - F.col(m2)
-    base = add(df, {"m1_m2_spread": gap, "m1_m2_spread_pct": ratio(gap, m2), "contango_flag": F.coalesce((gap < 0).cast("int"), F.lit(0))})
+    base = {"m1_m2_spread": gap, "m1_m2_spread_pct": ratio(gap, m2), "contango_flag": F.coalesce((gap < 0).cast("int"), F.lit(0))}
     out = {f"m1_m2_spread_sma_{size}": w.mean("m1_m2_spread", size), f"m1_m2_spread_std_{size}": w.std("m1_m2_spread", size), "m1_m2_spread_chg": w.change("m1_m2_spread")}
-    return add(base, out | {f"m1_{n}_spread": F.col(m1) - F.col(c) for n, c in (later or {}).items()})
+    return Steps(base, out | {f"m1_{n}_spread": F.col(m1) - F.col(c) for n, c in (later or {}).items()})
+
+
+def term_structure(df: DataFrame, w: Over, *args, **kwargs) -> DataFrame:
+    return add_steps(df, term_structure_steps(w, *args, **kwargs))
 
 
 def row_change(w: Over, columns: list[str], k: int = 7) -> Columns:
@@ -128,36 +172,48 @@ def rolling_correlations(w: Over, target: str, pairs: dict[str, str], sizes: lis
     return {f"corr_{n}_{s}": w.correlation(target, c, s) for n, c in pairs.items() for s in sizes}
 
 
-def risk_index(df: DataFrame, w: Over, c: str, trend: int = 30, year: int = 252, least: int = 60, q: float = 0.9) -> DataFrame:
+def risk_index_steps(w: Over, c: str, trend: int = 30, year: int = 252, least: int = 60, q: float = 0.9) -> Steps:
     """Log level, log deviation from the trend, and 1.0 on rows above the rolling quantile."""
     level = F.ln(F.greatest(F.col(c), F.lit(1e-6)))
-    base = add(df, {f"{c}_log": level, f"{c}_trend_{trend}": w.mean(c, trend)})
     bar = w.rolling(lambda x: F.percentile(x, F.lit(q)), c, year, least)
-    return add(base, {f"{c}_spike": F.coalesce((F.col(c) > bar).cast("double"), F.lit(0.0))})
+    return Steps({f"{c}_log": level, f"{c}_trend_{trend}": w.mean(c, trend)}, {f"{c}_spike": F.coalesce((F.col(c) > bar).cast("double"), F.lit(0.0))})
 
 
-def seasonal_stock(df: DataFrame, keys: list[str], date: str, c: str, years: int = 5, least: int = 2) -> DataFrame:
-    """Deviation from the same ISO week of the years before.
+def risk_index(df: DataFrame, w: Over, *args, **kwargs) -> DataFrame:
+    return add_steps(df, risk_index_steps(w, *args, **kwargs))
+
+
+def seasonal_stocks(df: DataFrame, keys: list[str], date: str, columns: list[str], years: int = 5, least: int = 2) -> DataFrame:
+    """Deviation of each column from the same ISO week of the years before.
 
     Weekly value: the last non-null of an ISO week.  The norm is the mean and deviation of up to `years` earlier values
-    of that week number.  {c}_surprise, the week's change less its norm, stands on a week's first row, else 0.
+    of that week number.  {c}_surprise, the week's change less its norm, stands on a week's first row, else 0.  One aggregate and one
+    join for all columns.
     """
+    if not columns:
+        return df
     d = F.col(date)
     rows = df.withColumn("_yw", iso_week(d))
-    weekly = rows.groupBy(*keys, "_yw").agg(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), d)).alias("_v"), F.min(date).alias("_first"))
+    weekly = rows.groupBy(*keys, "_yw").agg(F.min(date).alias("_first"), *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), d)).alias(f"_v_{c}") for c in columns])
     order = Over(keys, "_yw")
-    weekly = weekly.withColumn("_chg", order.change("_v")).withColumn("_woy", F.col("_yw") % 100)
+    weekly = weekly.select("*", (F.col("_yw") % 100).alias("_woy"), *[order.change(f"_v_{c}").alias(f"_chg_{c}") for c in columns])
     past = Window.partitionBy(*keys, "_woy").orderBy("_yw").rowsBetween(-years, -1)
     norm = lambda f, x: F.when(F.count(x).over(past) >= least, f(x).over(past))
-    weekly = add(weekly, {"_m": norm(F.avg, "_v"), "_s": norm(F.stddev_samp, "_v"), "_cm": norm(F.avg, "_chg")})
-    out = rows.join(weekly.select(*keys, "_yw", "_first", "_m", "_s", "_cm", "_chg"), [*keys, "_yw"], "left")
-    dev = F.col(c) - F.col("_m")
-    z = ratio(dev, "_s")
-    new = {f"{c}_seasonal_dev": dev, f"{c}_seasonal_z": z, f"{c}_z_pos": F.when(z.isNotNull(), F.greatest(z, F.lit(0.0))), f"{c}_z_neg": F.when(z.isNotNull(), F.least(z, F.lit(0.0)))}
-    new[f"{c}_surprise"] = F.when(d == F.col("_first"), F.coalesce(F.col("_chg") - F.col("_cm"), F.lit(0.0))).otherwise(F.lit(0.0))
+    weekly = add(weekly, {k: v for c in columns for k, v in {f"_m_{c}": norm(F.avg, f"_v_{c}"), f"_s_{c}": norm(F.stddev_samp, f"_v_{c}"), f"_cm_{c}": norm(F.avg, f"_chg_{c}")}.items()})
+    out = rows.join(weekly.select(*keys, "_yw", "_first", *[f"_{k}_{c}" for c in columns for k in ("m", "s", "cm", "chg")]), [*keys, "_yw"], "left")
+    new: Columns = {}
+    for c in columns:
+        dev = F.col(c) - F.col(f"_m_{c}")
+        z = ratio(dev, f"_s_{c}")
+        new |= {f"{c}_seasonal_dev": dev, f"{c}_seasonal_z": z, f"{c}_z_pos": F.when(z.isNotNull(), F.greatest(z, F.lit(0.0))), f"{c}_z_neg": F.when(z.isNotNull(), F.least(z, F.lit(0.0)))}
+        new[f"{c}_surprise"] = F.when(d == F.col("_first"), F.coalesce(F.col(f"_chg_{c}") - F.col(f"_cm_{c}"), F.lit(0.0))).otherwise(F.lit(0.0))
     return add(out, new).select(*df.columns, *new)
 
 
+def seasonal_stock(df: DataFrame, keys: list[str], date: str, c: str, years: int = 5, least: int = 2) -> DataFrame:
+    return seasonal_stocks(df, keys, date, [c], years, least)
+
+
 def smoothed(df: DataFrame, keys: list[str], order: str, close: str, spans: list[int], block: str | None = None) -> DataFrame:
     """Exponential means; a block (unit of time) cuts keys too long for one task, here and in rsi and atr."""
     return ordered_scan(df, keys, order, [Scan(f"{close}_ema_{n}", ewm(close, n)) for n in spans], block)

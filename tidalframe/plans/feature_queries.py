@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from ..functions.calendar import calendar_fields, next_business_day, seasonal_flags
 from ..functions.columns import Over, missing_as_null
 from ..operators import features as feat
 from ..operators.asof import asof, daily_calendar, forward_filled, merge_series, nearest_date, published
+from ..operators.build import Roles, Windows, build_features
 from ..operators.volatility import conditional_sigma
 from ..sources.tables import density
 from ..streaming.bars import sessions, windowed_bars
-from .catalog import query, table
+from .catalog import ORACLES, query, table
 from .frames import BARS, MONTHLY, PANEL, ROLES, WEEKLY, W, bars, ema, full, monthly_macro, panel, rows, weekly_stock
 
 KEY = ["key", "date"]
@@ -330,3 +332,32 @@ def asof_merge_monthly(spark: SparkSession, d: str) -> DataFrame:
 @query(["key"], {"close": 2, "change": 2, "change_pct": 6, "std": 2}, sql=f"WITH {BARS}, f AS (SELECT key, date, close, close - lag(close, 30) OVER ({W}) AS change, (close - lag(close, 30) OVER ({W})) / lag(close, 30) OVER ({W}) AS change_pct, {full('stddev_samp', 'close', 30)} AS std FROM bars) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY date DESC) = 1")
 def latest_kpis(spark: SparkSession, d: str) -> DataFrame:
     return feat.latest_figures(bars(spark, d), ["key"], "date", "close")
+
+
+#: Columns of the whole table by the query that has each alone, over all orders' bars beside the panel.
+_PARTS = {
+    "lag_features": [f"close_lag_{k}" for k in (1, 3, 7, 30)], "exog_lags": [f"{c}_lag_{k}" for c in ("brent", "gasoline") for k in (7, 14)], "returns": ["close_pct_change", "close_log_return"],
+    "momentum_windows": [f"close_momentum_{n}" for n in (21, 63, 126)], "rolling_sma_std": [f"close_{f}_{n}" for f in ("sma", "std") for n in (14, 50, 200)], "bollinger": [f"close_bb_{f}_20" for f in ("upper", "lower", "pct", "width")],
+    "price_level": ["close_dist_sma_14", "close_dist_sma_50", "close_dist_sma_200", "close_52w_high", "close_52w_low", "close_52w_pct_range"], "williams_r": ["close_williams_r_14"], "stochastic": ["close_stoch_k_14", "close_stoch_d_14"],
+    "cmf": ["close_cmf_5"], "range_vol": [f"close_{m}_{n}" for n in (5, 20) for m in ("parkinson", "garman_klass", "rogers_satchell", "yang_zhang")], "ema_smoothing": ["close_ema_14", "close_ema_50"], "rsi": ["close_rsi_14"],
+    "macd": ["close_macd", "close_macd_signal", "close_macd_hist"], "atr": ["close_atr_14", "close_atr_pct_14"], "inventory_change": ["close_chg", "close_chg_pct"], "gecon_change": ["close_chg_3m"],
+    "inventory_seasonal": ["close_seasonal_dev", "close_seasonal_z", "close_z_pos", "close_z_neg", "close_surprise"], "gpr_features": ["close_log", "close_trend_30", "close_spike"],
+    "calendar_features": ["day_of_week", "month", "day_of_year", "quarter", "is_month_end", "is_quarter_end"], "seasonal_flag_days": ["driving_season", "heating_season"], "us_holidays": ["us_holiday"],
+}
+_OF_DATE = ("exog_lags", "calendar_features", "seasonal_flag_days", "us_holidays")
+_LONGS = [c for n in ("calendar_features", "seasonal_flag_days", "us_holidays") for c in _PARTS[n]]
+
+
+def _places(name: str) -> dict[str, int]:
+    """Decimals of a query's doubles, as its SQL rounds them."""
+    return {c: int(re.search(rf'round\(CAST\("{c}" AS DOUBLE\), (\d+)\)', ORACLES[name]).group(1)) for c in _PARTS[name] if c not in _LONGS}
+
+
+@query(["date"], {c: n for q in _PARTS for c, n in _places(q).items()}, _LONGS, f"WITH {BARS}, base AS (SELECT date FROM bars WHERE key = 'ALL') SELECT base.date, " + ", ".join(f'{q}."{c}"' for q, own in _PARTS.items() for c in own) + " FROM base " + " ".join(
+    f"LEFT JOIN ({ORACLES[q]}) AS {q} ON base.date = {q}.date" + ("" if q in _OF_DATE else f" AND {q}.key = 'ALL'") for q in _PARTS))
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    """All builders at once on one merged table."""
+    prices = bars(spark, d).where("key = 'ALL'")
+    merged = prices.join(panel(spark, d).select("date", "brent", "gasoline", "heating", "m2"), "date", "left")
+    roles = Roles("close", "open", "high", "low", "volume", "brent", "gasoline", "heating", "close", {"m2": "m2", "m3": "heating"}, macro=("brent", "gasoline"), stocks=("close",), risk="close", activity="close", correlated={"brent": "brent", "gasoline": "gasoline"})
+    return build_features(merged, ["key"], "date", roles, Windows(money_flow=5, volatility=(5, 20)), complete=False)
