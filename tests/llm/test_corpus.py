@@ -366,6 +366,39 @@ def test_orc_round_trip(spark, tmp_path):
     assert encode_to_orc(docs.where("doc_id > 99"), queries.tokenizer_file(LOWER)).count() == 0
 
 
+def scanned_rows(df):
+    """Rows that the scan of a query's files gave to what is above it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_token_files_are_pruned_by_their_indexes(spark, tmp_path):
+    """A filter reads the index entries it needs: by range of doc_id, and by Bloom filter where the ranges of all entries hold the id."""
+    docs = spark.range(0, 40_000, 1, 4).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_token_files(docs, str(tmp_path / "t"), queries.tokenizer_file(LOWER))
+        rows = read_token_files(spark, str(tmp_path / "t"))
+        assert scanned_rows(rows) == 40_000
+        near = rows.where("doc_id between 5000 and 5010")
+        assert near.count() == 6 and scanned_rows(near) <= 3000
+        assert scanned_rows(rows.where("doc_id = 5000")) <= 1000
+        # odd ids lie inside the ranges, but no Bloom filter has them (one in a hundred may)
+        assert scanned_rows(rows.where("doc_id in (5001)")) <= 1000 and sum(scanned_rows(rows.where(f"doc_id = {k}")) for k in range(1001, 61001, 6000)) <= 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_equal_pieces_share_the_rank_buckets(spark):
+    docs = spark.range(0, 3000, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = packing.pack(docs, queries.tokenizer_file(BYTE)).toPandas()
+    assert len(got) == 3000 and not got.duplicated(["sequence_id", "offset"]).any()
+    n = int(got["length"].iloc[0])
+    assert got["sequence_id"].nunique() == -(-3000 // (2048 // n))
+
+
 def test_urls(spark):
     urls = [
         (1, "http://A.Example.NET/en/1?x", "a.example.net", "/en/1", "example.net/en/", "allow"),

@@ -232,6 +232,30 @@ def test_every_repeated_unit_goes_by_default(spark):
         assert covered == gone, d
 
 
+def test_rows_count_for_themselves_whatever_their_ids(spark):
+    rows = [
+        (1, "alpha beta gamma delta"), (None, "alpha beta gamma delta\nthird line"), (None, "wholly unique words here\nfourth line"), (None, "third line\nown line"),
+        (7, "x y z\nfirst of seven"), (7, "x y z\nsecond of seven"), (8, "same text twice"), (8, "same text twice"), (9, None), (9, ""),
+    ]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row long, doc_id long, text string").coalesce(1)
+    got = {r["row"]: r for r in line_dedup.without_repeats(docs).collect()}
+    kept = {}
+    want = {}
+    for k, (d, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):  # read in this order within an id
+        want[k] = [i for i, (_, _, words) in enumerate(units_by_hand(text)) if kept.setdefault(words, (k, i)) != (k, i)]
+    for k, (_, text) in enumerate(rows):
+        listed = units_by_hand(text)
+        assert [i for i, (a, b, _) in enumerate(listed) if any(s["start"] <= a and b <= s["end"] for s in got[k]["removed"])] == want[k], k
+    assert got[2]["text"] == rows[2][1] and got[1]["text"] == "third line" and sorted((got[4]["text"], got[5]["text"])) == ["second of seven", "x y z\nfirst of seven"]
+    assert sorted((got[6]["text"], got[7]["text"])) == ["", "same text twice"]
+
+
+def test_null_ids_spread(spark):
+    docs = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("line "), F.col("id") % 1000).alias("text"))
+    out = line_dedup.without_repeats(docs)
+    assert out.where("text <> ''").count() == 1000 and out.where("size(removed) = 1").count() == 3000
+
+
 def unit(x):
     return x / np.linalg.norm(x)
 

@@ -24,6 +24,8 @@ from .workers import bounded_batches, lean
 
 #: Hash buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 256
+#: Salts of pieces, and how many pieces a bucket has on average at most.
+SALTS, BUCKET_PIECES = 65521, 1 << 20
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -133,7 +135,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """
     bounded_batches(docs.sparkSession)
     pieces = docs.select("doc_id", "text").mapInArrow(_piecer(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = settle(pieces, "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    # written down with a salt, so that repeated rows and null ids spread over the buckets that ranks are counted in
+    pieces = settle(pieces.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")), "pieces")
+    buckets = max(RANK_BUCKETS, pieces.count() // BUCKET_PIECES)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(buckets)).cast("int"))
     counted = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     running = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = settle(counted.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))), "counts")
