@@ -250,3 +250,59 @@ def test_combinations_from_sums_equal_the_task_for_each(spark, groups, k):
     a, b = (d.path_returns.orderBy("path", "date").toPandas() for d in (fast, slow))
     pd.testing.assert_frame_equal(a, b)
     assert len(a) >= n - n // groups and fast.summary.first()["mean_sharpe"] == pytest.approx(slow.summary.first()["mean_sharpe"])
+
+
+# --- panels -----------------------------------------------------------------------------------------------------------
+
+
+def test_panel_fits_equal_single_ones_for_many_keys(spark):
+    from tidalframe.operators import gam, panel
+
+    r = np.random.default_rng(30)
+    rows = [(f"k{k}" if k else None, k % 3, float(x), float(z), float(np.sin(3 * x) * k / 100 + z + 0.1 * r.normal())) for k in range(200) for x, z in r.random((40, 2))]
+    rows += [("k1", 1, None, 0.5, 1.0), ("k2", 2, 0.5, 0.5, None), ("lonely", 0, 0.2, 0.3, 1.0), ("none", 0, None, None, None)]
+    df = spark.createDataFrame(rows, "key string, part int, x double, z double, y double").repartition(6)
+    terms = [gam.Term("x", "spline", 7, 0.0, 1.0), gam.Term("z", "linear", 1, 0.0, 1.0)]
+    fits = {(r["key"], r["part"]): r for r in panel.panel_fits(df, ["key", "part"], terms, "y", [0.1, 1.0, 10.0]).collect()}
+    assert len(fits) == 201 and fits["lonely", 0]["n"] == 1
+    for key, part in ((None, 0), ("k1", 1), ("k7", 1), ("k199", 1)):
+        one = df.where(F.col("key").eqNullSafe(key) & (F.col("part") == part)) if key else df.where("key is null")
+        want = gam.fit(gam.gram(one, terms, "y"), [0.1, 1.0, 10.0])
+        got = panel.fit_of(fits[key, part], terms)
+        assert (got.n, got.lam) == (want.n, want.lam) and got.edof == pytest.approx(want.edof) and got.rss == pytest.approx(want.rss)
+        x = gam.design_row(terms, pd.DataFrame(r.random((50, 2)), columns=["x", "z"]))  # the splines add up to the intercept, so only scores are sure
+        np.testing.assert_allclose(x @ got.beta, x @ want.beta, rtol=1e-6, atol=1e-8)
+        np.testing.assert_allclose(((x @ got.cov) * x).sum(1), ((x @ want.cov) * x).sum(1), rtol=1e-5)
+
+
+
+def test_panel_scores_equal_single_ones(spark, monkeypatch):
+    from tidalframe.operators import gam, panel
+
+    r = np.random.default_rng(31)
+    rows = [(f"k{k}", float(x), float(x * k + 0.1 * r.normal()), i) for k in range(5) for i, x in enumerate(r.random(30))]
+    df = spark.createDataFrame([*rows, ("k1", None, 1.0, 99), ("new", 0.5, 1.0, 0)], "key string, x double, y double, i int").repartition(3)
+    terms = [gam.Term("x", "spline", 6, 0.0, 1.0)]
+    fits = panel.panel_fits(df.where("key <> 'new'"), ["key"], terms, "y")
+    for numbers in (1 << 22, 1):  # broadcast, and met by key
+        monkeypatch.setattr(panel, "BROADCAST_NUMBERS", numbers)
+        got = {(r["key"], r["i"]): (r["mu"], r["s"]) for r in panel.panel_predict(df, fits, ["key"], terms, "mu", "s").collect()}
+        assert len(got) == 152 and got["k1", 99] == (None, None) and got["new", 0] == (None, None)
+        one = gam.fit(gam.gram(df.where("key = 'k3'"), terms, "y"))
+        for r in gam.predict(df.where("key = 'k3'"), one, "mu", "s").collect():
+            assert got["k3", r["i"]] == pytest.approx((r["mu"], r["s"]), rel=1e-5)
+
+
+def test_distances_from_uniform_by_key(spark):
+    from tidalframe.functions.special import kolmogorov_sf
+
+    r = np.random.default_rng(32)
+    sets = {"even": r.random(900), "bent": r.beta(2, 3, 500), None: r.random(40), "one": np.array([0.3])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in sets.items() for v in x], "k string, p double")
+    got = {row["k"]: row for row in scores.ks_by_key(df, ["k"], "p").collect()}
+    for k, x in sets.items():
+        x, n = np.sort(x), len(x)
+        d = max((np.arange(1, n + 1) / n - x).max(), (x - np.arange(n) / n).max())
+        root = np.sqrt(n)
+        assert got[k]["n"] == n and got[k]["d"] == pytest.approx(d) and got[k]["pit_p"] == pytest.approx(kolmogorov_sf((root + 0.12 + 0.11 / root) * d), abs=1e-7)
+    assert got["even"]["pit_p"] > 0.01 > got["bent"]["pit_p"]

@@ -111,7 +111,7 @@ def forward_filled(df: DataFrame, keys: list[str], order: str, columns: list[str
     if block is not None:
         filled = _with_blocks_before(filled, _blocks_before(rows, keys, {c: F.col(c) for c in columns}, F.col(order)), keys)
         filled = filled.select(*[F.coalesce(c, f"_before_{c}").alias(c) if c in columns else c for c in df.columns])
-    return filled.na.drop(subset=required)
+    return filled.na.drop(subset=required) if required else filled
 
 
 def date_range(df: DataFrame, date: str, first: str | None = None, last: str | None = None) -> DataFrame:

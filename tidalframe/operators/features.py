@@ -270,6 +270,14 @@ def error_drift(df: DataFrame, w: Over, y: str, forecast: str, size: int = 63) -
     return add(df, {"rolling_mae": w.mean(F.abs(F.col(y) - F.col(forecast)), size)})
 
 
+def drift_monitor(df: DataFrame, w: Over, y: str, forecast: str, naive: str, size: int = 63, share: float = 0.95) -> DataFrame:
+    """df with the rolling errors of a forecast and of a naive one, the forecast's threshold (that quantile of its rolling errors, by key) and whether it is passed."""
+    error = lambda c: F.abs(F.col(y) - F.col(c))
+    rolled = add(df, {"rolling_mae": w.mean(error(forecast), size), "rolling_mae_naive": w.mean(error(naive), size)})
+    bars = rolled.groupBy(*w.keys).agg(F.percentile("rolling_mae", F.lit(share)).alias("threshold"))
+    return rolled.join(bars, w.keys).withColumn("drifted", F.col("rolling_mae") > F.col("threshold"))
+
+
 def interpolated(df: DataFrame, keys: list[str], order: str, c: str) -> DataFrame:
     """Gaps inside a series filled on a straight line by row number; ends stay null."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -254,20 +254,41 @@ def berkowitz_moments(df: DataFrame, order: str, z: str) -> tuple[float, float]:
 RANK_BUCKETS = 1024
 
 
-def ks_uniform(df: DataFrame, p: str) -> DataFrame:
-    """(n, d): the Kolmogorov-Smirnov distance of a column from the uniform distribution.
+def ks_by_key(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """(keys, n, d, pit_p): by key the Kolmogorov-Smirnov distance of a column from the uniform distribution, and its p value.
 
     Ranks take two passes: counts per bucket of the unit interval, then ranks within buckets; equal values are one row first.
     """
     value = F.col(p).cast("double")
-    tied = df.where(value.isNotNull()).groupBy(value.alias("p")).agg(F.count("*").alias("c"))
+    tied = df.where(value.isNotNull()).groupBy(*keys, value.alias("p")).agg(F.count("*").alias("c"))
     tied = tied.withColumn("bucket", F.least(F.greatest(F.floor(F.col("p") * RANK_BUCKETS), F.lit(0)), F.lit(RANK_BUCKETS - 1)).cast("int"))
-    sizes = tied.groupBy("bucket").agg(F.sum("c").alias("size"))  # RANK_BUCKETS rows at most
-    before = sizes.select(F.col("bucket").alias("of"), F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("n"))
-    inside = F.sum("c").over(Window.partitionBy("bucket").orderBy("p"))
-    ranked = tied.withColumn("inside", inside).join(F.broadcast(before), F.col("bucket") == F.col("of"))
+    sizes = tied.groupBy(*keys, "bucket").agg(F.sum("c").alias("size"))  # RANK_BUCKETS rows a key at most
+    past = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "bucket"])}
+    before = sizes.select(*[F.col(k).alias(n) for k, n in names.items()], F.coalesce(F.sum("size").over(past), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(*keys)).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("p"))
+    ranked = tied.withColumn("inside", inside).join(before, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
     upto = F.col("before") + F.col("inside")
-    return ranked.agg(F.max("n").alias("n"), F.max(F.greatest(upto / F.col("n") - F.col("p"), F.col("p") - (upto - F.col("c")) / F.col("n"))).alias("d"))
+    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.greatest(upto / F.col("n") - F.col("p"), F.col("p") - (upto - F.col("c")) / F.col("n"))).alias("d"))
+    root = F.sqrt(F.col("n").cast("double"))
+    return found.withColumn("pit_p", kolmogorov_column((root + 0.12 + 0.11 / root) * F.col("d")))
+
+
+def kolmogorov_column(x: Column) -> Column:
+    """The tail of Kolmogorov's distribution: the series that converges fast on either side of 1."""
+    small = F.lit(0.0)
+    for k in (1, 3, 5, 7):
+        small = small + F.exp(-F.lit(k * k * math.pi**2 / 8) / (x * x))
+    large = F.lit(0.0)
+    for k in range(1, 6):
+        large = large + F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * x * x)
+    value = F.when(x < 1.0, 1 - F.lit(math.sqrt(2 * math.pi)) / x * small).otherwise(large)
+    return F.when(x <= 0.04, 1.0).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+
+
+def ks_uniform(df: DataFrame, p: str) -> DataFrame:
+    """(n, d) of all rows; see ks_by_key."""
+    return ks_by_key(df, [], p).select("n", "d")
 
 
 def ks_p_value(d: float, n: int) -> float:
@@ -378,7 +399,9 @@ def probabilistic_scores(df: DataFrame, keys: list[str], y: str, mu: str, sigma:
     out = [F.avg(crps_quadrature(y, mu, sigma, nu, tau, loc, scale, points)).alias("crps"), F.avg(log_score(y, mu, sigma, nu, tau, loc, scale)).alias("log_score")]
     out += [F.avg(pinball(y, johnson_su_ppf(p, nu, tau, at, width), p)).alias(f"pinball_q{round(p * 100):02d}") for p in (0.05, 0.1, 0.5, 0.9, 0.95)]
     out += [coverage(y, f"lower_{n}", f"upper_{n}").alias(f"coverage_{n}") for n in (50, 80, 90, 95)]
-    return rows.groupBy(*keys).agg(*out, directional_accuracy(y, mu, anchor).alias("directional_accuracy"))
+    found = rows.groupBy(*keys).agg(*out, directional_accuracy(y, mu, anchor).alias("directional_accuracy"))
+    uniform = ks_by_key(rows.select(*keys, pit(y, mu, sigma, nu, tau, loc, scale).alias("_pit")), keys, "_pit")
+    return found.join(uniform.select(*keys, F.col("d").alias("pit_ks"), "pit_p"), keys, "left")
 
 
 def predictive_density(df: DataFrame, mu: str, sigma: str, nu: Column, tau: Column, loc: Column, scale: Column, reach: float = 4.0, points: int = 81) -> DataFrame:
@@ -389,6 +412,20 @@ def predictive_density(df: DataFrame, mu: str, sigma: str, nu: Column, tau: Colu
     return grid.withColumn("density", F.exp(johnson_su_logpdf(F.col("x"), nu, tau, F.col(mu) + F.col(sigma) * loc, F.col(sigma) * scale)))
 
 
+def price_density(density: DataFrame, anchor: str) -> DataFrame:
+    """A predictive density of log returns with the prices they mean and the density there: that of the return over the price."""
+    price = F.col(anchor) * F.exp("x")
+    return density.withColumn("price", price).withColumn("price_density", ratio(F.col("density"), price))
+
+
+def scaled_intervals(df: DataFrame, keys: list[str], mu: str, sigma: str, scales: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """df with normal intervals lower_ and upper_ at each level, sigma being multiplied by its key's scale of scales (keys, scale)."""
+    out = df.join(scales.select(*keys, "scale"), keys, "left")
+    width = F.col(sigma) * F.coalesce("scale", F.lit(1.0))
+    bounds = {f"{name}_{round(level * 100)}": F.col(mu) + side * norm_ppf((1 + level) / 2) * width for level in levels for side, name in ((-1, "lower"), (1, "upper"))}
+    return out.withColumns(bounds)
+
+
 def residual_quantiles(df: DataFrame, keys: list[str], y: str, forecast: str, points: int = 99) -> DataFrame:
     """(keys, i, p, normal, residual): quantiles of the residuals beside those of a normal distribution of their mean and deviation."""
     levels = [(i + 0.5) / points for i in range(points)]

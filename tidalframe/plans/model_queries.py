@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import Over, norm_ppf
 from ..functions.special import chi2_sf
 from .. import runner
-from ..operators import asof, backtest, eda, gam, scores, splits, volatility
+from ..operators import asof, backtest, eda, gam, panel as panels, scores, splits, volatility
 from ..operators.distribution import johnson_su_fits
 from ..operators.distributional import distributional
-from ..operators.features import add, drawdown, error_drift, interpolated, lags, returns, rolling_mean_std
-from .catalog import query
+from ..operators.features import add, drawdown, drift_monitor as watched, error_drift, interpolated, lags, returns, rolling_mean_std
+from .catalog import ORACLES, query
 from .frames import BARS, FORECASTS, MONTHLY, PANEL, ROLES, W, bars, forecasts, full, monthly_macro, panel
 
 KEY = ["key", "date"]
@@ -337,9 +337,9 @@ def log_score(spark: SparkSession, d: str) -> DataFrame:
 CRPS = ", ".join(f"({(k + 0.5) / 99!r}::DOUBLE, {norm_ppf((k + 0.5) / 99)!r}::DOUBLE)" for k in range(99))
 
 
-@query(KEY, {"crps": 2}, sql=f"WITH {FORECASTS}, z(p, z) AS (VALUES {CRPS}), t AS (SELECT key, date, y - ({AT} + {WIDTH} * sinh((z - {NU}) / {TAU})) AS m, p FROM fc, z WHERE {ALL}) SELECT key, date, sum(greatest(m * p, m * (p - 1))) * (2.0::DOUBLE / 99) AS crps FROM t GROUP BY 1, 2")
+@query(KEY, {"crps": 2}, sql=f"WITH {FORECASTS}, z(p, z) AS (VALUES {CRPS}), t AS (SELECT key, date, y - ({AT} + {WIDTH} * sinh((z - {NU}) / {TAU})) AS m, p FROM fc, z) SELECT key, date, sum(greatest(m * p, m * (p - 1))) * (2.0::DOUBLE / 99) AS crps FROM t GROUP BY 1, 2")
 def crps_quadrature(spark: SparkSession, d: str) -> DataFrame:
-    return forecasts(spark, d).where(ALL).select("key", "date", scores.crps_quadrature("y", "slow", "sigma", *su()).alias("crps"))
+    return forecasts(spark, d).select("key", "date", scores.crps_quadrature("y", "slow", "sigma", *su()).alias("crps"))
 
 
 @query(["key"], {"scale": 6}, sql=f"""WITH {FORECASTS}, g AS (SELECT i, 0.5::DOUBLE + 4.5::DOUBLE * i / 99 AS s FROM (SELECT unnest(range(0, 100)) AS i)), c AS (SELECT key, s, avg((abs(y - slow) <= sigma * s * {Z90!r}::DOUBLE * (1 + 1e-12))::INT) AS c FROM fc, g GROUP BY 1, 2)
@@ -460,7 +460,7 @@ def bagged_gam(spark: SparkSession, d: str) -> DataFrame:
 @query(["level"], {"below": 3})
 def expectile_gam(spark: SparkSession, d: str) -> DataFrame:
     r, names = model_rows(spark, d)
-    terms, out = gam.terms_for(r, names[:3]), []
+    terms, out = gam.terms_for(r, names), []
     for level in (0.1, 0.9):
         scored = gam.predict(r, gam.expectile(r, terms, "y", level, 10.0), "mu")
         out.append((level, float(scored.agg(F.avg((F.col("y") <= F.col("mu")).cast("double"))).first()[0])))
@@ -636,3 +636,51 @@ def trained_forecast(spark: SparkSession, d: str) -> DataFrame:
     """The whole run from features to the next forecast."""
     r, names = model_rows(spark, d)
     return runner.train(r.select("key", "date", "close", *names), names, "close", {"max_terms": 4, "n_splines": 10, "bags": 3, "refit_rows": 252, "sigma_source": "blend", "refits": 1}).forecast
+
+
+@query(["key", "date"], {"rolling_mae": 2, "rolling_mae_naive": 2, "threshold": 2}, ["drifted"], f"""WITH {FORECASTS}, r AS (SELECT key, date, {full("avg", "abs(y - fast)", 63)} AS m, {full("avg", "abs(y - anchor)", 63)} AS n FROM fc),
+ t AS (SELECT key, quantile_cont(m, 0.95) AS threshold FROM r GROUP BY key) SELECT r.key, r.date, m AS rolling_mae, n AS rolling_mae_naive, threshold, coalesce((m > threshold)::INT, 0) AS drifted FROM r JOIN t USING (key)""")
+def drift_monitor(spark: SparkSession, d: str) -> DataFrame:
+    return watched(forecasts(spark, d), Over(["key"], "date"), "y", "fast", "anchor").withColumn("drifted", F.coalesce(F.col("drifted").cast("int"), F.lit(0)))
+
+
+_SMALL = " + ".join(f"exp({-k * k * math.pi**2 / 8!r}::DOUBLE / (x * x))" for k in (1, 3, 5, 7))
+_LARGE = " + ".join(f"{2.0 * (-1) ** (k - 1)!r}::DOUBLE * exp({-2.0 * k * k!r}::DOUBLE * x * x)" for k in range(1, 6))
+
+
+@query(["key"], {"d": 6, "pit_p": 6}, ["n"], f"""WITH {FORECASTS}, u AS (SELECT key, {U} AS u FROM fc WHERE sigma > 0), p AS (SELECT key, {hart("u")} AS p FROM u),
+ k AS (SELECT key, p, row_number() OVER (PARTITION BY key ORDER BY p) AS k, count(*) OVER (PARTITION BY key) AS n FROM p),
+ s AS (SELECT key, max(n) AS n, max(greatest(k::DOUBLE / n - p, p - (k - 1)::DOUBLE / n)) AS d FROM k GROUP BY key), t AS (SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * d AS x FROM s)
+ SELECT key, n, d, CASE WHEN x <= 0.04 THEN 1.0 ELSE least(greatest(CASE WHEN x < 1 THEN 1 - {math.sqrt(2 * math.pi)!r}::DOUBLE / x * ({_SMALL}) ELSE {_LARGE} END, 0), 1) END AS pit_p FROM t""")
+def pit_tests(spark: SparkSession, d: str) -> DataFrame:
+    f = forecasts(spark, d).where("sigma > 0")
+    return scores.ks_by_key(f.select("key", scores.pit("y", "slow", "sigma", *su()).alias("p")), ["key"], "p")
+
+
+@query(["key", "i"], {"x": 6, "price": 2, "price_density": 9}, sql=f"""WITH {FORECASTS}, l AS (SELECT key, anchor, ln(slow / anchor) AS mu, sigma / anchor AS s FROM fc WHERE sigma > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY date DESC) = 1),
+ g AS (SELECT *, unnest(range(0, 81))::INT AS i FROM l), x AS (SELECT *, mu + s * (i * {8.0 / 80!r}::DOUBLE - 4.0::DOUBLE) AS x FROM g), z AS (SELECT *, (x - (mu + s * {LOC!r}::DOUBLE)) / (s * {SCALE!r}::DOUBLE) AS z FROM x)
+ SELECT key, i, x, anchor * exp(x) AS price, exp(ln({TAU} / (s * {SCALE!r}::DOUBLE * sqrt(1 + z * z))) - ({NU} + {TAU} * asinh(z)) ** 2 / 2 - ln(sqrt(2 * pi()))) / (anchor * exp(x)) AS price_density FROM z""")
+def price_densities(spark: SparkSession, d: str) -> DataFrame:
+    f = forecasts(spark, d).where("sigma > 0")
+    last = f.groupBy("key").agg(F.max_by(F.struct("anchor", "slow", "sigma"), "date").alias("r")).select("key", "r.*")
+    last = last.select("key", "anchor", F.ln(F.col("slow") / F.col("anchor")).alias("mu"), (F.col("sigma") / F.col("anchor")).alias("s"))
+    return scores.price_density(scores.predictive_density(last, "mu", "s", *su()), "anchor")
+
+
+@query(["key"], {f"coverage_{n}": 6 for n in (50, 80, 90, 95)}, sql=f"""WITH {FORECASTS}, c AS (SELECT * FROM ({ORACLES["sigma_scale_calibration"]})) SELECT fc.key, """ + ", ".join(f"avg((abs(y - slow) <= {norm_ppf((1 + n / 100) / 2)!r}::DOUBLE * sigma * scale)::INT) AS coverage_{n}" for n in (50, 80, 90, 95)) + " FROM fc JOIN c USING (key) GROUP BY fc.key")
+def scaled_coverage(spark: SparkSession, d: str) -> DataFrame:
+    f = forecasts(spark, d)
+    scales = scores.sigma_scale(f, ["key"], "y", "slow", "sigma").withColumn("scale", F.round("scale", 6))
+    wide = scores.scaled_intervals(f, ["key"], "slow", "sigma", scales)
+    return wide.groupBy("key").agg(*[scores.coverage("y", f"lower_{n}", f"upper_{n}").alias(f"coverage_{n}") for n in (50, 80, 90, 95)])
+
+
+@query(["key", "term"], {"edof": 3, "lam": 4, "r2": 5}, ["n"])
+def panel_gam(spark: SparkSession, d: str) -> DataFrame:
+    """A model for each series, all in one pass."""
+    b = bars(spark, d)
+    w = Over(["key"], "date")
+    rows = add(b, {"y": F.ln(w.lead("close") / F.col("close")), "x_fast": F.col("close") / w.mean("close", 5) - 1, "x_slow": F.col("close") / w.mean("close", 20) - 1}).where("y is not null and x_slow is not null")
+    terms = gam.terms_for(rows, ["x_fast", "x_slow"])
+    fits = panels.panel_fits(rows, ["key"], terms, "y")
+    return fits.select("key", F.explode(F.array(*[F.lit(t.name) for t in terms])).alias("term"), "edof", "lam", "r2", "n")
