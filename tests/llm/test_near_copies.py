@@ -321,7 +321,7 @@ def test_tables_find_pairs_at_the_threshold():
     y = np.stack([unit(0.93 * v + np.sqrt(1 - 0.93**2) * unit(w - (w @ v) * v)) for v, w in zip(x, rng.normal(size=x.shape), strict=True)])
     for n in (5000, 10**6):
         signs, tables = embed_dedup.tables_for(n, 0.93, 64)
-        met = [embed_dedup.table_signs(embed_dedup.Codes.of(z, k).levels, signs, tables) for k, z in enumerate((x, y))]
+        met = [embed_dedup.table_signs(embed_dedup.Codes.of(z, [b"%d %d" % (k, i) for i in range(len(z))]).levels, signs, tables) for k, z in enumerate((x, y))]
         assert (met[0] == met[1]).any(1).mean() > 0.997
 
 
@@ -329,3 +329,25 @@ def test_embeddings_with_labels_of_any_type(spark):
     rows = [(1, [1.0, 2.0], "a"), (2, [2.0, 4.0], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0], None)]
     got = embed_dedup.embedding_components(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string")).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_codes_depend_on_the_vector_alone(spark):
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(40, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    whole = embed_dedup.Codes.of(unit).pack()
+    assert [embed_dedup.Codes.of(unit[i : i + 1]).pack()[0] for i in range(40)] == whole
+    assert embed_dedup.Codes.of(unit[::-1]).pack() == whole[::-1]
+    steps = (embed_dedup.Codes.of(unit).levels + 15) / 2
+    turned = unit @ embed_dedup.rotation(64)
+    miss = steps - (turned / np.abs(turned).max(1).astype(np.float32)[:, None] + 1) * 7.5
+    assert abs(miss.mean()) < 0.02 and np.abs(miss).max() < 1  # rounded right on average
+
+
+def test_links_are_the_same_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(60, 64))
+    rows = [(i, [float(x) for x in (base[i % 60] + 0.2 * rng.normal(size=64)).astype(np.float32)], i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    one, other = (sorted(map(tuple, embed_dedup.embedding_components(df.repartition(n)).collect())) for n in (1, 7))
+    assert one == other and sum(r[1] for r in one) > 600

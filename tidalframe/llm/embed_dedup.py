@@ -78,13 +78,15 @@ class Codes:
         self.bits, self.levels, self.factor, self.top = bits, levels, factor, top  # levels: odd numbers from -15 to 15, of which 15 is top
 
     @staticmethod
-    def of(unit: np.ndarray, seed: int = 0) -> "Codes":
+    def of(unit: np.ndarray, names: list[bytes] | None = None) -> "Codes":
+        """names: what each vector's random rounding is seeded by, its own bytes if not given; a vector's code is the same whatever stands beside it."""
         dim = unit.shape[1]
         turned = unit @ rotation(dim)
         bits = turned > 0
         factor = np.abs(turned).sum(1) / math.sqrt(dim)
         top = np.abs(turned).max(1).astype(np.float32)
-        chance = np.random.default_rng([20240917, seed]).random(turned.shape)
+        own = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in (names if names is not None else map(bytes, np.ascontiguousarray(unit)))], U64)
+        chance = (mix(own[:, None] + mix(np.arange(1, dim + 1, dtype=U64))[None, :]) >> U64(11)) * 2.0**-53
         steps = np.clip(np.floor((turned / top[:, None] + 1) * 7.5 + chance), 0, 15)
         return Codes(bits, (2 * steps - 15).astype(np.int8), factor.astype(np.float32), top)
 
@@ -163,12 +165,11 @@ def _coder(kind: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(3).to_pylist()
-            node = batch.column(0).to_numpy()
             sizes = np.array([len(x) for x in vectors], np.int64)
             code: list[bytes] = [b""] * len(vectors)
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size).tolist()
-                for i, packed in zip(rows, Codes.of(_units([vectors[i] for i in rows], kind), int(node[rows[0]])).pack(), strict=True):
+                for i, packed in zip(rows, Codes.of(_units([vectors[i] for i in rows], kind), [vectors[i] for i in rows]).pack(), strict=True):
                     code[i] = packed
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(code, pa.binary())], names=["node", "lab", "n", "code"])
 
