@@ -194,7 +194,7 @@ class Fit:
 BREACH, BREACH_ROUNDS = 1e6, 30
 
 
-def _sums(terms: list[Term], y: str, weight: str | None) -> Callable:
+def _sums(terms: list[Term], y: str, weight: str | None, around: tuple[np.ndarray, float] | None = None) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, b, yy, n = None, None, 0.0, 0.0
         for f in frames:
@@ -204,6 +204,8 @@ def _sums(terms: list[Term], y: str, weight: str | None) -> Callable:
             x = np.column_stack([np.ones(len(f)), *[t.basis(f) for t in terms]])
             target = f[y].to_numpy(float)
             w = f[weight].to_numpy(float) if weight else np.ones(len(f))
+            if around is not None:
+                w = w * np.where(target > x @ around[0], around[1], 1 - around[1])
             xw = x * w[:, None]
             g = xw.T @ x if g is None else g + xw.T @ x
             b = xw.T @ target if b is None else b + xw.T @ target
@@ -215,10 +217,10 @@ def _sums(terms: list[Term], y: str, weight: str | None) -> Callable:
     return run
 
 
-def gram(df: DataFrame, terms: list[Term], y: str, weight: str | None = None, fan_in: int = 16) -> Gram:
-    """One pass over df; partitions' matrices are added in a tree of `fan_in`, so the driver adds few."""
+def gram(df: DataFrame, terms: list[Term], y: str, weight: str | None = None, fan_in: int = 16, around: tuple[np.ndarray, float] | None = None) -> Gram:
+    """One pass over df; around (coefficients, level) weighs rows above their fit by the level and others by the rest; partitions' matrices are added in a tree of `fan_in`, so the driver adds few."""
     names = list(dict.fromkeys([*[t.name for t in terms], *[t.other.name for t in terms if t.other], y, *([weight] if weight else [])]))
-    parts = df.select(*names).mapInPandas(_sums(terms, y, weight), "g binary, b binary, yy double, n double")
+    parts = df.select(*names).mapInPandas(_sums(terms, y, weight, around), "g binary, b binary, yy double, n double")
     width = 1 + sum(t.width for t in terms)
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -429,16 +431,34 @@ def bagged(df: DataFrame, terms: list[Term], y: str, row: str, bags: int, lam: f
 
 
 def bagged_predict(df: DataFrame, fits: list[Fit], out: str = "mu") -> DataFrame:
-    """df with the bags' mean forecast and the 95 % band: the mean of the bags' bounds, widened by 1.96 deviations between the bags."""
-    now = df
-    for i, f in enumerate(fits):
-        now = predict(now, f, f"_m{i}", f"_s{i}")
-    mean = lambda cs: sum(cs[1:], cs[0]) / len(cs)
-    ms, ss = ([F.col(f"_{k}{i}") for i in range(len(fits))] for k in "ms")
-    centre, half = mean(ms), mean([1.96 * s for s in ss])
-    spread = F.sqrt(sum(((m - centre) * (m - centre) for m in ms), F.lit(0.0)) / (len(fits) - 1)) * 1.96 if len(fits) > 1 else F.lit(0.0)
-    bounds = {out: centre, f"{out}_low": centre - half - spread, f"{out}_high": centre + half + spread}
-    return now.withColumns(bounds).drop(*[f"_{k}{i}" for i in range(len(fits)) for k in "ms"])
+    """df with the bags' mean forecast and the 95 % band: the mean of the bags' bounds, widened by 1.96 deviations between the bags.
+
+    All bags score a batch in one pass, over one basis where their terms are the same; rows with missing features get null.
+    """
+    shared = df.sparkSession.sparkContext.broadcast([(f.terms, f.beta, f.cov, f.scale) for f in fits])
+    needed = list(dict.fromkeys([n for f in fits for t in f.terms for n in (t.name, *([t.other.name] if t.other else []))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            f = pa.Table.from_batches([batch]).select(needed).to_pandas().astype(float)
+            gone = f.isna().any(axis=1).to_numpy()
+            f = f.fillna(0.0)
+            known: dict[tuple, np.ndarray] = {}
+            means, widths = [], []
+            for terms, beta, cov, scale in models:
+                x = known.get(tuple(terms))
+                if x is None:
+                    x = known[tuple(terms)] = design_row(terms, f)
+                means.append(x @ beta)
+                widths.append(1.96 * np.sqrt(np.maximum(((x @ cov) * x).sum(1) + scale, 0.0)))
+            centre, half = np.mean(means, 0), np.mean(widths, 0)
+            half = half + (1.96 * np.std(means, 0, ddof=1) if len(means) > 1 else 0.0)
+            columns = [pa.array(v, mask=gone) for v in (centre, centre - half, centre + half)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, out, f"{out}_low", f"{out}_high"])
+
+    shape = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + "".join(f", `{out}{end}` double" for end in ("", "_low", "_high"))
+    return df.mapInArrow(run, shape)
 
 
 def bagged_interval(lower: list[float], upper: list[float], means: list[float]) -> tuple[float, float]:
@@ -448,11 +468,10 @@ def bagged_interval(lower: list[float], upper: list[float], means: list[float])
 
 
 def expectile(df: DataFrame, terms: list[Term], y: str, level: float, lam: float, rounds: int = 6) -> Fit:
-    """Asymmetric least squares by reweighting: rows above the fit weigh `level`, others 1 - level."""
+    """Asymmetric least squares by reweighting: rows above the fit weigh `level`, others 1 - level. One pass a round scores, weighs and sums."""
     found = solve(gram(df, terms, y), lam)
     for _ in range(rounds):
-        scored = predict(df, found, "_mu").withColumn("_w", F.when(F.col(y) > F.col("_mu"), level).otherwise(1 - level))
-        new = solve(gram(scored, terms, y, "_w"), lam)
+        new = solve(gram(df, terms, y, around=(found.beta, level)), lam)
         done = np.allclose(new.beta, found.beta, atol=1e-8)
         found = new
         if done:
