@@ -30,7 +30,7 @@ PASSAGE_UNIT, PASSAGE_RUN = 3, 25
 _NO_ID = 2**63 - 1
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?,;:"]] = True
-_FLUSH = 1 << 19
+_FLUSH = 1 << 18
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
