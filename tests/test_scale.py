@@ -306,3 +306,21 @@ def test_distances_from_uniform_by_key(spark):
         root = np.sqrt(n)
         assert got[k]["n"] == n and got[k]["d"] == pytest.approx(d) and got[k]["pit_p"] == pytest.approx(kolmogorov_sf((root + 0.12 + 0.11 / root) * d), abs=1e-7)
     assert got["even"]["pit_p"] > 0.01 > got["bent"]["pit_p"]
+
+
+def test_unit_root_statistics_from_sums_equal_those_from_rows(spark):
+    from tidalframe.operators import panel
+
+    r = np.random.default_rng(33)
+    series = {f"k{k}": (r.normal(size=n).cumsum() if k % 2 else 5 + 0.5 * r.normal(size=n)) for k, n in enumerate((400, 400, 90, 31, 12, 260))}
+    series |= {"flat": np.full(60, 3.0), "short": r.normal(size=4), None: 1e4 + r.normal(size=150).cumsum()}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [("k0", 9999, None)], "k string, i int, x double").repartition(5)
+    got = {row["k"]: row for row in panel.unit_root_tests(df, ["k"], "i", "x").collect()}
+    assert len(got) == len(series) and got["short"]["adf"] is None and got["flat"]["adf"] is None
+    for k, x in series.items():
+        if k not in ("flat", "short"):
+            t, p = eda.adf(x)
+            assert got[k]["n"] == len(x) and got[k]["lags"] == p and got[k]["adf"] == pytest.approx(t, rel=1e-6), k
+    one = {row["k"]: row for row in panel.unit_root_tests(df, ["k"], "i", "x", 2).collect()}
+    assert one["k1"]["adf"] == pytest.approx(eda.adf(series["k1"], 2)[0], rel=1e-6)
+    assert panel.unit_root_tests(df.limit(0), ["k"], "i", "x").count() == 0

@@ -120,7 +120,7 @@ KPSS_POINTS = {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
 
 def adf(x: np.ndarray, max_lag: int | None = None) -> tuple[float, int]:
     """The t statistic of the level in a regression of changes on a constant, the level and lagged changes; lags by AIC."""
-    n = len(x)
+    n, x = len(x), x - x.mean()  # a level far from 0 would leave the products no digits; the statistic doesn't depend on it
     most = min(int(np.ceil(12 * (n / 100) ** 0.25)) if max_lag is None else max_lag, n // 2 - 3)
     dx = np.diff(x)
     best: tuple[float, float, int] | None = None

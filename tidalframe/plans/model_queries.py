@@ -684,3 +684,17 @@ def panel_gam(spark: SparkSession, d: str) -> DataFrame:
     terms = gam.terms_for(rows, ["x_fast", "x_slow"])
     fits = panels.panel_fits(rows, ["key"], terms, "y")
     return fits.select("key", F.explode(F.array(*[F.lit(t.name) for t in terms])).alias("term"), "edof", "lam", "r2", "n")
+
+
+@query(["key"], {"adf": 5}, ["n", "lags"], f"""WITH {BARS}, d AS (SELECT key, close - lag(close) OVER ({W}) AS y, lag(close) OVER ({W}) AS x FROM bars),
+ s AS (SELECT key, count(*) AS m, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM d WHERE y IS NOT NULL GROUP BY key)
+ SELECT key, m + 1 AS n, 0 AS lags, b / sqrt((syy - b * sxy) / (m - 2) / sxx) AS adf FROM s""")
+def dickey_fuller(spark: SparkSession, d: str) -> DataFrame:
+    """The unit-root statistic without lags, of every series at once."""
+    return panels.unit_root_tests(bars(spark, d), ["key"], "date", "close", 0)
+
+
+@query(["key"], {"adf": 4}, ["n", "lags"])
+def unit_roots(spark: SparkSession, d: str) -> DataFrame:
+    """The same with lags chosen by AIC."""
+    return panels.unit_root_tests(bars(spark, d), ["key"], "date", "close")
