@@ -266,6 +266,33 @@ def test_toxicity_learns_the_same_from_a_bounded_sample(spark, tables):
     assert whole.intercept < 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioubdgklmnrstv") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    rows = []
+    for i in range(6000):
+        text = " ".join(rng.choices(words, k=8))
+        toxic = int(i % 10 == 1)
+        rows.append((i, f"{text} {'gr0bnik' if i % 20 == 1 else 'v i l e s c u m'}" if toxic else text + " t h e r e" * (i % 50 == 0), toxic))
+    rows += [(i, f"{'x' * 12} " * 100_000 + f"brumolt{i}", 1) for i in range(6000, 6025)]  # over 1 MB each
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    mine = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    taken = toxicity.training_rows(docs, labels, "toxic")
+    assert {r["doc_id"] for r in taken.select("doc_id").collect()} == {r[0] for r in mine} and len(mine) > 4000
+    want = toxicity.fit([r[1:] for r in mine], float(np.mean([r[2] for r in mine])))
+    assert "brumo" in want.stems
+    for sent in (10, 1_000_000):
+        monkeypatch.setattr(toxicity, "SENT_LABELS", sent)
+        got = toxicity.trained(docs.repartition(5), labels.repartition(3))
+        assert got.stems == want.stems and got.letters.words == want.letters.words and got.letters.three == want.letters.three
+        assert got.intercept == pytest.approx(want.intercept) and got.slope == pytest.approx(want.slope)
+    few = toxicity.trained(docs, labels, None, docs)  # known words that no letters ask for change nothing
+    assert few.stems == want.stems and (few.intercept, few.slope) == (got.intercept, got.slope)
+    assert 0 < len(few.letters.words) < len(want.letters.words) and few.letters.words.items() <= want.letters.words.items()
+    for run in ("vilescum", "there"):
+        assert toxicity.spelt_words(run, few.letters) == toxicity.spelt_words(run, want.letters)
+
+
 def test_mix_reaches_targets_and_matches_sql(spark, tables):
     docs = with_odd(spark, tables[0])
     got = mixing.mix_plan(docs).toPandas()

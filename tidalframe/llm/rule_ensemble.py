@@ -18,6 +18,8 @@ from .toxicity import held_out, training_rows, usable_labels
 
 #: Labelled rows that the rules are fitted on at most, half of each label at most.
 SAMPLE_ROWS = 8000
+#: Bytes of their texts at most.
+SAMPLE_BYTES = 64 << 20
 TREES, DEPTH, LEAST_LEAF, CUTS = 24, 3, 10, 24
 #: Lasso penalty per row, and proximal steps.
 PENALTY, STEPS = 0.004, 600
@@ -114,7 +116,7 @@ def features(df: DataFrame) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ensemble:
-    rows = features(training_rows(docs, labels, "quality", sample_rows)).toPandas().sort_values([*FEATURES, "label"])
+    rows = features(training_rows(docs, labels, "quality", sample_rows, SAMPLE_BYTES)).toPandas().sort_values([*FEATURES, "label"])
     usable = usable_labels(labels, "quality").agg(F.avg("label")).first()[0]
     return fit(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float), usable)
 

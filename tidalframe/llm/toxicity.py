@@ -6,6 +6,10 @@ Viterbi path under a character trigram model of the training texts is the restor
 single characters may hold several words: known words and the trigram model place their bounds.  Words and
 their opening letters that mark toxic texts are learnt from labelled documents by a likelihood-ratio
 test; a document's score is a logistic function of the weights of its distinct marked words.
+
+All labelled documents are learnt from: words, letters and stems are counted where the texts are, summed by
+shuffles, and the logistic function is fitted by Newton steps that are one aggregate each.  What workers get is
+bounded by the alphabet (trigrams), by the tests (stems) and by the runs that need bounds (known words).
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import chunks, flatten, word_bounds
+from .storage import discard, settle
 from .workers import bounded_batches, lean
 
 #: What figures and signs may stand for.
@@ -33,10 +38,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 SEPARATORS = "-_.*'~^,:;/#%&"
 #: Costs of the channel, in nats.
 SUBSTITUTE, SEPARATE, STRETCH, DOUBLE = 1.0, 0.5, 0.3, 2.0
-#: Labelled rows that a model is fitted on at most, half of each label at most, and the bytes of their texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64 << 20
-#: Texts of more bytes aren't learnt from.
-SAMPLE_TEXT = 1 << 20
+#: Labels that are sent to every task at most, so that unlabelled texts needn't be shuffled; more are joined by a shuffle.
+SENT_LABELS = 1_000_000
 #: A stem needs this likelihood ratio (G squared), this share of toxic texts, and this many of them.
 LEAST_G2, LEAST_PURITY, LEAST_TEXTS = 16.0, 0.8, 3
 STEM_LENGTHS = (4, 5, 6)
@@ -44,6 +47,8 @@ STEM_LENGTHS = (4, 5, 6)
 FADING = 0.3
 #: Tokens, and steps of the lattice, that a worker remembers.
 KEPT_TOKENS, KEPT_MOVES = 300_000, 30_000
+#: Rows that a worker sends on at once.
+SENT_ROWS = 100_000
 #: Letters from which known words are found by one automaton instead of by their lengths; the result is the same.
 LONG_RUN = 500
 
@@ -52,6 +57,7 @@ OPENING, CLOSING = "_@$!|+(€", "_@$!€"
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPELT = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _SEPARATED = re.compile(rf"[^\W_](?:[{re.escape(SEPARATORS)}]+[^\W_]){{2,}}")
+_TWO_SIGNS = rf"[{re.escape(SEPARATORS)}].+[{re.escape(SEPARATORS)}]"  # of every token that holds separated letters
 
 
 @dataclass
@@ -71,14 +77,24 @@ class CharModel:
     @staticmethod
     def fit(words: Counter[str]) -> "CharModel":
         three: Counter[str] = Counter()
+        for word, n in words.items():
+            for gram in _trigrams(word):
+                three[gram] += n
+        return CharModel.of_trigrams(three).knowing(words, sum(words.values()))
+
+    def knowing(self, words: dict[str, int], all_words: int) -> "CharModel":
+        """The same letters with the log shares of words, given their counts and that of all words."""
+        known = {w: math.log(n / all_words) for w, n in words.items()}
+        return CharModel(self.three, self.two, self.floor, known, sorted(set(map(len, known))))
+
+    @staticmethod
+    def of_trigrams(three: Counter[str]) -> "CharModel":
+        """The model of counted trigrams, without known words."""
         two: Counter[str] = Counter()
         one: Counter[str] = Counter()
-        for word, n in words.items():
-            padded = f"^^{word}$"
-            for i in range(2, len(padded)):
-                three[padded[i - 2 : i + 1]] += n
-                two[padded[i - 1 : i + 1]] += n
-                one[padded[i]] += n
+        for x, n in three.items():
+            two[x[1:]] += n
+            one[x[2]] += n
         whole = sum(one.values()) or 1
         one_p = {c: n / whole for c, n in one.items()}
         before: Counter[str] = Counter()
@@ -89,9 +105,7 @@ class CharModel:
         for x, n in three.items():
             pairs[x[:2]] += n
         three_l = {x: math.log((n + 5 * two_p[x[1:]]) / (pairs[x[:2]] + 5)) for x, n in three.items()}
-        all_words = sum(words.values())
-        known = {w: math.log(n / all_words) for w, n in words.items()}
-        return CharModel(three_l, {x: math.log(p) for x, p in two_p.items()}, words=known, lengths=sorted(set(map(len, known))))
+        return CharModel(three_l, {x: math.log(p) for x, p in two_p.items()})
 
     def step(self, context: str, letter: str) -> float:
         found = self.three.get(context + letter)
@@ -124,6 +138,11 @@ class CharModel:
         return out
 
 
+def _trigrams(word: str) -> Iterator[str]:
+    padded = f"^^{word}$"
+    return (padded[i - 2 : i + 1] for i in range(2, len(padded)))
+
+
 @functools.lru_cache(4096)
 def _options(c: str, n: int) -> tuple[tuple[str, float], ...]:
     """What n of a character in a row, three standing for more, may stand for, and the cost."""
@@ -255,16 +274,19 @@ def readings(token: str, model: CharModel) -> list[str]:
     """The words that a lower-cased token may be: as written without its outer signs, and restored."""
     bare = _stripped(token)
     out = [bare] if bare else []
-    inner = _stripped(_untailed(token), OPENING, CLOSING)
-    if inner != bare or suspicious(bare):
-        for form in {inner, bare}:
-            if len(form) >= 3 and suspicious(form):
-                out.append(restore(form, model))
-                if _SEPARATED.fullmatch(form):
-                    out += split_words(out[-1], model)
+    for form in _disguised(token, bare):
+        out.append(restore(form, model))
+        if _SEPARATED.fullmatch(form):
+            out += split_words(out[-1], model)
     return out
 
 
+def _disguised(token: str, bare: str) -> list[str]:
+    """The forms of a token that are restored."""
+    inner = _stripped(_untailed(token), OPENING, CLOSING)
+    return [form for form in {inner, bare} if len(form) >= 3 and suspicious(form)] if inner != bare or suspicious(bare) else []
+
+
 def spelt_out(text: str) -> list[str]:
     """Runs of single characters with white space between them, each joined; a run may be several words."""
     return ["".join(m.group().split()) for m in _SPELT.finditer(text)]
@@ -275,6 +297,15 @@ def spelt_words(run: str, model: CharModel) -> list[str]:
     return [run, *(w for word in dict.fromkeys(readings(run, model)) for w in split_words(word, model))]
 
 
+def unbounded_letters(lower: str, tokens: list[str], model: CharModel) -> set[str]:
+    """The letters of a lower-cased text, and of its tokens, that split_words bounds; all else that it is given is a part of them."""
+    out = {restore(form, model) for token in tokens for form in _disguised(token, _stripped(token)) if _SEPARATED.fullmatch(form)}
+    for run in spelt_out(lower):
+        bare = _stripped(run)
+        out |= {bare, *(restore(form, model) for form in _disguised(run, bare))}
+    return out
+
+
 @dataclass
 class ToxicModel:
     letters: CharModel
@@ -336,30 +367,46 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> ToxicModel:
         if not label:
             negative.update({s for i in own for s in stems_of.get(int(i), ())})
     n1, n0 = sum(label for _, label in rows), sum(1 - label for _, label in rows)
-    stems = {}
-    for stem, a in positive.items():
-        b = negative[stem]
-        if not n0 or not n1:
-            continue
-        rate1, rate0 = a / n1, b / n0
-        if rate1 / (rate1 + rate0) < LEAST_PURITY:
-            continue
-        whole = (a + b) / (n1 + n0)
-        g2 = 2 * (a * math.log(rate1 / whole) + (b * math.log(rate0 / whole) if b else 0.0))
-        for hit, size in ((a, n1), (b, n0)):
-            if hit < size:
-                g2 += 2 * (size - hit) * math.log((1 - hit / size) / (1 - whole))
-        if g2 >= LEAST_G2:
-            stems[stem] = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-    model = ToxicModel(letters, stems)
+    stems = {stem: weight for stem, a in positive.items() if (weight := stem_weight(a, negative[stem], n1, n0)) is not None}
     best = {i: (s, stems[s]) for i, own in stems_of.items() if (s := max(own, key=lambda x: stems.get(x, 0.0))) in stems}
     marks = np.array([model_mark(dict(best[i] for i in own.tolist() if i in best)) for own, _ in held] or [0.0])
     truth = np.array([label for _, label in held] or [0], float)
+
+    def sums(intercept: float, slope: float) -> list[float]:
+        p = 1 / (1 + np.exp(-np.clip(intercept + slope * marks, -30, 30)))
+        w = p * (1 - p)
+        return [float(x.sum()) for x in (p - truth, marks * (p - truth), w, marks * w, marks * marks * w)]
+
+    return calibrated(ToxicModel(letters, stems), sums, n1, n0, prior)
+
+
+def stem_weight(a: int, b: int, n1: int, n0: int) -> float | None:
+    """The weight of a stem in a of n1 toxic texts and b of n0 others; None if it marks none."""
+    if a < LEAST_TEXTS or not n0 or not n1:
+        return None
+    rate1, rate0 = a / n1, b / n0
+    if rate1 / (rate1 + rate0) < LEAST_PURITY:
+        return None
+    whole = (a + b) / (n1 + n0)
+    g2 = 2 * (a * math.log(rate1 / whole) + (b * math.log(rate0 / whole) if b else 0.0))
+    for hit, size in ((a, n1), (b, n0)):
+        if hit < size:
+            g2 += 2 * (size - hit) * math.log((1 - hit / size) / (1 - whole))
+    return math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)) if g2 >= LEAST_G2 else None
+
+
+def calibrated(model: ToxicModel, sums: Callable[[float, float], list[float]], n1: int, n0: int, prior: float | None) -> ToxicModel:
+    """The model with its logistic function, by Newton steps of a ridge regression on the marks of n1 toxic texts and n0 others.
+
+    sums(intercept, slope) adds up p - label, mark (p - label), w, mark w and mark mark w over the texts, w being p (1 - p).
+    """
     beta = np.zeros(2)
-    design = np.stack([np.ones_like(marks), marks], 1)
-    for _ in range(30):  # Newton steps of a ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        beta -= np.linalg.solve(design.T * (p * (1 - p)) @ design + 0.1 * np.eye(2), design.T @ (p - truth) + 0.1 * beta)
+    for _ in range(30):
+        g0, g1, h00, h01, h11 = sums(*map(float, beta))
+        change = np.linalg.solve(np.array([[h00, h01], [h01, h11]]) + 0.1 * np.eye(2), np.array([g0, g1]) + 0.1 * beta)
+        beta -= change
+        if np.abs(change).max() < 1e-12:
+            break
     model.intercept, model.slope = float(beta[0]), float(max(beta[1], 0.0))
     if prior is not None and 0 < prior < 1 and n0 and n1:
         model.intercept += math.log(prior / (1 - prior)) - math.log(n1 / n0)
@@ -381,22 +428,23 @@ def usable_labels(labels: DataFrame, label: str) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.max(label).alias("label"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled documents that aren't held out, at most half of each label, in a fixed order.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of all labelled documents that aren't held out; of texts that share a doc_id the one of the least hash.
 
-    Whole texts are taken in that order until they have most_bytes together; those of over SAMPLE_TEXT bytes are passed over.  Of texts that share a doc_id the
-    one of the least hash is taken.
+    Where asked for, at most `most` of them, at most half of each label, in a fixed order; and of these only whole texts
+    until they have most_bytes together.
     """
     usable = usable_labels(labels, label)
-    picked = None
-    for value in (0, 1):  # ids alone: at most `most` rows of 12 bytes
-        own = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
-        picked = own if picked is None else picked.unionByName(own)
-    sized = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT)
-    rows = sized.join(F.broadcast(picked), "doc_id")
+    if most is not None:
+        picked = [usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for value in (0, 1)]
+        usable = picked[0].unionByName(picked[1])
+    own = docs.select("doc_id", "text").where(~held_out())
+    rows = own.join(F.broadcast(usable) if usable.limit(SENT_LABELS + 1).count() <= SENT_LABELS else usable, "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
-    taken = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return rows.withColumn("taken", taken).where(F.col("taken") <= most_bytes // 2).select("doc_id", "text", "label")
+    if most_bytes is not None:
+        taken = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rows = rows.withColumn("taken", taken).where(F.col("taken") <= most_bytes // 2)
+    return rows.select("doc_id", "text", "label")
 
 
 def _scorer(model, keep_text: bool = False) -> Callable:
@@ -457,30 +505,203 @@ def _spelt(texts: pa.Array) -> list[int]:
     return np.unique(docs[:-2][three]).tolist() if len(three) else []
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
-    rows = [(r["text"] or "", int(r["label"])) for r in training_rows(docs, labels, "toxic", sample_rows).collect()]
-    return fit(sorted(rows, key=lambda r: (r[1], r[0])), usable_labels(labels, "toxic").agg(F.avg("label")).first()[0])
+@lean
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, distinct tokens, joined runs) of (text, label); the single characters of runs aren't tokens."""
+    for table in chunks(batches):
+        lower = pc.utf8_lower(table["text"].combine_chunks().fill_null("")).cast(pa.large_string())
+        runs: list[list[str]] = [[] for _ in range(len(lower))]
+        if spelt := _spelt(lower):
+            texts = lower.to_pylist()
+            for d in spelt:
+                runs[d], texts[d] = spelt_out(texts[d]), _SPELT.sub(" ", texts[d])
+            lower = pa.array(texts, pa.large_string())
+        tokens = [[t for t in dict.fromkeys(own) if t] for own in pc.utf8_split_whitespace(lower).to_pylist()]
+        columns = [table["label"].combine_chunks(), pa.array(tokens, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "tokens", "runs"])
+
+
+@lean
+def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of (token, n): tokens that are a word but for their outer signs."""
+    for batch in batches:
+        words = [_stripped(t) for t in batch.column(0).to_pylist()]
+        kept = [bool(_PLAIN.fullmatch(w)) and not re.search(r"(.)\1\1", w) for w in words]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(1)], names=["word", "n"]).filter(pa.array(kept, pa.bool_()))
+
+
+@lean
+def _counted_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    three: Counter[str] = Counter()
+    for batch in batches:
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for gram in _trigrams(word):
+                three[gram] += n
+    yield pa.RecordBatch.from_arrays([pa.array(list(three), pa.string()), pa.array(list(three.values()), pa.int64())], names=["gram", "n"])
+
+
+def _pieces(shared, lengths: list[int]) -> Callable:
+    """The parts, of the lengths that words have, of all letters in (text) that need bounds."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        pieces: set[str] = set()
+        for table in chunks(batches):
+            lower = pc.utf8_lower(table["text"].combine_chunks().fill_null("")).cast(pa.large_string())
+            words = pc.utf8_split_whitespace(lower).flatten().unique()
+            letters = unbounded_letters("", words.filter(pc.match_substring_regex(words, _TWO_SIGNS)).to_pylist(), model)
+            for d in _spelt(lower):
+                letters |= unbounded_letters(lower[d].as_py(), [], model)
+            for own in letters:
+                for length in lengths:
+                    for at in range(len(own) - length + 1):
+                        pieces.add(own[at : at + length])
+                        if len(pieces) >= SENT_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string())], names=["word"])
+                            pieces.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string())], names=["word"])
+
+    return run
+
+
+def _own_tokens(batch: pa.RecordBatch, letters: CharModel) -> Iterator[tuple[int, list[str]]]:
+    """The label, and the tokens with the words of the runs, of each row of (label, tokens, runs)."""
+    for label, tokens, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        yield label, [*tokens, *(w for run in runs for w in spelt_words(run, letters))]
+
+
+def _counted_stems(shared) -> Callable:
+    """(stem, a, b): toxic texts and others that hold a stem, a few rows a stem and task."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = shared.value
+        number: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
+        n = np.zeros((2, SENT_ROWS), np.int64)  # of each stem, in other texts and in toxic ones
+
+        def counted() -> pa.RecordBatch:
+            of = n[:, : len(number)]
+            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(of[1]), pa.array(of[0])], names=["stem", "a", "b"])
+
+        for batch in batches:
+            for label, tokens in _own_tokens(batch, letters):
+                stems: set[int] = set()
+                for token in tokens:
+                    own = known.get(token)
+                    if own is None:
+                        own = known[token] = tuple(number.setdefault(s, len(number)) for w in readings(token, letters) for s in _stems(w))
+                    stems.update(own)
+                if len(number) > n.shape[1]:
+                    n = np.concatenate([n, np.zeros((2, len(number)), np.int64)], 1)
+                n[label, list(stems)] += 1
+                if max(len(number), len(known)) > KEPT_TOKENS:
+                    yield counted()
+                    number.clear()
+                    known.clear()
+                    n[:] = 0
+        yield counted()
+
+    return run
+
+
+def _counted_marks(shared) -> Callable:
+    """(mark, label, n) of (label, tokens, runs)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        known: dict[str, tuple[str, float]] = {}
+        for batch in batches:
+            if len(known) > KEPT_TOKENS:
+                known.clear()
+            n: Counter[tuple[float, int]] = Counter()
+            for label, tokens in _own_tokens(batch, model.letters):
+                for token in tokens:
+                    if token not in known:
+                        known[token] = model.weigh(token)
+                n[model_mark(dict(known[t] for t in tokens if known[t][1])), label] += 1
+            columns = [pa.array([m for m, _ in n], pa.float64()), pa.array([y for _, y in n], pa.int32()), pa.array(list(n.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["mark", "label", "n"])
+
+    return run
+
+
+def _mark_sums(marks: DataFrame) -> Callable[[float, float], list[float]]:
+    """See calibrated(); sums of decimals, which come out alike however rows are dealt."""
+
+    def sums(intercept: float, slope: float) -> list[float]:
+        p = 1 / (1 + F.exp(-F.least(F.greatest(F.lit(intercept) + F.lit(slope) * F.col("mark"), F.lit(-30.0)), F.lit(30.0))))
+        miss, w, mark = p - F.col("label"), p * (1 - p), F.col("mark")
+        terms = (miss, mark * miss, w, mark * w, mark * mark * w)
+        return [float(x) for x in marks.agg(*[F.sum((F.col("n") * t).cast("decimal(38,15)")).alias(f"s{i}") for i, t in enumerate(terms)]).first()]
+
+    return sums
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None, scored: DataFrame | None = None) -> ToxicModel:
+    """The model of all labelled documents, or of at most sample_rows of them where that is given.
+
+    Its known words are all words of those documents.  If the texts that are to be scored are given, and docs are among them, only
+    those known words that letters without bounds in them may be made of are kept, as no other is ever looked up: scores are the same.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = training_rows(docs, labels, "toxic", sample_rows).select("text", F.col("label").cast("int").alias("label"))
+    rows = settle(rows.mapInArrow(_tokens, "label int, tokens array<string>, runs array<string>"), "learnt")
+    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    tokens = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    words = settle(tokens.mapInArrow(_plain_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    three = words.mapInArrow(_counted_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # by the alphabet
+    letters = CharModel.of_trigrams(Counter({r["gram"]: r["n"] for r in three}))
+    all_words = words.agg(F.sum("n")).first()[0]
+    known = words
+    if scored is not None:
+        lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect())
+        pieces = scored.select("text").mapInArrow(_pieces(spark.sparkContext.broadcast(letters), lengths), "word string")
+        known = words.join(pieces.distinct(), "word", "left_semi")
+    letters = letters.knowing({r["word"]: r["n"] for r in known.collect()}, all_words)
+    counted = rows.mapInArrow(_counted_stems(spark.sparkContext.broadcast(letters)), "stem string, a long, b long")
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [stem_weight(a, b, n1, n0) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["stem", "weight"])
+
+    counted = counted.groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= LEAST_TEXTS)
+    stems = counted.mapInArrow(weights, "stem string, weight double").where("weight is not null").collect()  # those that pass the tests
+    model = ToxicModel(letters, {r["stem"]: r["weight"] for r in stems})
+    if n1 and n0:
+        marks = rows.mapInArrow(_counted_marks(spark.sparkContext.broadcast(model)), "mark double, label int, n long")
+        marks = settle(marks.groupBy("mark", "label").agg(F.sum("n").alias("n")), "marks")
+        calibrated(model, _mark_sums(marks), n1, n0, usable_labels(labels, "toxic").agg(F.avg("label")).first()[0])
+        discard(marks)
+    for done in (rows, words):
+        discard(done)
+    return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text).
 
-    labels (doc_id, toxic) is used only for rows whose crc32(doc_id as text) mod 5 isn't 0, at most
-    sample_rows of them and SAMPLE_BYTES of text; a doc_id with labels of both kinds counts as toxic.  Null, empty and blank texts get the score of a text without marked words;
+    labels (doc_id, toxic) is used only for rows whose crc32(doc_id as text) mod 5 isn't 0, all of them
+    unless sample_rows is given; a doc_id with labels of both kinds counts as toxic.  Null, empty and blank texts get the score of a text without marked words;
     without labels of both kinds that is below 0.5 for all.  A null doc_id is not held out.
     Repeated rows score alike.  Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample_rows, docs))
     scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """The rows of docs that toxicity() predicts 0 for, with all their columns, whatever their names."""
     names = docs.columns
     inner = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample_rows, docs))
     shape = ", ".join(f"`{c}` {t}" for c, t in inner.dtypes)
     return inner.mapInArrow(_scorer(shared, True), f"{shape}, score double").where("score < 0.5").select(*inner.columns).toDF(*names)
