@@ -359,3 +359,13 @@ def test_streaming_bars_close_with_the_watermark(spark, tmp_path):
     got = spark.table("bars").toPandas().sort_values("start")
     batch = windowed_bars(spark.createDataFrame(rows, schema), "key", "ts", "id", "v").toPandas().sort_values("start")
     assert 0 < len(got) < len(batch) and got["close"].tolist() == batch["close"].tolist()[: len(got)]
+
+
+def test_model_rows_read_their_tables_once(spark):
+    from tidalframe.plans import model_queries
+
+    rows, names = model_queries.model_rows(spark, "/root/testdata/sf0.001")
+    lazy, _ = model_queries.feature_rows(spark, "/root/testdata/sf0.001")
+    reads = [f._jdf.queryExecution().executedPlan().toString().count("FileScan") for f in (rows, lazy)]
+    assert reads[0] == 0 < reads[1]
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, lazy.collect())) and set(names) < set(rows.columns)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import johnson_su_ppf
+from ..session import computed_once
 from .distribution import fit_johnson_su, johnson_su_fits
 from .gam import Fit, Gram, Term, design_row, fit, predict, stepwise
 from .scores import LEVELS, backtest_scores, bates_granger, benchmark_tests, berkowitz_moments, deflated_sharpe, dm_p_value, path_metrics, point_metrics, probabilistic_scores
@@ -189,7 +190,7 @@ def sigma_gate(rows: DataFrame, n: int, terms: list[Term], settings: WalkForward
     """The scores of GATE under each source of the deviation."""
     out = {}
     for source in ("gam", "garch", "blend"):
-        found = path_scores(walk_forward(rows, n, terms, replace(settings, sigma_source=source)))
+        found = path_scores(computed_once(walk_forward(rows, n, terms, replace(settings, sigma_source=source))))
         out[source] = {k: found[k] for k in GATE}
     return out
 

@@ -16,6 +16,7 @@ from ..operators import asof, backtest, eda, gam, panel as panels, scores, split
 from ..operators.distribution import johnson_su_fits
 from ..operators.distributional import distributional
 from ..operators.features import add, drawdown, drift_monitor as watched, error_drift, interpolated, lags, returns, rolling_mean_std
+from ..session import computed_once
 from .catalog import ORACLES, query
 from .frames import BARS, FORECASTS, MONTHLY, PANEL, ROLES, W, bars, forecasts, full, monthly_macro, panel
 
@@ -47,7 +48,7 @@ def forward_target(spark: SparkSession, d: str) -> DataFrame:
     return targets(spark, d)
 
 
-def model_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+def feature_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """Features of the single series with a log-return target, complete rows only."""
     f = add(one_series(spark, d), returns(OV, ["close"]), rolling_mean_std(OV, "close", [5, 20]), lags(OV, ["close"], [1]))
     f = f.select("key", "date", "close", F.col("close_log_return").alias("x_return"), F.try_divide("close", "close_sma_5").alias("x_fast"), F.try_divide("close", "close_sma_20").alias("x_slow"), F.try_divide("close_std_20", "close_sma_20").alias("x_vol"), F.month("date").cast("double").alias("month"))
@@ -55,11 +56,17 @@ def model_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     return splits.forward_target(f.na.drop(), ["key"], "date", "close", 1, "log_return"), names
 
 
+def model_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The same as a table of a row a day, for models and backtests that run many jobs over it."""
+    rows, names = feature_rows(spark, d)
+    return computed_once(rows), names
+
+
 @query(["date", "t1"], {"y": 6, "x_return": 6, "x_fast": 6, "x_slow": 6, "x_vol": 6}, ["row_pos"], f"""WITH {BARS}, f AS (SELECT date, close, ln(close / lag(close) OVER ({W})) AS x_return, close / ({full("avg", "close", 5)}) AS x_fast, close / ({full("avg", "close", 20)}) AS x_slow,
  ({full("stddev_samp", "close", 20)}) / ({full("avg", "close", 20)}) AS x_vol FROM bars WHERE {ALL}), g AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS row_pos, lead(date) OVER (ORDER BY date) AS t1, ln(lead(close) OVER (ORDER BY date) / close) AS y FROM f WHERE x_return IS NOT NULL AND x_slow IS NOT NULL)
  SELECT * FROM g WHERE t1 IS NOT NULL""")
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return model_rows(spark, d)[0]
+    return feature_rows(spark, d)[0]
 
 
 def _bounds(k: str) -> str:

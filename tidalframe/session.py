@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,8 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             out.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """df cut from its inputs, so that many jobs over it don't each read them again: in the folder that spark.checkpoint.dir names, else in the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
