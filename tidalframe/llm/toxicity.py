@@ -54,6 +54,8 @@ LONG_RUN = 500
 
 #: Signs at the start and at the end of a token that may stand for letters.
 OPENING, CLOSING = "_@$!|+(€", "_@$!€"
+_ENDS = ".,;:?"  # signs that end words and stand for no letters
+_THREE = re.compile(r"(.)\1\1")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPELT = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _SEPARATED = re.compile(rf"[^\W_](?:[{re.escape(SEPARATORS)}]+[^\W_]){{2,}}")
@@ -272,6 +274,9 @@ def suspicious(token: str) -> bool:
 
 def readings(token: str, model: CharModel) -> list[str]:
     """The words that a lower-cased token may be: as written without its outer signs, and restored."""
+    bare = token.rstrip(_ENDS)
+    if bare.isalpha() and not _THREE.search(bare):  # a plain word, as most are: neither form of it is disguised
+        return [bare]
     bare = _stripped(token)
     out = [bare] if bare else []
     for form in _disguised(token, bare):
@@ -516,8 +521,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in spelt:
                 runs[d], texts[d] = spelt_out(texts[d]), _SPELT.sub(" ", texts[d])
             lower = pa.array(texts, pa.large_string())
-        tokens = [[t for t in dict.fromkeys(own) if t] for own in pc.utf8_split_whitespace(lower).to_pylist()]
-        columns = [table["label"].combine_chunks(), pa.array(tokens, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.string()))]
+        split = pc.utf8_split_whitespace(lower)
+        bounds = split.offsets.to_numpy()
+        words = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        filled = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)
+        at = words.indices.to_numpy()
+        both = np.unique((np.repeat(np.arange(len(lower)), np.diff(bounds)) * len(filled) + at)[filled[at]])  # each token of a text once
+        doc, at = np.divmod(both, max(len(filled), 1))
+        tokens = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(lower) + 1)), pa.int32()), words.dictionary.take(pa.array(at)).cast(pa.string()))
+        columns = [table["label"].combine_chunks(), tokens, pa.array(runs, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(columns, names=["label", "tokens", "runs"])
 
 
@@ -565,10 +577,10 @@ def _pieces(shared, lengths: list[int]) -> Callable:
     return run
 
 
-def _own_tokens(batch: pa.RecordBatch, letters: CharModel) -> Iterator[tuple[int, list[str]]]:
-    """The label, and the tokens with the words of the runs, of each row of (label, tokens, runs)."""
-    for label, tokens, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-        yield label, [*tokens, *(w for run in runs for w in spelt_words(run, letters))]
+def _numbered(batch: pa.RecordBatch) -> tuple[list[int], list[str], np.ndarray, np.ndarray, list[list[str]]]:
+    """Of (label, tokens, runs): labels, distinct tokens, the number of each text's tokens in turn, the bounds between texts, runs."""
+    bounds, flat = batch.column(1).offsets.to_numpy(), batch.column(1).flatten().dictionary_encode()
+    return batch.column(0).to_pylist(), flat.dictionary.to_pylist(), flat.indices.to_numpy(), bounds - bounds[0], batch.column(2).to_pylist()
 
 
 def _counted_stems(shared) -> Callable:
@@ -581,26 +593,29 @@ def _counted_stems(shared) -> Callable:
         known: dict[str, tuple[int, ...]] = {}
         n = np.zeros((2, SENT_ROWS), np.int64)  # of each stem, in other texts and in toxic ones
 
+        def own(token: str) -> tuple[int, ...]:
+            found = known.get(token)
+            if found is None:
+                found = known[token] = tuple(number.setdefault(s, len(number)) for w in readings(token, letters) for s in _stems(w))
+            return found
+
         def counted() -> pa.RecordBatch:
             of = n[:, : len(number)]
             return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(of[1]), pa.array(of[0])], names=["stem", "a", "b"])
 
         for batch in batches:
-            for label, tokens in _own_tokens(batch, letters):
-                stems: set[int] = set()
-                for token in tokens:
-                    own = known.get(token)
-                    if own is None:
-                        own = known[token] = tuple(number.setdefault(s, len(number)) for w in readings(token, letters) for s in _stems(w))
-                    stems.update(own)
+            labels, tokens, at, bounds, runs = _numbered(batch)
+            stems = [own(t) for t in tokens]
+            for d, label in enumerate(labels):
+                held = set().union(*[stems[i] for i in at[bounds[d] : bounds[d + 1]].tolist()], *[own(w) for joined in runs[d] for w in spelt_words(joined, letters)])
                 if len(number) > n.shape[1]:
                     n = np.concatenate([n, np.zeros((2, len(number)), np.int64)], 1)
-                n[label, list(stems)] += 1
-                if max(len(number), len(known)) > KEPT_TOKENS:
-                    yield counted()
-                    number.clear()
-                    known.clear()
-                    n[:] = 0
+                n[label, list(held)] += 1
+            if max(len(number), len(known)) > KEPT_TOKENS:
+                yield counted()
+                number.clear()
+                known.clear()
+                n[:] = 0
         yield counted()
 
     return run
@@ -613,15 +628,25 @@ def _counted_marks(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known: dict[str, tuple[str, float]] = {}
+
+        def weighed(token: str) -> tuple[str, float]:
+            found = known.get(token)
+            if found is None:
+                found = known[token] = model.weigh(token)
+            return found
+
         for batch in batches:
             if len(known) > KEPT_TOKENS:
                 known.clear()
-            n: Counter[tuple[float, int]] = Counter()
-            for label, tokens in _own_tokens(batch, model.letters):
-                for token in tokens:
-                    if token not in known:
-                        known[token] = model.weigh(token)
-                n[model_mark(dict(known[t] for t in tokens if known[t][1])), label] += 1
+            labels, tokens, at, bounds, runs = _numbered(batch)
+            weights = [weighed(t) for t in tokens]
+            hits = np.flatnonzero(np.array([w > 0 for _, w in weights], bool)[at])
+            found: list[dict[str, float]] = [{} for _ in labels]
+            for d, i in zip((np.searchsorted(bounds, hits, "right") - 1).tolist(), at[hits].tolist(), strict=True):
+                found[d][weights[i][0]] = weights[i][1]
+            for d, own in enumerate(runs):
+                found[d] |= {s: w for joined in own for s, w in map(weighed, spelt_words(joined, model.letters)) if w > 0}
+            n = Counter(zip(map(model_mark, found), labels, strict=True))
             columns = [pa.array([m for m, _ in n], pa.float64()), pa.array([y for _, y in n], pa.int32()), pa.array(list(n.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["mark", "label", "n"])
 
